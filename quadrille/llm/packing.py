@@ -32,40 +32,86 @@ class WordIds:
     """ids of a text as Tokenizer.encode(text, add_special_tokens=False) gives them, remembered by white-space word.
 
     The vocabulary's normaliser and splitter never look across white space below U+0250, so words can be encoded apart
-    there; any other text, and text that may hold a special token, goes to the tokenizer whole.
+    there, and words that are not plain letters as the parts that the splitter makes of them; any other text, and text
+    that may hold a special token, goes to the tokenizer whole. Words live in two generations of at most `most`, so that
+    frequent ones stay.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.odd = re.compile("[\x00\x1c-\x1fɐ-\U0010ffff]")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.most = most
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def batch(self, texts: list[str]) -> Iterator[bytes]:
-        known = self.known
-        for text in texts:
-            if self.odd.search(text) or any(s in text for s in self.special):
-                yield self.whole(text)
-                continue
-            words = text.lower().split()
-            try:
-                yield b"".join([known[w] for w in words])
-            except KeyError:
-                missing = list({w for w in words if w not in known})
-                if len(known) + len(missing) > self.most:
-                    known.clear()
-                    missing = list(set(words))
-                for k in range(0, len(missing), 4096):
-                    part = missing[k : k + 4096]
-                    for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                        known[w] = np.asarray(e.ids, "<u4").tobytes()
-                yield b"".join([known[w] for w in words])
+    def _encode(self, words: list[str]) -> None:
+        """Learn words that the splitter leaves whole: plain letters many at a time, others one by one."""
+        plain = [w for w in words if w.isalpha()]
+        for k in range(0, len(plain), 1000):
+            part = plain[k : k + 1000]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            number = np.array(e.word_ids)
+            first = np.flatnonzero(np.r_[True, number[1:] != number[:-1]]).tolist()
+            raw = np.asarray(e.ids, "<u4").tobytes()
+            if len(first) == len(part):
+                for w, i, j in zip(part, first, [*first[1:], len(number)]):
+                    self.known[w] = raw[4 * i : 4 * j]
+            else:
+                self.known.update((w, self.whole(w)) for w in part)
+        self.known.update((w, self.whole(w)) for w in words if not w.isalpha())
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self.known) + len(words) > self.most:
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
+        parts = {w: [w] if w.isalpha() else SPLIT.findall(w) for w in words if w not in known}
+        fresh = set()
+        for own in parts.values():
+            for p in own:
+                if p not in known:
+                    if p in old:
+                        known[p] = old[p]
+                    else:
+                        fresh.add(p)
+        self._encode(sorted(fresh))
+        known.update((w, b"".join([known[p] for p in own])) for w, own in parts.items() if len(own) != 1 or own[0] != w)
+
+    def batch(self, texts: list[str], group: int = 1 << 18) -> Iterator[bytes]:
+        """ids of each text as bytes; words are learnt for texts of some `group` characters at a time."""
+        at = 0
+        while at < len(texts):
+            end, size, split = at, 0, []
+            while end < len(texts) and (end == at or size < group):
+                text = texts[end]
+                odd = ODD.search(text) or any(s in text for s in self.special)
+                split.append(None if odd else text.lower().split())
+                size += len(text)
+                end += 1
+            words = set().union(*(x for x in split if x))
+            if not words <= self.known.keys():
+                self._learn(words)
+            known = self.known
+            for text, own in zip(texts[at:end], split):
+                yield self.whole(text) if own is None else b"".join([known[w] for w in own])
+            at = end
+
+
+#: Texts whose words cannot be encoded apart, and the vocabulary's splitter for the others.
+ODD = re.compile("[\x00\x1c-\x1f\u0250-\U0010ffff]")
+SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_²³¹¼½¾]+|[\\d²³¹¼½¾]|(?:[^\\w\\s]|_)+")
+_SHARED: dict[str, WordIds] = {}
+
+
+def shared_ids(path: str) -> WordIds:
+    """One for each Python worker, which outlives its tasks."""
+    if path not in _SHARED:
+        _SHARED[path] = WordIds(path)
+    return _SHARED[path]
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -78,7 +124,7 @@ def pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0) -> Dat
     """(doc_id, piece, start, length, ids_crc32, task, nth): nth counts the pieces of that length in that task."""
 
     def run(batches):
-        ids = WordIds(path)
+        ids = shared_ids(path)
         task = TaskContext.get().partitionId()
         seen = np.zeros(size + 1, np.int64)
         closing = np.array([end_id], "<u4").tobytes()
