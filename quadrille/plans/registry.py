@@ -1,6 +1,700 @@
-"""Queries over the given tables and their SQL."""
+"""Queries over the given tables, and the same in SQL written by hand for another engine.
+
+Every query reads whole tables. Doubles are rounded to six digits on both sides, after a nudge of 1e-9 that takes exact
+halves, of which means of decimals have many, off the rounding edge.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..config import CELL_BYTES, POINT_BYTES, Fusion, Lod, Sensor, Vehicle
+from ..functions import geo
+from ..operators import features, grid, metrics, navigation, raster, segment
+from ..sources import derived, scans, simulator
+from ..storage import cut
+
+FINE, WIDE = Lod(), Lod(base_cell=0.5)
+FUSION, VEHICLE = Fusion(), Vehicle(nav_cell=8.0)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*((F.round(F.col(c) + F.lit(1e-9), digits) + F.lit(0.0)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
+
+
+def query(sql: str | None = None, ints: str = "", doubles: str = "", digits: int = 6):
+    """Register a function of (spark, sf_dir); sql gives columns `ints` as they are and `doubles` to be rounded."""
+
+    def wrap(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir), digits)
+        if sql:
+            columns = [*ints.split(), *(f"round({c} + 0.000000001e0, {digits}) + 0.0e0 as {c}" for c in doubles.split())]
+            ORACLE_SQL[f.__name__] = f"{PRE}select {', '.join(columns)} from ({sql})"
+        return f
+
+    return wrap
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- SQL parts
+
+
+def _d(v: float) -> str:
+    return f"{v}e0"
+
+
+def _dmin(size: float) -> str:
+    part = lambda c: f"greatest(floor({c} / {_d(size)}) * {_d(size)}, -floor({c} / {_d(size)}) * {_d(size)} - {_d(size)}, 0.0e0)"
+    return f"sqrt({part('x')} * {part('x')} + {part('y')} * {part('y')})"
+
+
+def _level(lod: Lod) -> str:
+    return "case " + " ".join(f"when {_dmin(lod.size(k))} >= {_d(lod.ring_radii[k])} then {k}" for k in range(lod.n_levels - 1, 0, -1)) + " else 0 end"
+
+
+def _cells(lod: Lod, name: str) -> str:
+    size = f"({_d(lod.base_cell)} * (1 << level))"
+    return f"""{name}_pts as (select *, {_level(lod)} as level from pts),
+{name}_at as (select *, cast(floor(x / {size}) as bigint) as ix, cast(floor(y / {size}) as bigint) as iy from {name}_pts),
+{name}_sums as (
+  select frame_index, level, ix, iy, count(*) as n_all, count(*) filter (where cls <= 1) as n_ground,
+    avg(z) filter (where cls <= 1) as mean_z, avg(z * z) filter (where cls <= 1) as mean_zz,
+    min(z) filter (where cls <= 1) as gmin, max(z) filter (where cls <= 1) as gmax, min(z) as amin, max(z) as amax,
+    min(z) filter (where cls > 1) as overhead, avg(intensity) as inten, avg(sqrt(x * x + y * y)) as reach,
+    sum(case when cls = 0 then 0.88e0 else 0.04e0 end) as ev0, sum(case when cls = 1 then 0.88e0 else 0.04e0 end) as ev1,
+    sum(case when cls = 2 then 0.88e0 else 0.04e0 end) as ev2, sum(case when cls = 3 then 0.88e0 else 0.04e0 end) as ev3
+  from {name}_at group by all),
+{name}_m as (
+  select *, coalesce(gmin, amin) as z_min, coalesce(gmax, amax) as z_max,
+    case when n_ground > 1 then greatest(mean_zz - mean_z * mean_z, 0e0) else 0e0 end as var_in,
+    greatest(((0.02e0 + 0.004e0 * reach) * (0.02e0 + 0.004e0 * reach) + 0.35e0 * case when n_ground > 1 then greatest(mean_zz - mean_z * mean_z, 0e0) else 0e0 end) / greatest(n_ground, 1), 0.0001e0) as noise
+  from {name}_sums),
+{name}_first as (select frame_index, level, ix, iy, coalesce(mean_z, z_min) as z, noise as var, z_min, z_max, inten, n_all as n_obs, ev0, ev1, ev2, ev3, overhead, frame_index as last_seen from {name}_m)"""
+
+
+_STATE = "z, var, z_min, z_max, inten, n_obs, ev0, ev1, ev2, ev3, overhead, last_seen"
+
+
+def _fuse(old: str, new: str, frame: int) -> str:
+    """SQL of one fusion step: old state, new measurements."""
+    ev = ", ".join(f"case when m.level is null then o.ev{k} when o.level is null then m.ev{k} else 0.85e0 * o.ev{k} + m.ev{k} end as ev{k}" for k in range(4))
+    gain = "(case when m.n_ground > 0 then (o.var + 0.0009e0) / (o.var + 0.0009e0 + m.noise) else 0e0 end)"
+    pick = lambda c, both, first=None: f"case when m.level is null then o.{c} when o.level is null then {first or 'm.' + c} else {both} end as {c}"
+    return f"""select coalesce(o.level, m.level) as level, coalesce(o.ix, m.ix) as ix, coalesce(o.iy, m.iy) as iy,
+  {pick('z', f'case when m.n_ground > 0 then o.z + {gain} * (m.mean_z - o.z) else o.z end', 'coalesce(m.mean_z, m.z_min)')},
+  {pick('var', f'greatest((1 - {gain}) * (o.var + 0.0009e0), 0.0001e0)', 'm.noise')},
+  {pick('z_min', 'least(o.z_min, m.z_min)')}, {pick('z_max', 'greatest(o.z_max, m.z_max)')},
+  {pick('inten', '0.7e0 * o.inten + (1 - 0.7e0) * m.inten')}, {pick('n_obs', 'o.n_obs + m.n_all', 'm.n_all')}, {ev},
+  {pick('overhead', 'least(o.overhead, m.overhead)')}, {pick('last_seen', str(frame), str(frame))}
+from {old} o full outer join {new} m on o.level = m.level and o.ix = m.ix and o.iy = m.iy"""
+
+
+_VIEW = """select level, ix, iy, {size} as size, (ix + 0.5e0) * {size} as cx, (iy + 0.5e0) * {size} as cy, z, var, z_min, z_max, n_obs,
+  case greatest(ev0, ev1, ev2, ev3) when ev0 then 0 when ev1 then 1 when ev2 then 2 else 3 end as cls,
+  greatest(ev0, ev1, ev2, ev3) / greatest(ev0 + ev1 + ev2 + ev3, 0.000001e0) as confidence, overhead,
+  (((ix + 1048576) & 2097151) << 21) | ((iy + 1048576) & 2097151) as key from {source}"""
+_SIZE = "(0.5e0 * (1 << level))"
+
+PRE = f"""with recursive pts as ({derived.SQL}),
+{_cells(FINE, 'fine')},
+{_cells(WIDE, 'wide')},
+map0 as (select level, ix, iy, {_STATE} from wide_first where frame_index = 0),
+map1 as ({_fuse('map0', '(select * from wide_m where frame_index = 1)', 1)}),
+map2 as ({_fuse('map1', '(select * from wide_m where frame_index = 2)', 2)}),
+view2 as ({_VIEW.format(size=_SIZE, source='map2')}),
+cover as (
+  select v.*, case when f = 1 then cast(floor(cx / 8e0) as bigint) else cast(floor((cx - 0.5e0 * size + 0.000001e0) / 8e0) as bigint) end + a as kx,
+              case when f = 1 then cast(floor(cy / 8e0) as bigint) else cast(floor((cy - 0.5e0 * size + 0.000001e0) / 8e0) as bigint) end + b as ky
+  from (select *, greatest(cast(round_even(size / 8e0, 0) as bigint), 1) as f, z_max - z_min <= 60.0e0 and n_obs > 0 as ok from view2) v,
+       range(0, 4) r1(a), range(0, 4) r2(b) where a < f and b < f),
+tile as (
+  select kx, ky, avg(z) filter (where ok and cls <= 1) as z, coalesce(max(z) filter (where ok and cls <= 1) - min(z) filter (where ok and cls <= 1), 0e0) as relief, count(*) as n_cells,
+    bool_or(ok and cls <= 1) as has_ground from cover group by 1, 2),
+tiles as (
+  select t.kx, t.ky, any_value(t.z) as z, any_value(t.relief) as relief, any_value(t.has_ground) as has_ground, any_value(t.n_cells) as n_cells,
+    coalesce(bool_or(c.cls >= 2 and t.has_ground and c.z_min < t.z + 2.4e0), false) as blocked,
+    coalesce(bool_or(c.cls >= 2 and not (t.has_ground and c.z_min < t.z + 2.4e0)), false) as overhead_only
+  from tile t join cover c on c.kx = t.kx and c.ky = t.ky group by 1, 2),
+probes as (
+  select a.kx, a.ky, d, s, b.kx as nx, b.ky as ny, b.z as nz, b.has_ground as ng, row_number() over (partition by a.kx, a.ky, d order by s) as k
+  from tiles a, (values (1, 0, 0), (-1, 0, 1), (0, 1, 2), (0, -1, 3)) as dirs(dx, dy, d), range(1, 11) r(s), tiles b where b.kx = a.kx + dx * s and b.ky = a.ky + dy * s),
+link as (select kx, ky, d, nx, ny, nz, ng, s * 8e0 as distance from probes where k = 1),
+linked as (
+  select t.*, coalesce(max(case when t.has_ground and l.ng then abs(t.z - nz) end), 0e0) as step,
+    coalesce(max(case when t.has_ground and l.ng then degrees(atan2(abs(t.z - nz), greatest(distance, 0.001e0))) end), 0e0) as slope_deg
+  from tiles t left join link l on l.kx = t.kx and l.ky = t.ky group by all),
+passed as (select *, has_ground and not blocked and relief <= 60e0 and slope_deg <= 60e0 as passable from linked),
+crossed as (
+  select l.kx, l.ky, l.nx, l.ny from link l join passed a on a.kx = l.kx and a.ky = l.ky and a.passable join passed b on b.kx = l.nx and b.ky = l.ny and b.passable
+  where abs(a.z - b.z) <= 60e0 and degrees(atan2(abs(a.z - b.z), greatest(l.distance, 0.001e0))) <= 60e0 and l.distance <= 2e0 * 8e0 + 0.000001e0),
+edge as (select ((kx + 1048576) << 21) | (ky + 1048576) as a, ((nx + 1048576) << 21) | (ny + 1048576) as b from crossed),
+node as (select kx, ky, ((kx + 1048576) << 21) | (ky + 1048576) as id from passed where passable),
+reach(id, root) as (select id, id from node union select e.b, r.root from reach r join edge e on e.a = r.id),
+comp as (select n.kx, n.ky, min(r.root) as component from node n join reach r on r.id = n.id group by 1, 2),
+near as (select *, sqrt(((kx + 0.5e0) * 8e0) * ((kx + 0.5e0) * 8e0) + ((ky + 0.5e0) * 8e0) * ((ky + 0.5e0) * 8e0)) as d from comp),
+seed as (
+  select component from (select component, count(*) filter (where d <= 14e0) as n, min(d) as d0 from near group by 1)
+  order by n desc, case when n > 0 then component end nulls last, d0 limit 1),
+reached as (select p.*, coalesce(c.component = (select component from seed), false) as reachable from passed p left join comp c on c.kx = p.kx and c.ky = p.ky),
+verdict as (
+  select v.level, v.ix, v.iy, v.cx, v.cy, v.cls, v.key, v.cls >= 2 and t.blocked as blocked, t.slope_deg, t.step,
+    v.z_max - v.z_min <= 60e0 and v.n_obs > 0 and not (v.cls >= 2 and t.blocked) and t.slope_deg <= 60e0 as passable, t.reachable as tile_reachable,
+    greatest(t.slope_deg / 60e0, t.step / 60e0, (v.z_max - v.z_min) / 0.15e0) as worst, sqrt(v.cx * v.cx + v.cy * v.cy) <= 45e0 as known
+  from view2 v join reached t on t.kx = cast(floor(v.cx / 8e0) as bigint) and t.ky = cast(floor(v.cy / 8e0) as bigint)),
+judged as (
+  select *, passable and tile_reachable as reachable,
+    case when blocked then 0e0 when not (passable and tile_reachable) then least(least(greatest(1 - worst, 0e0), 1e0), 0.15e0) else least(greatest(1 - worst, 0e0), 1e0) end as score,
+    case when blocked then case when cls = 3 then 3 else 2 end when passable and tile_reachable then 0 else 1 end as terrain
+  from verdict)
+"""
+#: The derived cloud's heights are not a street's, so the tile queries let vehicles climb.
+VEHICLE = Vehicle(max_slope_deg=60.0, max_step_height=60.0, nav_cell=8.0)
+
+
+# ---- parts of plans
+
+
+def _points(spark, sf_dir):
+    return derived.points(spark, sf_dir)
+
+
+def _measured(spark, sf_dir, lod=WIDE):
+    return grid.measure(grid.with_cells(_points(spark, sf_dir), lod), FUSION, by=("frame_index",))
+
+
+def _first(spark, sf_dir, frame=0, lod=WIDE):
+    return grid.first_state(_measured(spark, sf_dir, lod).where(F.col("frame_index") == frame), frame, FUSION)
+
+
+def _map(spark, sf_dir):
+    """All three frames fused."""
+    return cut(grid.replay(_measured(spark, sf_dir), FUSION))
+
+
+def _view(spark, sf_dir):
+    return cut(grid.view(_map(spark, sf_dir), WIDE))
+
+
+def _linked(spark, sf_dir):
+    return navigation.link(navigation.tiles(_view(spark, sf_dir), VEHICLE), VEHICLE)
+
+
+def _reached(spark, sf_dir):
+    return navigation.reachable(cut(_linked(spark, sf_dir)), VEHICLE, 0.0, 0.0)
+
+
+def _verdicts(spark, sf_dir):
+    view = _view(spark, sf_dir)
+    linked = cut(navigation.link(navigation.tiles(view, VEHICLE), VEHICLE))
+    return navigation.verdicts(view, navigation.reachable(linked, VEHICLE, 0.0, 0.0), VEHICLE, 0.0, 0.0)
+
+
+# ---- cells and levels
+
+
+@query("select level, count(*) as cells, sum(n_all)::bigint as points, sum(n_ground) * 1e0 / sum(n_all) as ground_share, avg(mean_z) as mean_z, min(overhead) as overhead from fine_m group by level", "level cells points", "ground_share mean_z overhead")
+def foveated_map(spark, sf_dir):
+    """Cells, points, ground share, height and lowest overhead by level."""
+    m = _measured(spark, sf_dir, FINE)
+    return m.groupBy("level").agg(F.count("*").alias("cells"), F.sum("n_all").alias("points"), (F.sum("n_ground") / F.sum("n_all")).alias("ground_share"), F.avg("mean_z").alias("mean_z"), F.min("overhead").alias("overhead"))
+
+
+_FSIZE = "(0.05e0 * (1 << level))"
+
+
+@query(f"select event_id, level, ix, iy, (((ix + 1048576) & 2097151) << 21) | ((iy + 1048576) & 2097151) as key, (ix + 0.5e0) * {_FSIZE} as cx, (iy + 0.5e0) * {_FSIZE} as cy, ix >> (4 - level) as block_x, iy >> (4 - level) as block_y from fine_at", "event_id level ix iy key block_x block_y", "cx cy")
+def point_cells(spark, sf_dir):
+    """Level, cell, key, centre and coarsest ancestor of each point; indices come back out of the key."""
+    at = grid.with_cells(_points(spark, sf_dir), FINE)
+    keyed = at.withColumn("key", geo.pack("ix", "iy")).withColumn("ix", geo.unpack("key", 1)).withColumn("iy", geo.unpack("key", 0))
+    size = geo.level_size("level", FINE)
+    bx, by = geo.block("level", "ix", "iy", FINE)
+    return keyed.select("event_id", "level", "ix", "iy", "key", geo.centre("ix", size).alias("cx"), geo.centre("iy", size).alias("cy"), bx.alias("block_x"), by.alias("block_y"))
+
+
+@query("select event_id, sqrt(x * x + y * y) as planar, sqrt(x * x + y * y + z * z) as spatial, ln(1 + sqrt(x * x + y * y)) as log_range, degrees(atan2(y, x)) as bearing, cos(0.3e0) * x - sin(0.3e0) * y + 5e0 as wx, sin(0.3e0) * x + cos(0.3e0) * y - 2e0 as wy, z + 1.73e0 as wz, case when sqrt(x * x + y * y) < 10e0 then 0 when sqrt(x * x + y * y) < 20e0 then 1 when sqrt(x * x + y * y) < 40e0 then 2 when sqrt(x * x + y * y) < 70e0 then 3 when sqrt(x * x + y * y) < 100e0 then 4 end as band from pts", "event_id band", "planar spatial log_range bearing wx wy wz")
+def point_geometry(spark, sf_dir):
+    """Ranges, bearing, band and world place of each point under one pose."""
+    wx, wy, wz = geo.to_world(yaw=F.lit(0.3), ox=F.lit(5.0), oy=F.lit(-2.0), oz=F.lit(1.73))
+    r = geo.planar_range()
+    return _points(spark, sf_dir).select("event_id", r.alias("planar"), geo.spatial_range().alias("spatial"), F.log1p(r).alias("log_range"), F.degrees(F.atan2("y", "x")).alias("bearing"), wx.alias("wx"), wy.alias("wy"), wz.alias("wz"), geo.band(r).alias("band"))
+
+
+@query("select event_id, (((((cast(floor(x / 0.45e0) as bigint) + 1048576) & 2097151) << 21) | ((cast(floor(y / 0.45e0) as bigint) + 1048576) & 2097151)) << 21) | ((cast(floor(z / 0.45e0) as bigint) + 1048576) & 2097151) as voxel from pts", "event_id voxel")
+def voxel_keys(spark, sf_dir):
+    """63-bit key of each point's voxel."""
+    return _points(spark, sf_dir).select("event_id", geo.pack(*(geo.index(c, features.VOXEL) for c in "xyz")).alias("voxel"))
+
+
+_MEASURED = "n_all n_ground", "mean_z var_in noise z_min z_max overhead inten ev0 ev1 ev2 ev3"
+
+
+@query("select frame_index, level, ix, iy, n_all, n_ground, mean_z, var_in, noise, z_min, z_max, overhead, inten, ev0, ev1, ev2, ev3 from wide_m", "frame_index level ix iy " + _MEASURED[0], _MEASURED[1])
+def cell_measurements(spark, sf_dir):
+    """What each frame's points say of each cell."""
+    return _measured(spark, sf_dir).drop("reach")
+
+
+_FULL = "level ix iy n_obs last_seen", "z var z_min z_max inten ev0 ev1 ev2 ev3 overhead"
+
+
+@query(f"select level, ix, iy, {_STATE} from map1", *_FULL)
+def fuse_frames(spark, sf_dir):
+    """Frame 1 fused into the map of frame 0 by a full outer join."""
+    m = _measured(spark, sf_dir).where("frame_index = 1")
+    return grid.fuse(_first(spark, sf_dir), m, 1, FUSION)
+
+
+@query(f"select level, ix, iy, {_STATE} from map2", *_FULL)
+def replay_frames(spark, sf_dir):
+    """Three frames folded in order inside each cell."""
+    return grid.replay(_measured(spark, sf_dir), FUSION)
+
+
+_UP = "select level + 1 as level, ix >> 1 as ix, iy >> 1 as iy, sum(z / var) / sum(1 / var) as z, 1 / sum(1 / var) as var, min(z_min) as z_min, max(z_max) as z_max, avg(inten) as inten, cast(sum(n_obs) as bigint) as n_obs, sum(ev0) as ev0, sum(ev1) as ev1, sum(ev2) as ev2, sum(ev3) as ev3, min(overhead) as overhead, max(last_seen) as last_seen from {} group by 1, 2, 3"
+
+
+@query(_UP.format("(select * from fine_first where frame_index = 0 and level < 4)"), *_FULL)
+def coarsen_cells(spark, sf_dir):
+    """Cells to their parents."""
+    return grid.coarsen(_first(spark, sf_dir, 0, FINE).where("level < 4"))
+
+
+@query("select level - 1 as level, 2 * ix + a as ix, 2 * iy + b as iy, z, var + 0.35e0 * (z_max - z_min) * (z_max - z_min) as var, z_min, z_max, inten, n_obs >> 2 as n_obs, ev0 / 4 as ev0, ev1 / 4 as ev1, ev2 / 4 as ev2, ev3 / 4 as ev3, overhead, last_seen from map0, range(0, 2) r1(a), range(0, 2) r2(b) where level > 0", *_FULL)
+def refine_cells(spark, sf_dir):
+    """Cells to their children."""
+    return grid.refine(_first(spark, sf_dir).where("level > 0"), FUSION)
+
+
+@query("""select coalesce(o.level, m.level) as level, coalesce(o.ix, m.ix) as ix, coalesce(o.iy, m.iy) as iy,
+  case when m.level is null then o.z when o.level is null then m.z else (o.z / o.var + m.z / m.var) / (1 / o.var + 1 / m.var) end as z,
+  case when m.level is null then o.var when o.level is null then m.var else 1 / (1 / o.var + 1 / m.var) end as var,
+  least(o.z_min, m.z_min) as z_min, greatest(o.z_max, m.z_max) as z_max, coalesce(o.inten, m.inten) as inten, coalesce(o.n_obs, 0) + coalesce(m.n_obs, 0) as n_obs,
+  coalesce(o.ev0, 0) + coalesce(m.ev0, 0) as ev0, coalesce(o.ev1, 0) + coalesce(m.ev1, 0) as ev1, coalesce(o.ev2, 0) + coalesce(m.ev2, 0) as ev2, coalesce(o.ev3, 0) + coalesce(m.ev3, 0) as ev3,
+  least(o.overhead, m.overhead) as overhead, greatest(o.last_seen, m.last_seen) as last_seen
+from map0 o full outer join (select * from wide_first where frame_index = 1) m on o.level = m.level and o.ix = m.ix and o.iy = m.iy""", *_FULL)
+def merge_cells(spark, sf_dir):
+    """Two maps merged by precision."""
+    return grid.merge(_first(spark, sf_dir), _first(spark, sf_dir, 1))
+
+
+@query("select level, ix, iy from map2 where sqrt(((ix + 0.5e0) * (0.5e0 * (1 << level)) - 25e0) * ((ix + 0.5e0) * (0.5e0 * (1 << level)) - 25e0) + ((iy + 0.5e0) * (0.5e0 * (1 << level))) * ((iy + 0.5e0) * (0.5e0 * (1 << level)))) <= 1.05e0 * 100e0 and 26 - last_seen <= 25", "level ix iy")
+def prune_cells(spark, sf_dir):
+    """Cells left by range and age at frame 26 for a sensor at x = 25."""
+    return grid.prune(_map(spark, sf_dir), WIDE, FUSION, 25.0, 0.0, 26).select("level", "ix", "iy")
+
+
+@query()
+def rebalance_cells(spark, sf_dir):
+    """The map after the sensor moved to (10, 4): whole sweeps up and down the levels."""
+    return grid.rebalance(_map(spark, sf_dir), WIDE, FUSION, 10.0, 4.0, cut)
+
+
+@query("select level, ix, iy, cls, key, size, cx, cy, confidence, z, overhead from view2", "level ix iy cls key", "size cx cy confidence z overhead")
+def map_view(spark, sf_dir):
+    """The flat map with classes."""
+    return _view(spark, sf_dir).select("level", "ix", "iy", "cls", "key", "size", "cx", "cy", "confidence", "z", "overhead")
+
+
+_LOOKUP = "select p.event_id, min(c.level) as level, arg_min({}, c.level) as {} from pts p left join {} c on c.ix = cast(floor((p.x + 1.5e0) / (0.5e0 * (1 << c.level))) as bigint) and c.iy = cast(floor(p.y / (0.5e0 * (1 << c.level))) as bigint) group by 1"
+
+
+@query(_LOOKUP.format("c.z", "elevation", "map2"), "event_id level", "elevation")
+def elevation_at(spark, sf_dir):
+    """Height and level of the finest cell under each point moved by 1.5 m."""
+    asked = _points(spark, sf_dir).withColumn("x", F.col("x") + 1.5)
+    return grid.lookup(asked, _map(spark, sf_dir), WIDE, ["event_id"], ["z"]).withColumnRenamed("z", "elevation")
+
+
+@query(f"select count(*) as cells, count(*) * {CELL_BYTES} as map_bytes, (4000 * 4000)::bigint // 100 * {CELL_BYTES} as uniform_fine_bytes, 25 * 25 * {CELL_BYTES}::bigint as uniform_coarse_bytes, 400 * 400 * 40 // 8::bigint as voxel_bytes, (select count(*) from pts) * {POINT_BYTES} as raw_points_bytes, 400 * 400 * {CELL_BYTES} * 1e0 / greatest(count(*) * {CELL_BYTES}, 1) as reduction from map2", "cells map_bytes uniform_fine_bytes uniform_coarse_bytes voxel_bytes raw_points_bytes", "reduction")
+def memory_report(spark, sf_dir):
+    """Bytes of the map and of what it replaces."""
+    p = _points(spark, sf_dir)
+    return grid.memory(_map(spark, sf_dir), WIDE, p.count(), CELL_BYTES, POINT_BYTES)
+
+
+ORACLE_SQL["memory_report"] = ORACLE_SQL["memory_report"].replace("(4000 * 4000)::bigint // 100", "(400 * 400)::bigint").replace("400 * 400 * 40 // 8::bigint", "(400 * 400 * 40 // 8)::bigint")
+
+
+# ---- navigation
+
+
+@query("select kx, ky, n_cells, has_ground, blocked, overhead_only, z, relief from tiles", "kx ky n_cells has_ground blocked overhead_only", "z relief")
+def nav_tiles(spark, sf_dir):
+    """Navigation tiles."""
+    return navigation.tiles(_view(spark, sf_dir), VEHICLE)
+
+
+@query("select kx, ky, passable, step, slope_deg from passed", "kx ky passable", "step slope_deg")
+def nav_links(spark, sf_dir):
+    """Slope, step and passability from the nearest tiles in four directions."""
+    return _linked(spark, sf_dir).select("kx", "ky", "passable", "step", "slope_deg")
+
+
+@query("select kx, ky, nx, ny, distance from link", "kx ky nx ny", "distance")
+def nav_edges(spark, sf_dir):
+    """Links between tiles."""
+    return navigation.edges(_linked(spark, sf_dir)).select("kx", "ky", "nx", "ny", "distance")
+
+
+@query("select kx, ky, nx, ny from crossed", "kx ky nx ny")
+def nav_crossable(spark, sf_dir):
+    """Links that a vehicle can take."""
+    return navigation.crossable(cut(_linked(spark, sf_dir)), VEHICLE)
+
+
+@query("select kx, ky, component from comp", "kx ky component")
+def nav_components(spark, sf_dir):
+    """Connected components of tiles."""
+    return navigation.components(cut(_linked(spark, sf_dir)), VEHICLE)
+
+
+@query("select kx, ky, passable, reachable from reached", "kx ky passable reachable")
+def nav_reachable(spark, sf_dir):
+    """Tiles that the vehicle can reach."""
+    return _reached(spark, sf_dir).select("kx", "ky", "passable", "reachable")
+
+
+@query("select level, ix, iy, blocked, passable, reachable, known, terrain, score from judged", "level ix iy blocked passable reachable known terrain", "score")
+def traversability(spark, sf_dir):
+    """Score and verdict of each cell."""
+    return _verdicts(spark, sf_dir).select("level", "ix", "iy", "blocked", "passable", "reachable", "known", "terrain", "score")
+
+
+@query("""select p.event_id, any_value(p.cls) as label, case when any_value(p.cls) = 0 and not coalesce(arg_min((j.reachable and j.passable) or not j.known, j.level), false) then 1 else any_value(p.cls) end as refined_label
+from pts p left join judged j on j.ix = cast(floor(p.x / (0.5e0 * (1 << j.level))) as bigint) and j.iy = cast(floor(p.y / (0.5e0 * (1 << j.level))) as bigint) group by 1""", "event_id label refined_label")
+def demoted_points(spark, sf_dir):
+    """Points whose drivable label the map takes back."""
+    p = _points(spark, sf_dir)
+    found = grid.lookup(p, _verdicts(spark, sf_dir), WIDE, ["event_id"], ["passable", "reachable", "known"])
+    return navigation.demote(p.select("event_id", F.col("cls").alias("label")), found, ["event_id"])
+
+
+@query()
+def planned_routes(spark, sf_dir):
+    """Routes over the map to four goals."""
+    goals = spark.createDataFrame([(i, 0.0, 0.0, gx, gy) for i, (gx, gy) in enumerate(((60.0, 0.0), (-60.0, 10.0), (0.0, 70.0), (20.0, -70.0)))], "request long, sx double, sy double, gx double, gy double")
+    return navigation.route_summary(navigation.routes(_reached(spark, sf_dir), goals, VEHICLE))
+
+
+# ---- features
+
+
+@query("select cast(floor(x / 9e0) as bigint) as vx, cast(floor(y / 9e0) as bigint) as vy, cast(floor(z / 9e0) as bigint) as vz, count(*) as n, covar_pop(x, x) as cxx, covar_pop(y, y) as cyy, covar_pop(z, z) as czz, covar_pop(x, y) as cxy, covar_pop(x, z) as cxz, covar_pop(y, z) as cyz from pts group by 1, 2, 3", "vx vy vz n", "cxx cyy czz cxy cxz cyz")
+def voxel_moments(spark, sf_dir):
+    """Covariance of the points of each 9 m voxel."""
+    return features.moments(_points(spark, sf_dir), (), 9.0)
+
+
+@query("select event_id, min(z) over w as column_low, max(z) over w - min(z) over w as column_span from pts window w as (partition by floor(x / 6e0), floor(y / 6e0))", "event_id", "column_low column_span")
+def column_spans(spark, sf_dir):
+    """Lowest point and span of each point's vertical column."""
+    return features.columns_of(_points(spark, sf_dir), (), 6.0).select("event_id", "column_low", "column_span")
+
+
+@query()
+def point_features(spark, sf_dir):
+    """The thirteen features of each point, normalised."""
+    return features.normalised(features.features(_points(spark, sf_dir).select("frame_index", "point_id", "x", "y", "z", "intensity"))).drop("x", "y", "z", "intensity")
+
+
+@query()
+def voxel_shapes(spark, sf_dir):
+    """Linearity, planarity, scattering, normal and roughness of 9 m voxels, in closed form."""
+    return features.shapes(features.moments(_points(spark, sf_dir), (), 9.0)).select("vx", "vy", "vz", "n", "linearity", "planarity", "scattering", "normal_z", "roughness")
+
+
+@query("select cast(floor(x / 9e0) as bigint) as vx, cast(floor(y / 9e0) as bigint) as vy, cast(floor(z / 9e0) as bigint) as vz, avg(x) as mx, avg(y) as my, avg(z) as mz, max(intensity) as max_intensity from pts group by 1, 2, 3", "vx vy vz", "mx my mz max_intensity")
+def voxel_centroids(spark, sf_dir):
+    """Mean place and largest intensity of each voxel."""
+    return features.centroids(_points(spark, sf_dir), ["intensity"], (), 9.0)
+
+
+_ZONE = "case when sqrt(x * x + y * y) < 15e0 then 0 when sqrt(x * x + y * y) < 30e0 then 1 else 2 end"
+_VOX = "floor(x / 0.45e0), floor(y / 0.45e0), floor(z / 0.45e0)"
+
+
+@query(f"select event_id, zone = 0 or (n - 1) % case when zone = 1 then 2 else 5 end = 0 or event_id = first as selected from (select event_id, zone, row_number() over (partition by frame_index, zone order by event_id) as n, min(event_id) over (partition by frame_index, {_VOX}) as first from (select *, {_ZONE} as zone from pts))", "event_id selected")
+def foveated_selection(spark, sf_dir):
+    """Which points a foveated segmenter looks at."""
+    return features.foveated(_points(spark, sf_dir), 15.0, 30.0, 2, 5).select("event_id", "selected")
+
+
+_SHARE = ", ".join(f"case when s then p{k} else coalesce(sum(case when s then p{k} end) over w, 0e0) / greatest(coalesce(sum(case when s then p0 end) over w, 0e0) + coalesce(sum(case when s then p1 end) over w, 0e0) + coalesce(sum(case when s then p2 end) over w, 0e0) + coalesce(sum(case when s then p3 end) over w, 0e0), 0.000001e0) end as p{k}" for k in range(4))
+_PROBS = ", ".join(f"case when cls = {k} then 0.88e0 else 0.04e0 end as p{k}" for k in range(4))
+
+
+@query(f"select event_id, {_SHARE} from (select *, event_id % 2 = 0 as s, {_PROBS} from pts) window w as (partition by frame_index, {_VOX})", "event_id", "p0 p1 p2 p3")
+def shared_evidence(spark, sf_dir):
+    """Evidence of skipped points from their voxel's selected ones."""
+    return features.share_evidence(_points(spark, sf_dir).withColumn("selected", F.col("event_id") % 2 == 0)).select("event_id", "p0", "p1", "p2", "p3")
+
+
+# ---- metrics
+
+_PRED = "case when event_id % 7 = 0 then (cls + 1) % 4 else cls end"
+_BAND = "case when sqrt(x * x + y * y) < 10e0 then 0 when sqrt(x * x + y * y) < 20e0 then 1 when sqrt(x * x + y * y) < 40e0 then 2 when sqrt(x * x + y * y) < 70e0 then 3 when sqrt(x * x + y * y) < 100e0 then 4 end"
+
+
+def _said(spark, sf_dir):
+    return _points(spark, sf_dir).withColumn("gt", F.col("cls")).withColumn("pred", F.when(F.col("event_id") % 7 == 0, (F.col("cls") + 1) % 4).otherwise(F.col("cls"))).withColumn("band", geo.band(geo.planar_range()))
+
+
+@query(f"select {_BAND} as band, cls as gt, {_PRED} as pred, count(*) as n from pts group by 1, 2, 3", "band gt pred n")
+def band_confusion(spark, sf_dir):
+    """Confusion by range band."""
+    return metrics.confusion(_said(spark, sf_dir), by=("band",))
+
+
+@query(f"""select cls, tp, fp, fn, points, iou, recall, precision, accuracy, avg(iou) over () as miou from (
+  select c as cls, cast(sum(case when gt = c and pred = c then 1 else 0 end) as bigint) as tp, cast(sum(case when gt <> c and pred = c then 1 else 0 end) as bigint) as fp, cast(sum(case when gt = c and pred <> c then 1 else 0 end) as bigint) as fn, count(*) as points,
+    sum(case when gt = c and pred = c then 1e0 else 0 end) / greatest(sum(case when gt = c or pred = c then 1e0 else 0 end), 1) as iou,
+    sum(case when gt = c and pred = c then 1e0 else 0 end) / greatest(sum(case when gt = c then 1e0 else 0 end), 1) as recall,
+    sum(case when gt = c and pred = c then 1e0 else 0 end) / greatest(sum(case when pred = c then 1e0 else 0 end), 1) as precision, avg(case when gt = pred then 1e0 else 0 end) as accuracy
+  from (select cls as gt, {_PRED} as pred from pts), (values (0), (1), (2), (3)) v(c) group by 1)""", "cls tp fp fn points", "iou recall precision accuracy miou")
+def class_scores(spark, sf_dir):
+    """IoU, recall, precision of each class, accuracy and mean IoU."""
+    return metrics.scores(metrics.confusion(_said(spark, sf_dir)))
+
+
+@query("select case when d < 10 then 0 when d < 20 then 1 when d < 40 then 2 when d < 70 then 3 when d < 100 then 4 end as band, count(*) as cells, quantile_cont(size, 0.5) as median_size, sqrt(avg(e * e)) as rmse, avg(abs(e)) as mae, avg(e) as bias, quantile_cont(abs(e), 0.95) as p95_abs from (select v.size, v.z - 0.01e0 * v.cx as e, sqrt(v.cx * v.cx + v.cy * v.cy) as d from view2 v join judged j on j.level = v.level and j.ix = v.ix and j.iy = v.iy where j.passable) where d < 100 group by 1", "band cells", "median_size rmse mae bias p95_abs")
+def elevation_errors(spark, sf_dir):
+    """Errors of passable cells against a sloping plane, by band."""
+    return metrics.elevation_error(_verdicts(spark, sf_dir).where("passable"), F.col("cx") * 0.01, 0.0, 0.0)
+
+
+@query("select event_type, count(value) as n, avg(value) as mean_ms, quantile_cont(value, 0.95) as p95_ms, 1000 / avg(value) as fps_mean, 1000 / quantile_cont(value, 0.95) as fps_worst from events group by 1", "event_type n", "mean_ms p95_ms fps_mean fps_worst")
+def latency_stats(spark, sf_dir):
+    """Latency figures of values by type."""
+    return metrics.latency(table(spark, sf_dir, "events"), "value", ("event_type",))
+
+
+@query("""select cls, n, weight from (select cls, n, raw / avg(raw) over () as weight from (
+  select c as cls, coalesce(n, 0) as n, 1 / sqrt(greatest(coalesce(n, 0) * 1e0 / sum(coalesce(n, 0)) over (), 0.000001e0)) as raw
+  from (values (0), (1), (2), (3)) v(c) left join (select cls, count(*) as n from pts where cls <> 3 group by 1) k on k.cls = c))""", "cls n", "weight")
+def class_weights(spark, sf_dir):
+    """Weights of classes; class 3 stands for unknown here."""
+    return metrics.class_weights(_points(spark, sf_dir).select(F.when(F.col("cls") == 3, 255).otherwise(F.col("cls")).alias("label")))
+
+
+@query("select cast(l as integer) as level, count(m.level) as cells from range(0, 5) r(l) left join map2 m on m.level = l group by 1", "level cells")
+def level_histogram(spark, sf_dir):
+    """Cells by level, empty levels included."""
+    return metrics.level_histogram(_map(spark, sf_dir), WIDE)
+
+
+@query("select f.l as fine, c.l as coarse, (select count(*) from (select distinct ix >> (c.l - f.l) as ix, iy >> (c.l - f.l) as iy from map2 where level = f.l) a join map2 m on m.level = c.l and m.ix = a.ix and m.iy = a.iy) as n from (values (0), (1), (2), (3), (4)) f(l), (values (0), (1), (2), (3), (4)) c(l) where f.l < c.l", "fine coarse n")
+def ancestor_overlaps(spark, sf_dir):
+    """Cells whose ancestor is on the map too."""
+    return metrics.overlaps(_map(spark, sf_dir), WIDE)
+
+
+@query(f"select 1e0 as points_mapped, 1e0 as leaf_level_consistency, 0::bigint as cross_level_overlaps, count(*) filter (where level > 0 and sqrt(greatest(ix * {_SIZE}, -ix * {_SIZE} - {_SIZE}, 0e0) * greatest(ix * {_SIZE}, -ix * {_SIZE} - {_SIZE}, 0e0) + greatest(iy * {_SIZE}, -iy * {_SIZE} - {_SIZE}, 0e0) * greatest(iy * {_SIZE}, -iy * {_SIZE} - {_SIZE}, 0e0)) < case level when 1 then 10e0 when 2 then 20e0 when 3 then 40e0 else 70e0 end - 0.000001e0) as ring_violations, 0e0 as alignment_error from map2", "cross_level_overlaps ring_violations", "points_mapped leaf_level_consistency alignment_error")
+def integrity_audit(spark, sf_dir):
+    """The map's invariants, measured."""
+    return metrics.audit(_points(spark, sf_dir), _map(spark, sf_dir), WIDE, 0.0, 0.0, ["point_id"])
+
+
+@query("select count(*) as scans, min(n) as points_min, max(n) as points_max, avg(n) as points_mean from (select frame_index, count(*) as n from pts group by 1)", "scans points_min points_max", "points_mean")
+def scan_report(spark, sf_dir):
+    """Scans and their sizes."""
+    return metrics.scan_report(_points(spark, sf_dir), "frame_index")
+
+
+@query(f"select avg(a) as accuracy from (select frame_index, avg(case when cls = {_PRED} then 1e0 else 0 end) as a from pts group by 1)", "", "accuracy")
+def frame_accuracy(spark, sf_dir):
+    """Mean over frames of accuracy."""
+    return metrics.frame_accuracy(_said(spark, sf_dir))
+
+
+# ---- rasters
+
+_IJ = "cast(trunc((y + 100e0) / 4e0) as integer) as i, cast(trunc((x + 100e0) / 4e0) as integer) as j"
+_LOW = f"select frame_index, i, j, min(z) as v, max(case when z < low + 0.4e0 then z end) - min(z) as relief from (select *, min(z) over (partition by frame_index, i, j) as low from (select frame_index, {_IJ}, z from pts)) group by 1, 2, 3"
+
+
+def _low(spark, sf_dir):
+    return raster.lowest(_points(spark, sf_dir), 100.0, 4.0)
+
+
+@query(_LOW, "frame_index i j", "v relief")
+def ground_cells(spark, sf_dir):
+    """Lowest return and relief of each 4 m raster cell."""
+    return _low(spark, sf_dir)
+
+
+_STEPS = "(values (1, 0), (-1, 0), (0, 1), (0, -1)) s(di, dj)"
+
+
+@query(f"with g as ({_LOW}) select a.frame_index, a.i, a.j, coalesce(max(abs(a.v - b.v)), 0e0) as step from g a, {_STEPS} left join g b on b.frame_index = a.frame_index and b.i = a.i + di and b.j = a.j + dj group by 1, 2, 3", "frame_index i j", "step")
+def raster_steps(spark, sf_dir):
+    """Largest step to a neighbour."""
+    return raster.step_height(_low(spark, sf_dir))
+
+
+@query(f"with g as ({_LOW}) select frame_index, i, j from g union select frame_index, i + di, j + dj from g, {_STEPS}", "frame_index i j")
+def raster_dilated(spark, sf_dir):
+    """Observed cells and their neighbours."""
+    return raster.dilate(_low(spark, sf_dir))
+
+
+_PLACE = "(frame_index * 1048576 + i) * 1048576 + j"
+
+
+@query(f"""with recursive g as (select *, {_PLACE} as id from ({_LOW})),
+e as (select a.id as a, b.id as b from g a, {_STEPS} join g b on b.frame_index = a.frame_index and b.i = a.i + di and b.j = a.j + dj where abs(a.v - b.v) <= 0.2e0),
+r(id, root) as (select id, id from g union select e.b, r.root from r join e on e.a = r.id)
+select frame_index, i, j, min(root) as component from g join r using (id) group by 1, 2, 3""", "frame_index i j component")
+def raster_components(spark, sf_dir):
+    """4-connected cells, cut at steps of over 0.2 m."""
+    return raster.components(cut(_low(spark, sf_dir)), 0.2)
+
+
+@query()
+def ground_raster(spark, sf_dir):
+    """The filled and smoothed ground raster of each frame."""
+    return raster.ground(_points(spark, sf_dir), 100.0, 4.0)
+
+
+@query()
+def drivable_cells(spark, sf_dir):
+    """The drivable region of each frame's raster."""
+    return raster.drivable_region(cut(raster.ground(_points(spark, sf_dir), 100.0, 4.0)), 60.0, 60.0, extent=100.0, cell=4.0)
+
+
+@query()
+def segmented_points(spark, sf_dir):
+    """Labels of the geometric segmenter."""
+    p = _points(spark, sf_dir).select("frame_index", "point_id", "x", "y", "z", "intensity")
+    return segment.segment(p, VEHICLE).select("frame_index", "point_id", "label", "height")
+
+
+@query("""select frame_index, component, n, ex, ey, top, base, 2 * sqrt(greatest(h - r, 0e0)) as thickness, 4 * sqrt(greatest(h + r, 0e0)) as length from (
+  select *, (cxx + cyy) / 2 as h, sqrt(greatest((cxx + cyy) / 2 * (cxx + cyy) / 2 - (cxx * cyy - cxy * cxy), 0e0)) as r from (
+    select frame_index, cls as component, count(*) as n, max(x) - min(x) as ex, max(y) - min(y) as ey, max(z) as top, min(z) as base, avg(x * x) - avg(x) * avg(x) as cxx, avg(y * y) - avg(y) * avg(y) as cyy, avg(x * y) - avg(x) * avg(y) as cxy from pts group by 1, 2))""", "frame_index component n", "ex ey top base thickness length", digits=4)
+def cluster_shapes(spark, sf_dir):
+    """Shapes of clusters, here of each frame's classes."""
+    p = _points(spark, sf_dir).select("frame_index", F.col("cls").alias("component"), "x", "y", F.col("z").alias("height"))
+    return segment.clusters(p).drop("dynamic")
+
+
+# ---- converters, simulator, sinks
+
+
+@query("select l_orderkey % 300 as raw, case when l_orderkey % 300 in (0, 1, 52) then 1 when l_orderkey % 300 in (11, 12, 13, 15, 16, 17, 18, 19, 20, 21) then 3 when l_orderkey % 300 in (10, 13, 15, 16, 18, 20, 30, 31, 32, 81) then 2 when l_orderkey % 300 in (40, 44, 48, 49, 60) then 0 else 1 end as label, count(*) as n from lineitem group by 1, 2", "raw label n")
+def remapped_labels(spark, sf_dir):
+    """Raw labels, with an instance number in the high bits, as classes."""
+    raw = (F.col("l_orderkey") % 300).alias("raw")
+    rows = table(spark, sf_dir, "lineitem").select(raw, geo.remap_label(F.col("l_orderkey") % 300 + F.col("l_linenumber") * 65536).cast("int").alias("label"))
+    return rows.groupBy("raw", "label").agg(F.count("*").alias("n"))
+
+
+@query("""select event_id, x * (1 - 2 * (qy * qy + qz * qz)) + y * 2 * (qx * qy - qz * qw) + z * 2 * (qx * qz + qy * qw) as rx, x * 2 * (qx * qy + qz * qw) + y * (1 - 2 * (qx * qx + qz * qz)) + z * 2 * (qy * qz - qx * qw) as ry, x * 2 * (qx * qz - qy * qw) + y * 2 * (qy * qz + qx * qw) + z * (1 - 2 * (qx * qx + qy * qy)) as rz
+from (select *, 0.8e0 as qw, 0.2e0 as qx, 0.4e0 as qy, 0.4e0 as qz from pts)""", "event_id", "rx ry rz")
+def rotated_points(spark, sf_dir):
+    """Points turned by a quaternion."""
+    m = geo.rotation(F.lit(0.8), F.lit(0.2), F.lit(0.4), F.lit(0.4))
+    v = [F.col(c) for c in "xyz"]
+    return _points(spark, sf_dir).select("event_id", *((m[i][0] * v[0] + m[i][1] * v[1] + m[i][2] * v[2]).alias(f"r{c}") for i, c in enumerate("xyz")))
+
+
+@query("select p_type, case when starts_with(p_type, 'ECONOMY') or starts_with(p_type, 'SMALL') then 3 when starts_with(p_type, 'STANDARD') then 2 end as cls, count(*) as n from part group by 1, 2", "p_type cls n")
+def prefixed_categories(spark, sf_dir):
+    """Categories by the beginning of their names."""
+    cls = F.when(geo.starts_with_any("p_type", ("ECONOMY", "SMALL")), 3).when(geo.starts_with_any("p_type", ("STANDARD",)), 2)
+    return table(spark, sf_dir, "part").select("p_type", cls.alias("cls")).groupBy("p_type", "cls").agg(F.count("*").alias("n"))
+
+
+_BOXES = [(k, (k * 37) % 150 - 75.0, (k * 53) % 150 - 75.0, 6.0 + k % 5, 9.0 + k % 7, 2 + k % 2) for k in range(40)]
+
+
+@query(f"""select p.event_id, coalesce(arg_max(b.cls, b.ord), 255) as label from pts p left join (values {', '.join(f'({k}, {_d(x)}, {_d(y)}, {_d(w)}, {_d(h)}, {c})' for k, x, y, w, h, c in _BOXES)}) b(ord, bx, by, w, h, cls)
+on abs((p.x - b.bx) * 0.96e0 + (p.y - b.by) * 0.28e0) <= b.w / 2 and abs((p.y - b.by) * 0.96e0 - (p.x - b.bx) * 0.28e0) <= b.h / 2 group by 1""", "event_id label")
+def boxed_points(spark, sf_dir):
+    """Points labelled by the last turned box that holds them."""
+    from ..sources import boxes
+
+    half = (0.9899494936611665, 0.0, 0.0, 0.1414213562373095)
+    rows = [(0, k, c, [x, y, 0.0], [w, h, 1e9], list(half)) for k, x, y, w, h, c in _BOXES]
+    made = spark.createDataFrame(rows, "sample_token int, ord int, cls int, centre array<double>, size array<double>, rotation array<double>")
+    p = _points(spark, sf_dir).select("event_id", F.lit(0).alias("sample_token"), *(F.col(c).alias(f"g{c}") for c in "xyz"))
+    return boxes.label_points(p, made, ["event_id"])
+
+
+@query("select n_name, r_name, count(*) as customers, cast(sum(case when o.c is null then 0 else o.c end) as bigint) as orders from customer c join nation n on n.n_nationkey = c.c_nationkey join region r on r.r_regionkey = n.n_regionkey left join (select o_custkey, count(*) as c from orders group by 1) o on o.o_custkey = c.c_custkey where exists (select 1 from orders x where x.o_custkey = c.c_custkey) group by 1, 2", "n_name r_name customers orders")
+def token_joins(spark, sf_dir):
+    """Dimension joins by token, with a semi join."""
+    t = lambda n: table(spark, sf_dir, n)
+    per = t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("c"))
+    named = t("customer").join(t("nation"), F.col("n_nationkey") == F.col("c_nationkey")).join(t("region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    return named.join(per, "c_custkey").groupBy("n_name", "r_name").agg(F.count("*").alias("customers"), F.sum("c").alias("orders"))
+
+
+@query("select (select count(*) from (select level, ix, iy from map0 intersect select level, ix, iy from wide_first where frame_index = 1)) as both, (select count(*) from (select level, ix, iy from map0 except select level, ix, iy from wide_first where frame_index = 1)) as old_only, (select count(*) from (select level, ix, iy from map0 union select level, ix, iy from wide_first where frame_index = 1)) as either", "both old_only either")
+def set_operations(spark, sf_dir):
+    """Keys of two maps: common, dropped and all."""
+    a, b = (_first(spark, sf_dir, f).select(*grid.KEY) for f in (0, 1))
+    said = lambda df, name: df.agg(F.count("*").alias(name))
+    return said(a.intersect(b), "both").crossJoin(said(a.join(b, grid.KEY, "left_anti"), "old_only")).crossJoin(said(a.unionByName(b).distinct(), "either"))
+
+
+_STREET = simulator.Street.make(7)
+
+
+def _height_sql() -> str:
+    c = "(1.6e0 * sin(x / 41e0) + 0.7e0 * sin(x / 13e0))"
+    u = f"abs(y - {c})"
+    clip = lambda v: f"least(greatest({v}, 0e0), 1e0)"
+    t, v, n = clip(f"({u} - 4.0e0) / 0.16e0"), clip(f"({u} - 6.2e0) / 1.5e0"), clip(f"{u} / 4.0e0")
+    waves = " + ".join(f"cast('{a!r}' as double) * sin(cast('{fx!r}' as double) * x + cast('{fy!r}' as double) * y + cast('{p!r}' as double))" for a, fx, fy, p in _STREET.waves.tolist())
+    holes = " + ".join(f"cast('{d!r}' as double) * exp(-((x - cast('{px!r}' as double)) * (x - cast('{px!r}' as double)) + (y - cast('{py!r}' as double)) * (y - cast('{py!r}' as double))) / (0.5e0 * cast('{r!r}' as double) * cast('{r!r}' as double)))" for px, py, r, d in _STREET.potholes.tolist())
+    return f"0.30e0 * sin(x / 47e0) + 0.0035e0 * x + {waves} - case when {u} < 4.0e0 then 0.035e0 * {n} * {n} else 0e0 end + 0.16e0 * ({t} * {t} * (3 - 2 * {t})) + {v} * (0.22e0 + 0.10e0 * sin(2.9e0 * x + 3.1e0 * y)) - ({holes})"
+
+
+@query(f"select event_id, {_height_sql()} as height from (select event_id, x + 100e0 as x, y / 10e0 as y from pts)", "event_id", "height")
+def terrain_height(spark, sf_dir):
+    """The simulated street's height under points."""
+    p = _points(spark, sf_dir).select("event_id", (F.col("x") + 100).alias("x"), (F.col("y") / 10).alias("y"))
+    return p.select("event_id", _STREET.height(F.col("x"), F.col("y")).alias("height"), )
+
+
+@query()
+def simulated_scan(spark, sf_dir):
+    """Points of two simulated frames by class, with their mean range."""
+    points, _ = simulator.scans(spark, range(2), 7, Sensor(azimuth_steps=256))
+    return points.groupBy("frame_index", "label").agg(F.count("*").alias("n"), F.avg(geo.planar_range()).alias("reach"))
+
+
+@query("select frame_index, count(*) as n, cast(sum(hash_x) as bigint) as sum_x, cast(sum(hash_z) as bigint) as sum_z from (select frame_index, cast(round_even(x * 100, 0) as bigint) as hash_x, cast(least(greatest(round_even(z * 100, 0), -32768), 32767) as bigint) as hash_z from pts) group by 1", "frame_index n sum_x sum_z")
+def quantised_points(spark, sf_dir):
+    """Sums of the 16-bit centimetres that a payload holds."""
+    p = _points(spark, sf_dir).select("frame_index", scans.centimetres("x").alias("x"), scans.centimetres("z").alias("z"))
+    return p.groupBy("frame_index").agg(F.count("*").alias("n"), F.sum("x").alias("sum_x"), F.sum("z").alias("sum_z"))
+
+
+@query()
+def payloads(spark, sf_dir):
+    """Base64 payload of each frame."""
+    return scans.payload(_points(spark, sf_dir))
+
+
+@query("select event_id, x - lag(x) over w as dx, y - lag(y) over w as dy, row_number() over w - 1 as seq from pts window w as (partition by frame_index order by event_id)", "event_id seq", "dx dy")
+def path_steps(spark, sf_dir):
+    """Steps along each frame's points in order."""
+    w = Window.partitionBy("frame_index").orderBy("event_id")
+    return _points(spark, sf_dir).select("event_id", (F.row_number().over(w) - 1).cast("long").alias("seq"), (F.col("x") - F.lag("x").over(w)).alias("dx"), (F.col("y") - F.lag("y").over(w)).alias("dy"))
+
+
+@query("select kx, ky, d from (select kx, ky, sqrt(((kx + 0.5e0) * 8e0 - 20e0) * ((kx + 0.5e0) * 8e0 - 20e0) + ((ky + 0.5e0) * 8e0 - 5e0) * ((ky + 0.5e0) * 8e0 - 5e0)) as d from passed where passable) order by d, kx, ky limit 5", "kx ky", "d")
+def nearest_tiles(spark, sf_dir):
+    """The five passable tiles nearest to a place."""
+    d = geo.planar_range((F.col("kx") + 0.5) * 8.0 - 20.0, (F.col("ky") + 0.5) * 8.0 - 5.0)
+    return _linked(spark, sf_dir).where("passable").select("kx", "ky", d.alias("d")).orderBy("d", "kx", "ky").limit(5)
