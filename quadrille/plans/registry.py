@@ -616,8 +616,8 @@ def prefixed_categories(spark, sf_dir):
 _BOXES = [(k, (k * 37) % 150 - 75.0, (k * 53) % 150 - 75.0, 6.0 + k % 5, 9.0 + k % 7, 2 + k % 2) for k in range(40)]
 
 
-@query(f"""select p.event_id, coalesce(arg_max(b.cls, b.ord), 255) as label from pts p left join (values {', '.join(f'({k}, {_d(x)}, {_d(y)}, {_d(w)}, {_d(h)}, {c})' for k, x, y, w, h, c in _BOXES)}) b(ord, bx, by, w, h, cls)
-on abs((p.x - b.bx) * 0.96e0 + (p.y - b.by) * 0.28e0) <= b.w / 2 and abs((p.y - b.by) * 0.96e0 - (p.x - b.bx) * 0.28e0) <= b.h / 2 group by 1""", "event_id label")
+@query(f"""select p.event_id, coalesce(arg_max(b.cls, b.ord), 255) as label from pts p left join (values {', '.join(f'({k}, {_d(x)}, {_d(y)}, {_d(w)}, {_d(h)}, {c})' for k, x, y, w, h, c in _BOXES)}) b(ord, box_x, box_y, w, h, cls)
+on abs((p.x - b.box_x) * 0.96e0 + (p.y - b.box_y) * 0.28e0) <= b.w / 2 and abs((p.y - b.box_y) * 0.96e0 - (p.x - b.box_x) * 0.28e0) <= b.h / 2 group by 1""", "event_id label")
 def boxed_points(spark, sf_dir):
     """Points labelled by the last turned box that holds them."""
     from ..sources import boxes
@@ -638,12 +638,12 @@ def token_joins(spark, sf_dir):
     return named.join(per, "c_custkey").groupBy("n_name", "r_name").agg(F.count("*").alias("customers"), F.sum("c").alias("orders"))
 
 
-@query("select (select count(*) from (select level, ix, iy from map0 intersect select level, ix, iy from wide_first where frame_index = 1)) as both, (select count(*) from (select level, ix, iy from map0 except select level, ix, iy from wide_first where frame_index = 1)) as old_only, (select count(*) from (select level, ix, iy from map0 union select level, ix, iy from wide_first where frame_index = 1)) as either", "both old_only either")
+@query("select (select count(*) from (select level, ix, iy from map0 intersect select level, ix, iy from wide_first where frame_index = 1)) as shared, (select count(*) from (select level, ix, iy from map0 except select level, ix, iy from wide_first where frame_index = 1)) as old_only, (select count(*) from (select level, ix, iy from map0 union select level, ix, iy from wide_first where frame_index = 1)) as either", "shared old_only either")
 def set_operations(spark, sf_dir):
     """Keys of two maps: common, dropped and all."""
     a, b = (_first(spark, sf_dir, f).select(*grid.KEY) for f in (0, 1))
     said = lambda df, name: df.agg(F.count("*").alias(name))
-    return said(a.intersect(b), "both").crossJoin(said(a.join(b, grid.KEY, "left_anti"), "old_only")).crossJoin(said(a.unionByName(b).distinct(), "either"))
+    return said(a.intersect(b), "shared").crossJoin(said(a.join(b, grid.KEY, "left_anti"), "old_only")).crossJoin(said(a.unionByName(b).distinct(), "either"))
 
 
 _STREET = simulator.Street.make(7)
