@@ -2,7 +2,7 @@
 
 Text is normalised (lower case, words of letters and digits) and taken by line, and whole. A unit and a
 template can reach the threshold t only if their numbers of distinct bigrams a and b hold t/(2-t) <= a/b <= (2-t)/t, so
-units of other sizes meet no template; what is left is matched bigram by bigram with the templates' few hundred bigrams
+units of other sizes meet no template; units without a word of the bigrams that any match must share are not taken apart; what is left is matched bigram by bigram with the templates' few hundred bigrams
 (a fixed table, small by construction, and so broadcast).
 
 Defined cases: null text has no unit; units of fewer than two words have no bigrams; repeated bigrams count once; ties
@@ -12,6 +12,8 @@ rows that repeat a doc_id count as one document.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,9 +34,14 @@ TEMPLATES = {
 }
 
 
-def words(text: Column) -> Column:
-    """Normalised words."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
+def normalised(text: Column) -> Column:
+    """Lower-case words of letters and digits with one blank between them."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+
+
+def words(line: Column) -> Column:
+    """Words of a normalised line; one empty word, which has no bigram, for an empty line."""
+    return F.split(line, " ")
 
 
 def bigrams(found: Column) -> Column:
@@ -45,7 +52,7 @@ def bigrams(found: Column) -> Column:
 
 def templates(spark: SparkSession, named: dict[str, str] | None = None) -> DataFrame:
     rows = spark.createDataFrame(list((named or TEMPLATES).items()), "license string, notice string")
-    return rows.select("license", bigrams(words(F.col("notice"))).alias("grams")).withColumn("n_template", F.size("grams"))
+    return rows.select("license", bigrams(words(normalised(F.col("notice")))).alias("grams")).withColumn("n_template", F.size("grams"))
 
 
 def matches(docs: DataFrame, threshold: float = 0.8, named: dict[str, str] | None = None) -> DataFrame:
@@ -56,13 +63,21 @@ def matches(docs: DataFrame, threshold: float = 0.8, named: dict[str, str] | Non
     spark = docs.sparkSession
     all_templates = templates(spark, named)
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    sizes = all_templates.agg(F.min("n_template").alias("a"), F.max("n_template").alias("b")).first()
+    rows = all_templates.collect()  # the fixed table
+    least, most = min(r["n_template"] for r in rows), max(r["n_template"] for r in rows)
     lines = F.split("text", "\n")
     units = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).select("doc_id", F.posexplode(F.when(F.size(lines) > 1, F.concat(lines, F.array("text"))).otherwise(lines)).alias("unit", "said"), F.size(lines).alias("n"))
     # a bigram takes at least two characters of its own, so lines too short for the smallest template are not split
-    short = units.where(F.length("said") >= 2 * sizes["a"] * low)
-    counted = short.select("doc_id", F.when(F.col("unit") == F.col("n"), -1).otherwise(F.col("unit")).alias("unit"), bigrams(words(F.col("said"))).alias("grams"))
-    counted = counted.withColumn("n_unit", F.size("grams")).where((F.col("n_unit") >= sizes["a"] * low) & (F.col("n_unit") <= sizes["b"] * high))
+    short = units.where(F.length("said") >= 2 * least * low)
+    lined = short.select("doc_id", F.when(F.col("unit") == F.col("n"), -1).otherwise(F.col("unit")).alias("unit"), F.explode(F.array(words(normalised(F.col("said"))))).alias("words"))
+    # a generator's output, so that the filter below does not normalise again
+    # at least low * b of b bigrams are shared, so a match holds one of any b - low * b + 1: the longest, and their longer words
+    asked = {g for r in rows for g in sorted(r["grams"], key=lambda g: (-len(g), g))[: r["n_template"] - math.ceil(low * r["n_template"] - 1e-9) + 1]}
+    rare = sorted({max(g.split(), key=len) for g in asked})
+    # each distinct word but the first ends a distinct bigram
+    some = F.arrays_overlap("words", F.array(*map(F.lit, rare))) & (F.size(F.array_distinct("words")) - 1 <= most * high)
+    counted = lined.where(some).select("doc_id", "unit", bigrams(F.col("words")).alias("grams"))
+    counted = counted.withColumn("n_unit", F.size("grams")).where((F.col("n_unit") >= least * low) & (F.col("n_unit") <= most * high))
     table = F.broadcast(all_templates.select("license", "n_template", F.explode("grams").alias("gram")))
     sized = (F.col("n_unit") >= F.col("n_template") * low) & (F.col("n_unit") <= F.col("n_template") * high)
     shared = counted.select("doc_id", "unit", "n_unit", F.explode("grams").alias("gram")).join(table, "gram").where(sized)
