@@ -37,10 +37,14 @@ class WordIds:
     frequent ones stay.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, most: int = 400_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # the same model for words of lower-case letters, which its normaliser and splitter leave as they are
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -54,7 +58,7 @@ class WordIds:
         plain = [w for w in words if w.isalpha()]
         for k in range(0, len(plain), 1000):
             part = plain[k : k + 1000]
-            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            e = self.plain.encode(" ".join(part), add_special_tokens=False)
             number = np.array(e.word_ids)
             first = np.flatnonzero(np.r_[True, number[1:] != number[:-1]]).tolist()
             raw = np.asarray(e.ids, "<u4").tobytes()
@@ -65,21 +69,23 @@ class WordIds:
                 self.known.update((w, self.whole(w)) for w in part)
         self.known.update((w, self.whole(w)) for w in words if not w.isalpha())
 
+    def _missing(self, words: set[str]) -> set[str]:
+        """Words not known; those of the older generation become known again."""
+        missing = words.difference(self.known)
+        old = self.old
+        again = {w: old[w] for w in missing if w in old}
+        self.known.update(again)
+        return missing.difference(again)
+
     def _learn(self, words: set[str]) -> None:
         if len(self.known) + len(words) > self.most:
             self.old, self.known = self.known, {}
-        known, old = self.known, self.old
-        parts = {w: [w] if w.isalpha() else SPLIT.findall(w) for w in words if w not in known}
-        fresh = set()
-        for own in parts.values():
-            for p in own:
-                if p not in known:
-                    if p in old:
-                        known[p] = old[p]
-                    else:
-                        fresh.add(p)
-        self._encode(sorted(fresh))
-        known.update((w, b"".join([known[p] for p in own])) for w, own in parts.items() if len(own) != 1 or own[0] != w)
+        missing = self._missing(words)
+        mixed = {w: SPLIT.findall(w) for w in missing if not w.isalpha()}
+        parts = self._missing({p for own in mixed.values() for p in own})
+        self._encode(list(parts.union(w for w in missing if w not in mixed)))
+        known = self.known
+        known.update((w, b"".join([known[p] for p in own])) for w, own in mixed.items() if own != [w])
 
     def batch(self, texts: list[str], group: int = 1 << 18) -> Iterator[bytes]:
         """ids of each text as bytes; words are learnt for texts of some `group` characters at a time."""
