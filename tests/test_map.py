@@ -299,25 +299,6 @@ def test_live_map_equals_replay(spark, tmp_path):
     assert key(m.cells()) == key(expected) and m.last_frame() == 2
 
 
-def test_pipeline_over_two_frames(spark):
-    from quadrille.plans.pipeline import MapPipeline
-
-    s = Settings()
-    pipe = MapPipeline(spark, s)
-    points, poses = simulator.scans(spark, range(2), 21, Sensor(azimuth_steps=256))
-    points = cut(points)
-    for pose in poses.orderBy("frame_index").collect():
-        own = points.where(F.col("frame_index") == pose.frame_index).withColumnRenamed("label", "gt")
-        result = pipe.process(own, pose.asDict())
-    changed = result.points.where("label <> refined_label")
-    assert changed.where("label <> 0 or refined_label <> 1").count() == 0
-    assert result.points.count() == own.count() and pipe.memory().first().reduction > 20
-    v = result.verdicts.agg(F.min("score"), F.max("score"), F.sum((F.col("blocked") & F.col("passable")).cast("int")), F.count("*")).first()
-    assert 0 <= v[0] <= v[1] <= 1 and v[2] == 0 and v[3] == result.cells.count()
-    right = result.points.agg(F.avg((F.col("refined_label") == F.col("gt")).cast("double"))).first()[0]
-    assert right > 0.6 and result.fps > 0
-
-
 def test_npz_data_source(spark, tmp_path):
     from quadrille.session import reachable
 
