@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrille.llm import decontam, exact_dedup, packing, simhash, toxicity
+from quadrille.llm import decontam, exact_dedup, near, packing, simhash, toxicity
 from quadrille.llm.common import cut, table
 from quadrille.session import reachable
 
@@ -25,11 +25,16 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return _without(docs, cut(exact_dedup.groups(docs).where("not kept").select("doc_id")))
 
 
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_linked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by fingerprints the one of the smallest doc_id stays."""
     return _without(docs, cut(simhash.components(docs).where("doc_id <> component_id").select("doc_id")))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a five-word similarity of 0.8 or more the one of the smallest doc_id stays."""
+    return _without(docs, cut(near.components(docs).where("doc_id <> component_id").select("doc_id")))
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
     return _without(docs, cut(decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id")))
@@ -40,7 +45,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs, packing.vocabulary_path())
 
 
-STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_exact_copies), ("simhash", drop_near_copies), ("decontamination", drop_contaminated), ("packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_exact_copies), ("simhash", drop_linked), ("near_copies", drop_near_copies), ("decontamination", drop_contaminated), ("packing", pack)]
 
 ORACLE_SQL = None  # hashing, alignment and a fitted model; the tests hold run() against a brute-force version
 

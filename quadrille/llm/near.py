@@ -1,0 +1,174 @@
+"""Near copies by the exact Jaccard similarity of five-word shingles, at 0.8 or more.
+
+Shingles are put in one order for all texts: those common in a sample last, else by hash. Of two sets with similarity 0.8
+the first fifth of each holds a common shingle, so sets that share none there are no pair, and the place of the shared
+shingle and both sizes bound the overlap; what is left is compared set by set. No pair is lost, whatever the sample says.
+Only connected components are asked for: first the sets of a shingle meet one of them, over a few rounds, then all pairs
+that are still in different components meet, so a large group of copies does not emit all its pairs.
+
+Defined cases: A-Z are lower-cased and words are what white space parts; texts of fewer than five words are one shingle of
+all their words; null text counts as empty, and texts without words are copies of each other; shingles are compared by
+64-bit hashes; rows of null doc_id take no part; rows that repeat a doc_id are told apart by their sets.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import connected, cut, text_or_empty
+
+WORDS = 5
+#: One in SAMPLE texts is looked at for common shingles; at most COMMON of them are held.
+SAMPLE, COMMON, ROUNDS = 32, 50_000, 3
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+
+
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+def shingles(text: bytes, known: _Hashes) -> np.ndarray:
+    """Hashes of the distinct shingles, ascending."""
+    found = text.lower().split()
+    if len(found) < WORDS:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(found))] if found else [], np.uint64)
+    h = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+    n = len(h) - WORDS + 1
+    mixed = np.zeros(n, np.uint64)
+    for i, f in enumerate(_FACTORS):
+        part = h[i : i + n] * f
+        mixed += part ^ (part >> np.uint64(29))
+    return np.unique(mixed)
+
+
+def node_of(found: np.ndarray) -> int:
+    """Name of a set: equal sets are one node."""
+    h = xxhash.xxh3_64_intdigest(found.tobytes())
+    return h - 2**64 if h >= 2**63 else h
+
+
+def prefix(found: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The shingles of which a set at similarity 0.8 or more shares one: n - ceil(4n/5) + 1, the least in the order."""
+    n = len(found)
+    order = np.zeros(n, np.int64)
+    if len(common) and n:
+        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+        order = np.where(common[at] == found, rank[at], 0)
+    return found[np.lexsort((found, order))][: n - -(-4 * n // 5) + 1]
+
+
+def _common(rows: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    def run(batches):
+        known = _Hashes()
+        for b in batches:
+            for t in b.column(0).cast(pa.binary()):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py(), known).view(np.int64))], names=["token"])
+
+    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(sample)) == 0).select("text").mapInArrow(run, "token long")
+    top = some.groupBy("token").count().where("count >= 3").orderBy(F.desc("count"), "token").limit(COMMON).collect()
+    token = np.array([r["token"] for r in top], np.int64).view(np.uint64)
+    by = token.argsort()
+    return token[by], np.array([r["count"] for r in top], np.int64)[by]
+
+
+def _signed(rows: DataFrame, sample: int) -> DataFrame:
+    common, rank = _common(rows, sample)
+
+    def run(batches):
+        known = _Hashes()
+        for b in batches:
+            node, size, first = [], [], []
+            for t in b.column(1).cast(pa.binary()):
+                found = shingles(t.as_py(), known)
+                node.append(node_of(found))
+                size.append(len(found))
+                first.append(prefix(found, common, rank).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "node", "size", "first"])
+
+    return cut(rows.mapInArrow(run, "doc_id long, node long, size int, first array<long>"))
+
+
+def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, found) with the sets of wanted(doc_id, node) as bytes."""
+
+    def run(batches):
+        known = _Hashes()
+        for b in batches:
+            for node, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary())):
+                found = shingles(t.as_py(), known)
+                if node_of(found) == node:  # another row may have the same doc_id
+                    yield pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), pa.array([found.tobytes()], pa.binary())], names=["node", "found"])
+
+    return cut(rows.join(wanted, "doc_id").select("node", "text").mapInArrow(run, "node long, found binary").dropDuplicates(["node"]))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs(a, b) of similarity 0.8 or more."""
+
+    def run(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                keep.append(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    one = lambda c: sets.select(F.col("node").alias(c), F.col("found").alias(f"found_{c}"))
+    both = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "found_a", "found_b")
+    return cut(both.mapInArrow(run, "a long, b long"))
+
+
+def _fits(x: str, y: str):
+    """Whether the sizes and places of a shared shingle allow a similarity of 0.8, if it is the first that is shared."""
+    size_x, size_y = F.col(f"size{x}").cast("long"), F.col(f"size{y}").cast("long")
+    rest = F.least(size_x - F.col(f"pos{x}"), size_y - F.col(f"pos{y}"))
+    return 9 * rest >= 4 * (size_x + size_y)
+
+
+def components(docs: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS) -> DataFrame:
+    """(doc_id, component_id): the least doc_id that similar texts reach, itself included; null doc_ids are left out."""
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    signed = _signed(rows, sample)
+    own = Window.partitionBy("token")
+    keyed = signed.select("node", "size", F.posexplode("first").alias("pos", "token"))
+    met = keyed.select("*", F.min("node").over(own).alias("lo"), F.max("node").over(own).alias("hi")).where("lo < hi")
+    shared = cut(met.select("token", "node", "size", "pos").distinct())
+    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    edges = labels = None
+    if not shared.isEmpty():
+        wanted = shared.select("node").distinct().join(nodes, "node").select("doc_id", "node")
+        sets = _sets(rows, wanted)
+        for k in range(rounds + 1):
+            if labels is None:
+                open_ = shared.withColumn("root", F.col("node"))
+            else:
+                named = shared.join(labels.withColumnRenamed("root", "known"), "node", "left").withColumn("root", F.coalesce("known", "node")).drop("known")
+                ends = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
+                open_ = cut(named.join(ends, "token", "left_semi"))
+            right = open_.select("token", *(F.col(c).alias(f"{c}2") for c in ("node", "size", "pos", "root")))
+            if k < rounds:  # one set of each shingle, another in each round
+                some = F.min_by(F.struct("node2", "size2", "pos2", "root2"), F.xxhash64("node2", F.lit(k)))
+                right = right.groupBy("token").agg(some.alias("s")).select("token", "s.*")
+            pairs = open_.join(right, "token").where((F.col("root") != F.col("root2")) & _fits("", "2"))
+            pairs = cut(pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct())
+            if pairs.isEmpty():
+                continue
+            found = _similar(pairs, sets)
+            if found.isEmpty():
+                continue
+            edges = found if edges is None else edges.unionByName(found)
+            labels = connected(edges)
+    if labels is None:
+        named = nodes.select("node", F.col("doc_id").alias("component_id"))
+    else:
+        rooted = nodes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        named = rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("node", "component_id")
+    return signed.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
