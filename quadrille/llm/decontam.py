@@ -1,20 +1,23 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: word-pair seeds, counted against an exact bound, then Smith-Waterman alignment.
 
-Words are lower-cased runs of letters and digits. The document frequency of every n-gram of the test items is counted
-over the whole corpus; in each stretch of an item its rarest n-gram becomes a seed, so that a copy edited elsewhere
-still holds one. Seeds found in a document propose an item at a diagonal; the words around it are aligned with the item
-by Smith-Waterman, and the score as a share of the item's best possible one decides.
+Words are lower-cased runs of letters and digits. Seeds are all pairs of words that follow each other in an item; a text
+holds a seed joined, or split by one word of its own. An alignment of at least half the best score of an item of L words
+that holds c joined and s split seeds has 3c + s >= L - 3, within 2L words of the text: with m words matched, o other gaps
+between them and the edits' costs, 2m - s - o >= L gives 2c + s + o + 2 >= L, and as every other gap takes a word of the
+item or costs two, o <= c + 1. Texts and items below that bound cannot align, whatever the edits; the words around the
+rest are aligned by Smith-Waterman, and the score as a share of the item's best possible one decides. Items of at most
+three words, or a threshold under a half, to which the bound says nothing, are aligned wherever a word is shared.
 
 Items come in blocks of at most `block` rows (a query set against all rows), so what every task holds is bounded; the
-texts are never shuffled. Defined cases: null text counts as empty; items of fewer than `n` words are one seed of all
-their words; items without words match nothing; equal items each get their row; a document with several copies of an
-item gets a row for the best, the first on ties; rows of null doc_id give rows of null doc_id.
+texts are never shuffled. Defined cases: null text counts as empty; items without words match nothing; equal items each
+get their row; a document with several copies of an item gets a row for the best, the first on ties; rows of null doc_id
+give rows of null doc_id.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import text_or_empty
 
 WORD = re.compile(r"[^\W_]+")
-N, STRETCH, BLOCK = 3, 6, 5_000
+BLOCK = 5_000
 #: Alignment by words: equal, different, gap.
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
@@ -34,46 +37,6 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def grams(found: list[str], n: int = N) -> list[str]:
-    """n-grams in order; all words together if there are fewer."""
-    if len(found) < n:
-        return [" ".join(found)] if found else []
-    return [" ".join(g) for g in zip(*(found[i:] for i in range(n)))]
-
-
-def frequencies(docs: DataFrame, wanted: set[str], n: int = N) -> dict[str, int]:
-    """Documents that hold each wanted n-gram; at most len(wanted) rows come to the driver."""
-    short = {g for g in wanted if g.count(" ") < n - 1}
-
-    def run(batches):
-        total: Counter = Counter()
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                total.update(_present(words(t), wanted, short, n))
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["gram", "n"])
-
-    found = docs.select(text_or_empty().alias("text")).mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {r["gram"]: r["n"] for r in found.collect()}
-
-
-def _present(found: list[str], wanted, short: set[str], n: int) -> set[str]:
-    here = wanted.intersection(map(" ".join, zip(*(found[i:] for i in range(n)))))
-    for size in {g.count(" ") + 1 for g in short}:
-        here |= short.intersection(map(" ".join, zip(*(found[i:] for i in range(size)))))
-    return here
-
-
-def seeds(items: dict[int, list[str]], df: dict[str, int], n: int = N, stretch: int = STRETCH) -> dict[str, list[tuple[int, int]]]:
-    """{seed: [(item, position)]}: of every stretch of n-grams the rarest, the first on ties."""
-    out: dict[str, list[tuple[int, int]]] = defaultdict(list)
-    for item, found in items.items():
-        own = grams(found, n)
-        for k in range(0, len(own), stretch):
-            at = min(range(k, min(k + stretch, len(own))), key=lambda i: (df.get(own[i], 0), i))
-            out[own[at]].append((item, at))
-    return dict(out)
-
-
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     """(score, start, end) of the best local alignment of item a in words b; start and end count in b.
 
@@ -106,62 +69,95 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
+def _index(rows: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys ascending, where each one's items begin, and the items."""
+    pairs = np.array(sorted(set(rows)), np.int64).reshape(-1, 2)
+    keys, first = np.unique(pairs[:, 0], return_index=True)
+    return keys, np.r_[first, len(pairs)], pairs[:, 1]
+
+
+def _hits(asked: np.ndarray, index: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(item, place) for each place of asked whose key an item has."""
+    keys, first, items = index
+    if not len(keys) or not len(asked):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    place = np.flatnonzero(keys[at] == asked)
+    at = at[place]
+    n = first[at + 1] - first[at]
+    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return items[np.repeat(first[at], n) + inside], np.repeat(place, n)
+
+
 class Block:
-    """A block of items with its seeds and word numbers."""
+    """A block of items with their seeds and word numbers."""
 
-    def __init__(self, items: dict[int, list[str]], found: dict[str, list[tuple[int, int]]], n: int = N):
-        self.seeds, self.n = found, n
-        self.keys = frozenset(found)
-        self.short = {g for g in found if g.count(" ") < n - 1}
-        self.ids: dict[str, int] = {}
+    def __init__(self, items: dict[int, list[str]], threshold: float):
+        self.threshold, self.ids = threshold, {}
         self.items = {i: np.array([self.ids.setdefault(w, len(self.ids)) for w in x], np.int64) for i, x in items.items()}
-
-    def matches(self, text: str, threshold: float) -> list[tuple[int, float, int, int]]:
+        self.length = np.zeros(max(items, default=-1) + 1, np.int64)
+        for i, x in self.items.items():
+            self.length[i] = len(x)
+        loose = {i for i, x in self.items.items() if len(x) <= 3 or threshold < 0.5}
+        self.width = len(self.ids)
+        self.single = _index([(w, i) for i in loose for w in self.items[i].tolist()])
+        self.pairs = _index([(k, i) for i, x in self.items.items() if i not in loose for k in (x[:-1] * self.width + x[1:]).tolist()])
+
+    def _keys(self, ids: np.ndarray, far: int) -> np.ndarray:
+        a, b = ids[:-far], ids[far:]
+        return np.where((a >= 0) & (b >= 0), a * self.width + b, -1)
+
+    def _may(self, a: np.ndarray, b: np.ndarray) -> bool:
+        """Whether the bound, and the half of the words that must match, are reached with each place of the item used once."""
+        if 2 * np.isin(a, b).sum() < len(a):
+            return False
+        own = a[:-1] * self.width + a[1:]
+        joined, split = (np.isin(own, self._keys(b, far)).sum() for far in (1, 2))
+        return bool(3 * joined + split >= len(a) - 3)
+
+    def matches(self, text: str) -> list[tuple[int, float, int, int]]:
         """(item, score, start, end) by item; start and end count words of the text."""
         said = words(text)
-        sizes = {self.n} | {g.count(" ") + 1 for g in self.short}
-        anchors: dict[int, set[int]] = defaultdict(set)
-        for size in sizes:
-            pool = self.keys if size == self.n else self.short
-            if pool.isdisjoint(map(" ".join, zip(*(said[i:] for i in range(size))))):
-                continue
-            for at, g in enumerate(map(" ".join, zip(*(said[i:] for i in range(size))))):
-                if g in pool:
-                    for item, k in self.seeds[g]:
-                        anchors[item].add(at - k)
-        if not anchors:
-            return []
-        ids = np.array([self.ids.get(w, -1) for w in said], np.int64)
+        ids = np.fromiter(map(self.ids.get, said, repeat(-1)), np.int64, len(said))
+        whole = {int(i): [(0, len(ids))] for i in np.unique(_hits(ids, self.single)[0])} if len(self.single[0]) else {}
+        joined, split = (_hits(self._keys(ids, far), self.pairs) for far in (1, 2))
+        item, place = np.concatenate([joined[0], split[0]]), np.concatenate([joined[1], split[1]])
+        weight = np.repeat([3, 1], [len(joined[0]), len(split[0])])
+        total = np.bincount(item, weight, minlength=len(self.length))
+        for i in np.flatnonzero((total >= self.length - 3) & (total > 0)).tolist():
+            own = item == i
+            by = place[own].argsort(kind="stable")
+            spans = _windows(place[own][by], weight[own][by], int(self.length[i]), len(ids))
+            if spans := [x for x in spans if self._may(self.items[i], ids[x[0] : x[1]])]:
+                whole[i] = spans
         out = []
-        for item, starts in sorted(anchors.items()):
-            a, best = self.items[item], (0.0, 0, 0)
-            slack = len(a) // 2 + 2
-            for lo, hi in _windows(sorted(starts), len(a), slack, len(ids)):
+        for i, spans in sorted(whole.items()):
+            a, best = self.items[i], (0.0, 0, 0)
+            for lo, hi in spans:
                 score, s, e = align(a, ids[lo:hi])
                 share = score / (MATCH * len(a))
                 if share > best[0]:
                     best = (share, lo + s, lo + e)
-            if best[0] >= threshold:
-                out.append((item, round(best[0], 6), best[1], best[2]))
+            if best[0] >= self.threshold:
+                out.append((i, round(best[0], 6), best[1], best[2]))
         return out
 
 
-def _windows(starts: list[int], length: int, slack: int, most: int):
-    """Word ranges around the diagonals, overlapping ones joined but none over four item lengths."""
-    span = None
-    for s in starts:
-        lo, hi = max(0, s - slack), min(most, s + length + slack)
-        if span and lo <= span[1] and hi - span[0] <= 4 * (length + 2 * slack):
-            span = (span[0], max(hi, span[1]))
-            continue
-        if span:
-            yield span
-        span = (lo, hi)
-    if span:
-        yield span
+def _windows(place: np.ndarray, weight: np.ndarray, length: int, most: int) -> list[tuple[int, int]]:
+    """Word ranges, overlapping ones joined, around the places from which 2 * length words reach the bound."""
+    upto = np.r_[0, np.cumsum(weight)]
+    reached = upto[np.searchsorted(place, place + 2 * length)] - upto[np.searchsorted(place, place)]
+    out: list[tuple[int, int]] = []
+    for p in place[reached >= length - 3].tolist():
+        lo, hi = max(0, p - 2 * length), min(most, p + 2 * length)
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], hi)
+        else:
+            out.append((lo, hi))
+    return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = N, block: int = BLOCK) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(doc_id, item_id, score, start_word, end_word) for each document and item that align, in blocks of items."""
     schema = "doc_id long, item_id long, score double, start_word long, end_word long"
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
@@ -175,7 +171,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
             last = rows[-1]["item_id"]
             rows = [r for r in rows if r["item_id"] < last] or listed.where(F.col("item_id") == last).collect()
         after = rows[-1]["item_id"]
-        parts.append(_block(source, rows, threshold, n, schema))
+        parts.append(_block(source, rows, threshold, schema))
     if not parts:
         return docs.sparkSession.createDataFrame([], schema)
     out = parts[0]
@@ -184,20 +180,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     return out
 
 
-def _block(source: DataFrame, rows, threshold: float, n: int, schema: str) -> DataFrame:
+def _block(source: DataFrame, rows, threshold: float, schema: str) -> DataFrame:
     texts = [(r["item_id"], words(r["text"])) for r in rows]
     items = {k: w for k, (_, w) in enumerate(texts) if w}
     names = {k: i for k, (i, _) in enumerate(texts)}
-    df = frequencies(source, {g for w in items.values() for g in grams(w, n)}, n)
-    found = seeds(items, df, n)
 
     def run(batches):
-        own = Block(items, found, n)
+        own = Block(items, threshold)
         for b in batches:
             out = []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 best: dict[int, tuple] = {}
-                for item, score, s, e in own.matches(t, threshold):
+                for item, score, s, e in own.matches(t):
                     i = names[item]
                     if i not in best or score > best[i][0]:
                         best[i] = (score, s, e)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quadrille.llm import near
+from quadrille.llm import decontam, near
 from quadrille.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -68,3 +68,41 @@ def test_pipeline_leaves_no_near_copies(spark):
 def test_near_copies_without_rows(spark):
     assert near.components(frame(spark, [])).collect() == []
     assert [tuple(r) for r in near.components(frame(spark, [(None, "a"), (1, None)])).collect()] == [(1, 1)]
+
+
+# ---- op10
+
+
+def brute_share(item, text):
+    h = np.zeros((len(item) + 1, len(text) + 1), int)
+    for i in range(1, len(item) + 1):
+        for j in range(1, len(text) + 1):
+            h[i, j] = max(0, h[i - 1, j - 1] + (2 if item[i - 1] == text[j - 1] else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
+    return round(int(h.max()) / (2 * len(item)), 6)
+
+
+def test_decontamination_finds_what_brute_force_aligns():
+    rng = np.random.RandomState(2)
+    lost, seen = [], []
+    for k in range(400):
+        item = [f"w{i}" for i in rng.randint(0, 30 if k % 2 else 900, rng.randint(1, 32))]
+        copy, rate = [], rng.choice([0.1, 0.2, 0.3, 0.4])
+        for w in item:
+            copy += rng.choice([1, 0], p=[rate, 1 - rate]) and [[f"x{rng.randint(99)}"], [], [w, "y"], [w, "y", "z"]][rng.randint(4)] or [w]
+        if k % 5 == 0:  # edits at every third word, or a foreign word after every word
+            copy = [f"x{i}" if i % 3 == 2 else w for i, w in enumerate(item)] if k % 2 else [x for w in item for x in (w, "y")]
+        text = [f"w{i}" for i in rng.randint(0, 900, 20)] + copy + [f"w{i}" for i in rng.randint(0, 900, 20)]
+        share = brute_share(item, text)
+        got = decontam.Block({0: item}, 0.5).matches(" ".join(text))
+        seen += [share] * (share >= 0.5)
+        if [g[1] for g in got] != [share] * (share >= 0.5):
+            lost.append((share, got))
+    assert not lost and sum(s < 0.7 for s in seen) > 40 and sum(s >= 0.7 for s in seen) > 40
+
+
+def test_decontamination_of_an_edited_copy_in_a_table(spark):
+    item = [f"w{i}" for i in range(24)]
+    edited = [f"x{i}" if i % 6 == 2 else w for i, w in enumerate(item)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    rows = decontam.contaminated(frame(spark, [(5, " ".join(["a"] * 9 + edited + ["b"] * 9)), (6, "nothing of it")]), bench).collect()
+    assert [(r["doc_id"], r["item_id"], r["score"]) for r in rows] == [(5, 1, brute_share(item, edited))]
