@@ -1,6 +1,7 @@
 """Secrets: fixed patterns, and a randomness test battery with length-aware false-discovery control.
 
-Candidates are runs of 20 or more key characters. The smallest alphabet that holds a run is its inferred encoding. Three
+Candidates are runs of 20 or more key characters, parted at an `=` inside; a part that no alphabet holds gives its longest
+sub-run that one does, and so on with what is left on both sides. The smallest alphabet that holds a run is its inferred encoding. Three
 tests look at it as a sequence over that alphabet: chi-squared of its symbol counts against uniform, runs about the
 alphabet's middle, and lag-one serial correlation. Each has as null hypothesis that the run is structured at least as
 much as prose is (a departure from randomness of a stated size), so a small p-value speaks for a key. Fisher's method
@@ -34,6 +35,9 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+PART = re.compile(r"[^=]+(?:=+\Z)?")
+#: The two widest alphabets, one of which holds any part without the other's signs.
+WIDE = (re.compile(r"[A-Za-z0-9+/]+=*"), re.compile(r"[A-Za-z0-9_-]+=*"))
 _LOW, _UP, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Encodings from the smallest alphabet on; runs of decimal digits alone are numbers, not keys.
 ALPHABETS = {"decimal": _DIGIT, "hex": _DIGIT + _LOW[:6], "hex_upper": _DIGIT + _UP[:6], "lower": _LOW, "upper": _UP, "base32": _UP + "234567", "base36": _DIGIT + _LOW, "base36_upper": _DIGIT + _UP, "alphanumeric": _UP + _LOW + _DIGIT, "base64": _UP + _LOW + _DIGIT + "+/", "base64url": _UP + _LOW + _DIGIT + "-_"}
@@ -52,6 +56,20 @@ def encoding(run: str) -> str | None:
     return next((k for k, s in SETS.items() if symbols <= s), None)
 
 
+def parts(run: str) -> list[tuple[int, int]]:
+    """(start, end) of the pieces of a run that one alphabet holds, of the least length of a candidate or more."""
+    return [x for m in PART.finditer(run) for x in _held(run, m.start(), m.end())]
+
+
+def _held(run: str, start: int, end: int) -> list[tuple[int, int]]:
+    if end - start < LENGTHS[0]:
+        return []
+    if encoding(run[start:end]) is not None:
+        return [(start, end)]
+    s, e = max(((m.start(), m.end()) for wide in WIDE for m in wide.finditer(run, start, end)), key=lambda x: (x[1] - x[0], -x[0]))
+    return [*_held(run, start, s), *_held(run, s, e), *_held(run, e, end)]
+
+
 def _below(z: float) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2))
 
@@ -96,13 +114,15 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, i
     """(start, end, length class, p-value bin) of runs outside base spans."""
     out = []
     for m in RUN.finditer(text):
-        if any(s < m.end() and m.start() < e for _, s, e in base):
-            continue
-        kind, p = battery(m[0])
-        if kind is None or kind == "decimal":
-            continue
-        length = sum(len(m[0]) >= x for x in LENGTHS) - 1
-        out.append((m.start(), m.end(), length, min(BINS - 1, int(-math.log10(max(p, 1e-300)) * PER_DECADE))))
+        for s, e in parts(m[0]):
+            start, end = m.start() + s, m.start() + e
+            if any(s < end and start < e for _, s, e in base):
+                continue
+            kind, p = battery(text[start:end])
+            if kind is None or kind == "decimal":
+                continue
+            length = sum(end - start >= x for x in LENGTHS) - 1
+            out.append((start, end, length, min(BINS - 1, int(-math.log10(max(p, 1e-300)) * PER_DECADE))))
     return out
 
 

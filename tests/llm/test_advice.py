@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quadrille.llm import decontam, near
+from quadrille.llm import decontam, near, secrets
 from quadrille.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -106,3 +106,32 @@ def test_decontamination_of_an_edited_copy_in_a_table(spark):
     bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
     rows = decontam.contaminated(frame(spark, [(5, " ".join(["a"] * 9 + edited + ["b"] * 9)), (6, "nothing of it")]), bench).collect()
     assert [(r["doc_id"], r["item_id"], r["score"]) for r in rows] == [(5, 1, brute_share(item, edited))]
+
+
+# ---- op1
+
+
+@pytest.mark.parametrize("text,key", [
+    ("aws_secret_access_key=wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"),
+    ("AUTH=q8Zr3LkP0vXt7NwY2cBd5HsJ", "q8Zr3LkP0vXt7NwY2cBd5HsJ"),
+    ("https://x.org/a?sig=q8Zr3LkP0vXt7NwY2cBd5HsJ==", "q8Zr3LkP0vXt7NwY2cBd5HsJ=="),
+    ("my_id-x/q8Zr3LkP0vXt7NwY+cBd5HsJ_q8Zr3LkP0vXt7NwY-cBd5HsJ", "q8Zr3LkP0vXt7NwY-cBd5HsJ"),
+])
+def test_keys_after_an_equals_sign_or_in_mixed_runs_are_candidates(text, key):
+    found = [text[s:e] for s, e, _, _ in secrets.candidates(text, [])]
+    assert any(key in x for x in found) and all(secrets.encoding(x) for x in found)
+
+
+def test_parts_of_a_run_do_not_overlap():
+    rng = np.random.RandomState(4)
+    for _ in range(300):
+        run = "".join(rng.choice(list("aB3+/_-="), 90, p=[0.3, 0.3, 0.3, 0.02, 0.02, 0.02, 0.02, 0.02]))
+        got = secrets.parts(run)
+        assert all(a[1] <= b[0] for a, b in zip(got, got[1:])) and all(secrets.encoding(run[s:e]) and e - s >= 20 for s, e in got)
+
+
+def test_a_key_after_an_equals_sign_is_found_in_a_table(spark):
+    rng = np.random.RandomState(6)
+    keys = ["".join(rng.choice(list(secrets.ALPHABETS["base64"]), 64)) for _ in range(40)]
+    rows = secrets.scan(frame(spark, [(i, f"AUTH={k}") for i, k in enumerate(keys)])).collect()
+    assert sum((5, 69) in [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "random"] for r in rows) > 30
