@@ -12,12 +12,13 @@ null or repeated doc_id; texts longer than a sequence are cut into whole sequenc
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,88 +29,118 @@ from .common import cut, text_or_empty
 VOCABULARY = "word_bpe_49k.json"
 
 
+#: Fixed values of the vocabulary: its normaliser and splitter, and the splitter's pattern without its letters, which are
+#: what is left between blanks. White space is spelt out, as the pattern engine's own class is ASCII alone.
+NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+APART = r"'s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^\s\x0b\x{85}\x{a0}\p{L}\p{N}]+"
+#: Texts with these go to the tokenizer whole: marks that may compose, case rules of more than one letter, rare white space.
+ODD = r"[\x00\x1c-\x1f\x{130}\x{250}-\x{10ffff}]"
+
+
 class WordIds:
-    """ids of a text as Tokenizer.encode(text, add_special_tokens=False) gives them, remembered by white-space word.
+    """ids of texts as Tokenizer.encode(text, add_special_tokens=False) gives them, remembered by word.
 
-    The vocabulary's normaliser and splitter never look across white space below U+0250, so words can be encoded apart
-    there, and words that are not plain letters as the parts that the splitter makes of them; any other text, and text
-    that may hold a special token, goes to the tokenizer whole. Words live in two generations of at most `most`, so that
-    frequent ones stay.
+    Below U+0250 the vocabulary's normaliser is the lower case of each letter, and its splitter never looks across white
+    space; so a batch of texts is lowered and split in Arrow, each distinct part is encoded once (many at a time, parted
+    by the mark that a word's last id carries), and ids are gathered by part. Other texts, texts that may hold a special
+    token, and all texts if the vocabulary is another, go to the tokenizer whole. At most about `most` words are held.
     """
 
     def __init__(self, path: str, most: int = 400_000):
+        import json
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks fill the cores already
+
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        # the same model for words of lower-case letters, which its normaliser and splitter leave as they are
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = None
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        suffix = said["model"].get("end_of_word_suffix")
+        steps = (said.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.known_rules = bool(suffix) and said.get("normalizer") == NORMALISER and steps[0].get("pattern") == {"Regex": SPLITTER}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         self.most = most
-
-    def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _encode(self, words: list[str]) -> None:
-        """Learn words that the splitter leaves whole: plain letters many at a time, others one by one."""
-        plain = [w for w in words if w.isalpha()]
-        for k in range(0, len(plain), 1000):
-            part = plain[k : k + 1000]
-            e = self.plain.encode(" ".join(part), add_special_tokens=False)
-            number = np.array(e.word_ids)
-            first = np.flatnonzero(np.r_[True, number[1:] != number[:-1]]).tolist()
-            raw = np.asarray(e.ids, "<u4").tobytes()
-            if len(first) == len(part):
-                for w, i, j in zip(part, first, [*first[1:], len(number)]):
-                    self.known[w] = raw[4 * i : 4 * j]
-            else:
-                self.known.update((w, self.whole(w)) for w in part)
-        self.known.update((w, self.whole(w)) for w in words if not w.isalpha())
-
-    def _missing(self, words: set[str]) -> set[str]:
-        """Words not known; those of the older generation become known again."""
-        missing = words.difference(self.known)
-        old = self.old
-        again = {w: old[w] for w in missing if w in old}
-        self.known.update(again)
-        return missing.difference(again)
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > self.most:
-            self.old, self.known = self.known, {}
-        missing = self._missing(words)
-        mixed = {w: SPLIT.findall(w) for w in missing if not w.isalpha()}
-        parts = self._missing({p for own in mixed.values() for p in own})
-        self._encode(list(parts.union(w for w in missing if w not in mixed)))
-        known = self.known
-        known.update((w, b"".join([known[p] for p in own])) for w, own in mixed.items() if own != [w])
-
-    def batch(self, texts: list[str], group: int = 1 << 18) -> Iterator[bytes]:
-        """ids of each text as bytes; words are learnt for texts of some `group` characters at a time."""
+        if self.known_rules:
+            self.plain = Tokenizer.from_file(path)  # the same model for parts, which are lowered and split already
+            self.plain.normalizer = None
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            vocabulary = said["model"]["vocab"]
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[i for k, i in vocabulary.items() if k.endswith(suffix)]] = True
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known = {"": 0}
+        self.first, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.ids, self.used = np.zeros(1 << 14, np.uint32), 0
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _learn(self, words: list[str]) -> None:
+        for k in range(0, len(words), 1000):
+            part = words[k : k + 1000]
+            ids = np.asarray(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(part) or ends[-1] != len(ids):  # a word that leaves no mark
+                each = [self.whole(w) for w in part]
+                ids, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
+            at, n = len(self.known), len(part)
+            while at + n > len(self.first):
+                self.first, self.count = np.r_[self.first, np.zeros_like(self.first)], np.r_[self.count, np.zeros_like(self.count)]
+            while self.used + len(ids) > len(self.ids):
+                self.ids = np.r_[self.ids, np.zeros_like(self.ids)]
+            begins = np.r_[0, ends[:-1]]
+            self.first[at : at + n], self.count[at : at + n] = self.used + begins, ends - begins
+            self.ids[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
+            self.known.update(zip(part, range(at, at + n)))
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all texts in a row, and how many each has."""
+        split = pc.utf8_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), APART, r" \0 "))
+        coded = split.flatten().dictionary_encode()
+        n = len(coded.dictionary)  # no word holds a blank, so one string carries them all
+        words = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), coded.dictionary.cast(pa.string())), " ")[0].as_py().split(" ") if n else []
+        if len(self.known) > self.most:
+            self._clear()
+        number = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, n)
+        new = np.flatnonzero(number < 0)
+        number[new] = len(self.known) + np.arange(len(new))
+        self._learn([words[i] for i in new.tolist()])
+        at = number[coded.indices.to_numpy()]
+        count = self.count[at]
+        after = np.cumsum(count)
+        ids = self.ids[np.repeat(self.first[at] - after + count, count) + np.arange(after[-1] if len(after) else 0)]
+        return ids, np.diff(np.r_[0, after][split.offsets.to_numpy() - split.offsets[0].as_py()])
+
+    def batch(self, texts: pa.Array, group: int = 1 << 23) -> Iterator[np.ndarray]:
+        """ids of each text; some `group` bytes of texts at a time, a text at least."""
+        texts = texts.cast(pa.large_string())
+        odd = np.ones(len(texts), bool)
+        if self.known_rules:
+            odd = pc.match_substring_regex(texts, ODD).to_numpy(False).astype(bool)
+            for s in self.special:
+                odd |= pc.match_substring(texts, s).to_numpy(False).astype(bool)
+        upto = np.cumsum(pc.binary_length(texts).to_numpy(False).astype(np.int64))
         at = 0
         while at < len(texts):
-            end, size, split = at, 0, []
-            while end < len(texts) and (end == at or size < group):
-                text = texts[end]
-                odd = ODD.search(text) or any(s in text for s in self.special)
-                split.append(None if odd else text.lower().split())
-                size += len(text)
-                end += 1
-            words = set().union(*(x for x in split if x))
-            if not words <= self.known.keys():
-                self._learn(words)
-            known = self.known
-            for text, own in zip(texts[at:end], split):
-                yield self.whole(text) if own is None else b"".join([known[w] for w in own])
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + group, "right")))
+            here = np.flatnonzero(~odd[at:end])
+            ids, counts = self._plain(texts.slice(at, end - at).take(pa.array(here))) if len(here) else (None, np.zeros(0, np.int64))
+            ends, k = np.cumsum(counts), 0
+            for i in range(at, end):
+                if odd[i]:
+                    yield self.whole(texts[i].as_py())
+                else:
+                    yield ids[ends[k] - counts[k] : ends[k]]
+                    k += 1
             at = end
 
 
-#: Texts whose words cannot be encoded apart, and the vocabulary's splitter for the others.
-ODD = re.compile("[\x00\x1c-\x1f\u0250-\U0010ffff]")
-SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_²³¹¼½¾]+|[\\d²³¹¼½¾]|(?:[^\\w\\s]|_)+")
 _SHARED: dict[str, WordIds] = {}
 
 
@@ -136,9 +167,8 @@ def pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0) -> Dat
         closing = np.array([end_id], "<u4").tobytes()
         for b in batches:
             doc, piece, start, length, crc, nth = [], [], [], [], [], []
-            texts = b.column(1).to_pylist()
-            for d, raw in zip(b.column(0).to_pylist(), ids.batch(texts)):
-                raw += closing
+            for d, own in zip(b.column(0).to_pylist(), ids.batch(b.column(1))):
+                raw = own.astype("<u4").tobytes() + closing
                 for k, at in enumerate(range(0, len(raw), 4 * size)):
                     part = raw[at : at + 4 * size]
                     n = len(part) // 4

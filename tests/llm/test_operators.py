@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -135,8 +136,15 @@ def test_fullest_is_fullest(left):
 def test_word_ids_are_those_of_the_tokenizer():
     ids = packing.WordIds(packing.vocabulary_path())
     texts = ["", "It's a TEST's, isn't it?! x1y22 ½ ²", "ÀÉ ñandú straße ß İstanbul", "a<|endoftext|>b", "漢字 Σίσυφος ΟΔΟΣ", "é café", "a\x1cb\x85c\xa0d e", "we'll 'sound ''s", "\x00﻿​ z", "퟿\U0001f600 ok"]
-    for t, got in zip(texts, ids.batch(texts)):
-        assert np.frombuffer(got, "<u4").tolist() == ids.tokenizer.encode(t, add_special_tokens=False).ids, t
+    for t, got in zip(texts, ids.batch(pa.array(texts))):
+        assert got.tolist() == ids.tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
+def test_word_ids_of_every_letter_below_0250_and_small_groups():
+    ids = packing.WordIds(packing.vocabulary_path(), most=50)
+    texts = [f"a{chr(i)}b {chr(i)}{chr(i)} {chr(i)}'s" for i in range(0x260) if not 0xD800 <= i < 0xE000] + ["", "  two  ", "it's 'tis we''re 'll5", "x" * 3000]
+    for t, got in zip(texts, ids.batch(pa.array(texts, pa.string()), 40)):
+        assert got.tolist() == ids.tokenizer.encode(t, add_special_tokens=False).ids, ascii(t)
 
 
 @settings(max_examples=200, deadline=None)
@@ -144,7 +152,7 @@ def test_word_ids_are_those_of_the_tokenizer():
 def test_word_ids_below_0250(text):
     global IDS
     IDS = globals().get("IDS") or packing.WordIds(packing.vocabulary_path())
-    assert np.frombuffer(next(IDS.batch([text])), "<u4").tolist() == IDS.tokenizer.encode(text, add_special_tokens=False).ids
+    assert next(IDS.batch(pa.array([text]))).tolist() == IDS.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def check_packed(rows, ids_of, size):
