@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import reachable
-from ..storage import cut
+from ..storage import cut, scratch
 
 #: Up to so many edges, a proven bound of some 300 kB, one task finishes what rounds have left.
 SMALL = 20_000
@@ -53,19 +53,20 @@ def connected(edges: DataFrame, small: int = SMALL) -> DataFrame | None:
     followed four steps, and edges move to the ends' parents: their number falls by a constant factor. Hot nodes are
     only met by aggregations with partial results and joins that can be split. At most `small` edges end in one task.
     """
-    labels, rank = None, 0
-    edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    while n := edges.count():
-        if n <= small:
-            return cut(_through(labels, cut(_closed(edges))))
-        rank += 1
-        key = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(rank)).alias("r"), F.col(c).alias("n"))  # noqa: E731, B023
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = cut(both.groupBy("a").agg(F.min(key("b")).alias("m")).select(F.col("a").alias("node"), F.least("m", key("a"))["n"].alias("root")))
-        for _ in range(2):
-            parent = _through(parent, parent)
-        parent = cut(parent)
-        labels = cut(_through(labels, parent))
-        up = lambda c: parent.select(F.col("node").alias(c), F.col("root").alias(f"p{c}"))  # noqa: E731, B023
-        edges = cut(edges.join(up("a"), "a").join(up("b"), "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
-    return labels
+    with scratch() as own:
+        labels, rank = None, 0
+        edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        while n := edges.count():
+            if n <= small:
+                return own.keep(_through(labels, cut(_closed(edges))))
+            rank += 1
+            key = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(rank)).alias("r"), F.col(c).alias("n"))  # noqa: E731, B023
+            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            parent = cut(both.groupBy("a").agg(F.min(key("b")).alias("m")).select(F.col("a").alias("node"), F.least("m", key("a"))["n"].alias("root")))
+            for _ in range(2):
+                parent = _through(parent, parent)
+            parent = cut(parent)
+            labels = cut(_through(labels, parent))
+            up = lambda c: parent.select(F.col("node").alias(c), F.col("root").alias(f"p{c}"))  # noqa: E731, B023
+            edges = cut(edges.join(up("a"), "a").join(up("b"), "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        return None if labels is None else own.keep(labels)
