@@ -1,11 +1,15 @@
 """Toxicity after noisy-channel deobfuscation.
 
 A character trigram language model is counted over every text. A word that may be disguised (symbols or digits inside,
-separators between letters, letters spelt out one by one, runs of a letter) becomes a lattice: each sign may stand for
-itself, for the letters it resembles, or for nothing, and a run for one, two or all of its letters, at a channel cost.
-Viterbi decoding finds the likeliest restored word. A logistic model over restored words and their beginnings, chosen
+separators between letters, doubled or repeated letters) becomes a lattice: each sign may stand for itself, for the letters
+it resembles, or for nothing, and a run for one, two or all of its letters, at a channel cost. Short tokens that follow
+each other become one lattice with their neighbours, in which each blank may stay or stand for nothing. Viterbi decoding
+finds the likeliest restored words, whatever their length. A logistic model over restored words and their beginnings, chosen
 and fitted on a bounded sample of labelled rows, scores the restored text. Only the text is an input.
 
+Scoring decodes a word only if some path of its lattice begins with three letters that a feature of the model begins with;
+any other path gives no feature, so that is exact.
+
 Defined cases: null text counts as empty and gets the model's score of no evidence; without labelled rows of both kinds
 every score is the share of label 1 (0 without any); equal texts get equal scores; rows of null doc_id are scored.
 """
@@ -14,13 +18,15 @@ from __future__ import annotations
 
 import math
 import re
+from itertools import accumulate, groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from ..storage import cut
+from .common import text_or_empty
 
 # Signs and the letters they resemble.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¥": "y"}
@@ -31,11 +37,11 @@ LEET, GAP, DROP, SHORT = 1.0, 0.5, 6.0, 0.7
 
 #: Language model alphabet: blank, 26 letters, any other letter.
 SYMBOLS = 28
-SPELT = re.compile(r"(?<!\S)(?:[^\W_] ){2,}[^\W_](?!\S)")
-PLAIN = re.compile(r"[^\W\d_]+")
-RUN = re.compile(r"(.)\1\1")
-TAIL = ".,;:?)]}\"'"
+TWICE = re.compile(r"(.)\1")
 WORDY = re.compile(r"\w")
+TAIL = ".,;:?)]}\"'"
+#: Tokens of at most SHORT_TOKEN signs may be pieces of a word; in the fit, SPELT of them in a row.
+SHORT_TOKEN, SPELT = 2, 3
 
 #: Bounds of the fit: labelled rows, and features of the model.
 TRAIN_ROWS, FEATURES = 12_000, 512
@@ -84,88 +90,134 @@ def language_model(counts: np.ndarray) -> np.ndarray:
 
 
 def _code(c: str) -> int:
-    return ord(c) - 96 if "a" <= c <= "z" else 27
+    return 0 if c == " " else ord(c) - 96 if "a" <= c <= "z" else 27
+
+
+def _groups(said: str) -> list[tuple[str, int]]:
+    """Each run of one sign, and its end."""
+    out, end = [], 0
+    for c, own in groupby(said):
+        end += sum(1 for _ in own)
+        out.append((c, end))
+    return out
+
+
+def _ways(c: str, n: int) -> list[tuple[str, float]]:
+    """What a run of n signs c may stand for and the cost."""
+    if c == " ":
+        return [(" ", 0.0), ("", GAP)]
+    if c.isalpha():
+        ways = [(c * min(n, 2), 0.0 if n <= 2 else SHORT)]
+        if n > 1:
+            ways.append((c, SHORT if n == 2 else 0.0))
+        return ways
+    ways = [(x * min(n, 2), LEET) for x in LOOKALIKES.get(c, "")]
+    if n > 1:
+        ways += [(x, LEET + SHORT) for x in LOOKALIKES.get(c, "")]
+    return [*ways, ("", GAP if c in SEPARATORS or n > 1 and c not in LOOKALIKES else DROP)]
 
 
 def _lattice(word: str) -> list[list[tuple[str, float]]]:
-    """For each sign or run of a sign, what it may stand for and the cost."""
-    out, i = [], 0
-    while i < len(word):
-        c = word[i]
-        n = 1
-        while i + n < len(word) and word[i + n] == c:
-            n += 1
-        i += n
-        if c.isalpha():
-            ways = [(c * min(n, 2), 0.0 if n <= 2 else SHORT)]
-            if n > 1:
-                ways.append((c, SHORT if n == 2 else 0.0))
-        else:
-            ways = [(x * min(n, 2), LEET) for x in LOOKALIKES.get(c, "")]
-            if n > 1:
-                ways += [(x, LEET + SHORT) for x in LOOKALIKES.get(c, "")]
-            ways.append(("", GAP if c in SEPARATORS or n > 1 and c not in LOOKALIKES else DROP))
-        out.append(ways)
+    """For each run of a sign, what it may stand for and the cost."""
+    begin, out = 0, []
+    for c, end in _groups(word):
+        out.append(_ways(c, end - begin))
+        begin = end
     return out
 
 
+def _step(a: int, b: int, letters: str, price: float, lm: list[float]) -> tuple[int, int, float]:
+    """State and cost after letters; other letters in a row are one symbol, as in the counts."""
+    for c in letters:
+        z = _code(c)
+        if z == 27 and b == 27:
+            continue
+        price += lm[(a * SYMBOLS + b) * SYMBOLS + z]
+        a, b = b, z
+    return a, b, price
+
+
 def decode(word: str, lm: list[float]) -> str:
-    """The likeliest letters behind a word."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The likeliest letters behind a word or a run of short tokens with one blank between them; ties go to the first found."""
+    states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
     for ways in _lattice(word):
-        following: dict[tuple[int, int], tuple[float, str]] = {}
+        following: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (cost, said) in states.items():
             for letters, price in ways:
-                x, y, total = a, b, cost + price
-                for c in letters:
-                    z = _code(c)
-                    total += lm[(x * SYMBOLS + y) * SYMBOLS + z]
-                    x, y = y, z
+                x, y, total = _step(a, b, letters, cost + price, lm)
                 old = following.get((x, y))
                 if old is None or total < old[0]:
-                    following[x, y] = (total, said + letters)
+                    following[x, y] = (total, (said, letters) if letters else said)
         states = following
-    return min((cost + lm[(a * SYMBOLS + b) * SYMBOLS], said) for (a, b), (cost, said) in states.items())[1]
+    said = min(((cost + lm[(a * SYMBOLS + b) * SYMBOLS], k) for k, ((a, b), (cost, _)) in enumerate(states.items())))[1]
+    node, out = list(states.values())[said][1], []
+    while node:
+        node, letters = node
+        out.append(letters)
+    return "".join(reversed(out))
+
+
+def core_of(word: str) -> str:
+    """A word without the marks around it that stand for nothing."""
+    i, j = 0, len(word)
+    while i < j and not WORDY.match(word[i]) and word[i] not in LOOKALIKES:
+        i += 1
+    while i < j and not WORDY.match(word[j - 1]) and (word[j - 1] not in LOOKALIKES or word[max(i, j - 2) : j] == word[j - 1] * 2):
+        j -= 1
+    core = word[i:j]
+    if core and core[-1] in "!|" and core[:-1].isalpha() and not TWICE.search(core):
+        return core[:-1]  # a final mark is read as one where the letters before it are plain
+    return core
 
 
 def restored(word: str, lm: list[float]) -> str:
     """A white-space word in lower case as the letters it is read as."""
-    core = word
-    while core and not WORDY.match(core[0]) and core[0] not in LOOKALIKES:
-        core = core[1:]
-    while core and not WORDY.match(core[-1]) and (core[-1] not in LOOKALIKES or core[-2:] == core[-1] * 2):
-        core = core[:-1]
-    if PLAIN.fullmatch(core) and not RUN.search(core):
-        return core
-    if len(core) > 40 or not any(c.isalpha() for c in core):
-        return core
-    tail = core[:-1] if core[-1] in "!|" else core  # a final mark is read as one where the letters before it are plain
-    if PLAIN.fullmatch(tail) and not RUN.search(tail):
-        return tail
-    return decode(core, lm)
-
-
-def tokens(text: str) -> list[str]:
-    """White-space words in lower case, and spelt-out words joined."""
-    text = text.lower()
-    out = text.split()
-    if sum(1 for w in out if len(w) == 1) >= 3:
-        out += [m[0].replace(" ", "") for m in SPELT.finditer(text)]
+    core = core_of(word)
+    return core if not core or core.isalpha() and not TWICE.search(core) else decode(core, lm)
+
+
+def beginnings(groups: list[tuple[str, int]], k: int, begin: int, most: int = 3) -> set[str]:
+    """The first `most` letters of any path from place `begin` on, which is in group k; all letters of shorter paths."""
+    open_, done = {""}, set()
+    while open_ and k < len(groups):
+        c, end = groups[k]
+        grown = {x + letters for x in open_ for letters, _ in _ways(c, end - begin)}
+        done |= {x[:most] for x in grown if len(x) >= most}
+        open_ = {x for x in grown if len(x) < most}
+        k, begin = k + 1, end
+    return done | open_
+
+
+def spelt(words: list[str]) -> list[list[str]]:
+    """Runs of SPELT or more short tokens, as marks around them leave them."""
+    out, run = [], []
+    for w in [*words, None]:
+        if w is not None and len(w) <= SHORT_TOKEN:
+            run.append(w)
+        else:
+            if len(run) >= SPELT:
+                out.append(run)
+            run = []
     return out
 
 
+def joints(words: list[str]) -> list[list[str]]:
+    """Maximal runs of short tokens, each with the token before and the one after."""
+    out, last = [], -1
+    for i in [i for i, w in enumerate(words) if len(w) <= SHORT_TOKEN]:
+        if out and i <= last + 1:
+            out[-1][1] = i + 2
+        else:
+            out.append([max(i - 1, 0), i + 2])
+        last = i
+    return [words[a:b] for a, b in out]
+
+
 def features(word: str) -> list[str]:
     """A restored word and its beginnings."""
     return [f"={word}", *(f"^{word[:n]}" for n in PREFIXES if len(word) > n)] if len(word) > 2 else []
 
 
-def has_runs(text: str) -> bool:
-    """Whether three equal letters follow each other (bytes of letters beyond ASCII count as such)."""
-    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-    same = (raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2])
-    return bool(same.any()) and bool((raw[2:][same] > 64).any())
-
-
 def _held_out(crc_of: int, rest: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % crc_of == rest
 
@@ -180,29 +232,57 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, crc_of: int, rest:
 class Model:
     """Weights by feature, a bias, and the language model."""
 
-    def __init__(self, lm: list[float], weights: dict[str, float], bias: float, most: int = 200_000):
+    def __init__(self, lm: list[float], weights: dict[str, float], bias: float, most: int = 400_000):
         self.lm, self.weights, self.bias, self.most = lm, weights, bias, most
-        self.known: dict[str, tuple] = {}
         self.starts = {f[1:4] for f in weights}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.seen: set[str] = set()
+        self.hot: dict[str, tuple] = {}
 
     def hits(self, word: str) -> tuple:
-        """The model's features that a white-space word has."""
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) > self.most:
-                self.known.clear()
-            found = self.known[word] = tuple(f for f in features(restored(word, self.lm)) if f in self.weights)
-        return found
+        """The model's features that a white-space word in lower case has."""
+        core = word.rstrip(TAIL)
+        if core.isalpha() and not TWICE.search(core):
+            if core[:3] not in self.starts:
+                return ()
+        elif beginnings(_groups(core_of(word)), 0, 0).isdisjoint(self.starts):
+            return ()
+        return tuple(f for f in features(restored(word, self.lm)) if f in self.weights)
+
+    def joined(self, run: list[str]) -> tuple:
+        """The model's features of a run of short tokens and its neighbours, read as one."""
+        run = [x for x in map(core_of, run) if x]
+        said = "".join(run)
+        places = list(accumulate(map(len, run[:-1]), initial=0))[:-1] if len(run) > 1 else []
+        if said.isalpha() and not TWICE.search(said):
+            some = any(said[at : at + 3] in self.starts for at in places)
+        else:
+            groups, k, some = _groups(said), 0, False
+            for at in places:
+                while groups[k][1] <= at:
+                    k += 1
+                if not beginnings(groups, k, at).isdisjoint(self.starts):
+                    some = True
+                    break
+        if not some:
+            return ()
+        return tuple(f for w in decode(" ".join(run), self.lm).split(" ") for f in features(w) if f in self.weights)
 
     def found(self, text: str) -> set[str]:
-        """The model's features in a text; words that are plain letters are read as they are, without a lattice."""
-        out: set[str] = set()
-        starts, runs = self.starts, has_runs(text)
-        for w in set(tokens(text)):
-            if w[:3] not in starts and (w.isalpha() or w.rstrip(TAIL).isalpha()) and not (runs and RUN.search(w)):
-                continue
+        """The model's features in a text."""
+        words = text.lower().split()
+        distinct = set(words)
+        if len(self.seen) > self.most:
+            self._clear()
+        for w in distinct.difference(self.seen):
             if x := self.hits(w):
-                out.update(x)
+                self.hot[w] = x
+        self.seen |= distinct
+        out = {f for w in distinct.intersection(self.hot) for f in self.hot[w]}
+        for run in joints(words):
+            out.update(self.joined(run))
         return out
 
     def score(self, text: str) -> float:
@@ -239,10 +319,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, width: int =
             ids, said = [], []
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 own: set[str] = set()
-                for w in set(tokens(t)):
+                words = t.lower().split()
+                for w in set(words):
                     if w not in known:
                         known[w] = features(restored(w, lm))
                     own.update(known[w])
+                for run in spelt(words):
+                    for w in decode(" ".join(x for x in map(core_of, run) if x), lm).split(" "):
+                        own.update(features(w))
                 ids.append(i)
                 said.append(sorted(own))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), b.column("y"), pa.array(said, pa.list_(pa.string()))], names=["doc_id", "y", "found"])
