@@ -1,14 +1,13 @@
-"""Shared helpers: reading tables, cutting lineage in shared storage, connected components."""
+"""Shared helpers: reading tables, null texts, and the identity of rows."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import reachable
+from ..storage import cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,78 +18,26 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="quadrille-")
-        shared_dir.own = found
-    return found.rstrip("/")
-
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
-def _path(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
+def with_row(df: DataFrame) -> tuple[DataFrame, str]:
+    """(df with a column that names each row, that column): doc_ids may be null or repeat, rows do not.
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: lineage ends there.
-
-    A lost executor then costs a reread and no recomputation. The table is removed when the JVM ends.
+    Rows read from files are named by file and place, which need no other pass; other rows are written once with a number.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    p, fs = _path(spark, path)
-    fs.deleteOnExit(p)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._cut_path = path
-    return out
-
+    name = fresh(df, "_row")
+    try:
+        return df.withColumn(name, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))), name
+    except AnalysisException:
+        return cut(df.withColumn(name, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("place")))), name
 
-def drop_cut(df: DataFrame) -> None:
-    """Remove a table written by cut() that nothing reads any more."""
-    p, fs = _path(df.sparkSession, df._cut_path)
-    fs.delete(p, True)
 
-
-def connected(edges: DataFrame, jumps: int = 2) -> DataFrame | None:
-    """Connected components by randomised contraction: (node, root) for every node of edges(a, b), or None without edges.
-
-    Each round, every node takes the neighbour of least random rank as parent if it is less than its own, parents are
-    followed `jumps` times and both ends of all edges are replaced, so edges shrink by a constant factor. Only
-    aggregations with partial results and joins that AQE can split see a hot node.
-    """
-    labels, rank, done = None, 0, []
-    edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    while not edges.isEmpty():
-        rank += 1
-        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        key = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(rank)).alias("r"), F.col(c).alias("n"))
-        parent = cut(
-            both.groupBy("a").agg(F.min(key("b")).alias("m")).select(F.col("a").alias("node"), F.least("m", key("a"))["n"].alias("up"))
-        )
-        for _ in range(jumps):
-            above = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            parent_next = cut(parent.join(above, "up").select("node", F.col("top").alias("up")))
-            done.append(parent)
-            parent = parent_next
-        if labels is None:
-            labels = parent.select("node", F.col("up").alias("root"))
-        else:
-            old = labels
-            labels = cut(
-                labels.join(parent.select(F.col("node").alias("root"), "up"), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
-            )
-            done.append(old)
-        up_a = parent.select(F.col("node").alias("a"), F.col("up").alias("pa"))
-        up_b = parent.select(F.col("node").alias("b"), F.col("up").alias("pb"))
-        nxt = cut(
-            edges.join(up_a, "a").join(up_b, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
-        )
-        done += [edges] + ([parent] if rank > 1 else [])
-        edges = nxt
-    for x in done:
-        if hasattr(x, "_cut_path"):
-            drop_cut(x)
-    return labels
+def without(df: DataFrame, row: str, dropped: DataFrame) -> DataFrame:
+    """df, which has the column `row`, but for the rows that dropped(row) names; the column goes too."""
+    return df.join(dropped.select(row), row, "left_anti").drop(row)

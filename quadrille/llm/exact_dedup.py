@@ -1,13 +1,18 @@
 """Exact dedup by content-defined chunk recipes, in DataFrame functions only.
 
-A text is cut where its own characters say so (a letter class, white space, a letter class, after a least length), its
-recipe is the ordered list of chunk keys, and texts are equal when their recipes are and the keys are verified. Only
-recipes travel. Chunks travel once per distinct content and only for texts whose recipe occurs twice, to verify that
-each key there stands for one content; where a key stands for several, the contents themselves join the recipe.
+A text is cut where its own characters say so; its recipe is the ordered list of its chunks' identifiers, and texts are
+equal when their recipes are. An identifier is a 64-bit key that is verified: one aggregation over all chunks, with
+partial results, shows for each key the least and the greatest SHA-256 of what it stands for, and where they differ the
+digest is the identifier instead. Texts and chunks are read once, in the pass that makes the recipes; what is shuffled
+afterwards are keys and digests.
+
+Cuts come after `least` characters at a letter, white space and a letter of certain classes, at sentence marks of scripts
+without blanks, or between certain signs of encoded data; where a text has none of these, at `most` characters. Equal
+texts have equal recipes wherever the cuts fall.
 
 Defined cases: null text equals the empty one (an empty recipe); the largest doc_id of a group stays, null doc_ids below
-all others; rows that repeat both doc_id and text share the answer; texts of any length become lists of chunks of at
-most `most` characters.
+all others; rows that repeat both doc_id and text share the answer in groups(), while distinct() keeps one row of a group;
+texts of any length become lists of chunks of at most `most` characters.
 """
 
 from __future__ import annotations
@@ -15,68 +20,66 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from ..storage import cut
+from .common import text_or_empty, with_row, without
+
+#: Keys with several contents that a plan lists one by one; with more of them every identifier is a digest.
+LISTED = 1000
 
 
 def chunks(text: Column, least: int = 1024, most: int = 16384) -> Column:
     """Ordered content-defined chunks, whose concatenation is the text."""
-    return F.regexp_extract_all(text, F.lit(rf"(?s).{{{least},{most}}}?(?<=[nst]\s[a-f])|.{{1,{most}}}"), F.lit(0))
+    ends = r"[nst]\s[a-f]|[、。！，？،؟।]|[05Aq+][39Kz/]"
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{{least},{most}}}?(?<={ends})|.{{1,{most}}}"), F.lit(0))
 
 
 def chunk_key(chunk: Column) -> Column:
     return F.xxhash64(chunk)
 
 
-def groups(docs: DataFrame, least: int = 1024, most: int = 16384, key=chunk_key) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256), a row for each row of docs."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    recipes = cut(
+def _recipes(source: DataFrame, carry: list[str], least: int, most: int, key) -> DataFrame:
+    """source's `carry` columns, text_sha256, and recipe: identifiers of its text's chunks in order."""
+    digest = lambda c: F.unhex(F.sha2(c.cast("binary"), 256))
+    made = cut(
         source.select(
-            "doc_id",
+            *carry,
             F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
-            F.transform(chunks(F.col("text"), least, most), key).alias("recipe"),
-        ).withColumn("rid", F.xxhash64("recipe"))
+            F.transform(chunks(F.col("text"), least, most), lambda c: F.struct(key(c).alias("key"), digest(c).alias("sha"))).alias("parts"),
+        )
     )
-    counted = recipes.groupBy("rid", "recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    repeated = cut(counted.where("group_size > 1"))
+    known = made.select(F.explode("parts").alias("p")).groupBy("p.key").agg(F.min("p.sha").alias("low"), F.max("p.sha").alias("high"))
+    several = [r["key"] for r in known.where("low <> high").select("key").limit(LISTED + 1).collect()]
+    short, long_ = (lambda p: F.unhex(F.lpad(F.hex(p["key"]), 16, "0"))), (lambda p: p["sha"])  # of different lengths, so never equal
+    if not several:
+        name = short
+    elif len(several) <= LISTED:
+        name = lambda p: F.when(p["key"].isin(several), long_(p)).otherwise(short(p))
+    else:
+        name = long_
+    return made.select(*carry, "text_sha256", F.transform("parts", name).alias("recipe")).withColumn("rid", F.xxhash64("recipe"))
+
+
+def groups(docs: DataFrame, least: int = 1024, most: int = 16384, key=chunk_key) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256), a row for each row of docs."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    recipes = _recipes(source, ["doc_id"], least, most, key)
+    repeated = recipes.groupBy("rid", "recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
     out = recipes.join(repeated, ["rid", "recipe"], "left")
-    collided = _collided(source, recipes, repeated, least, most, key)
-    if collided is not None:
-        out = _split(source, out, collided, least, most, key)
+    alone = F.col("group_size").isNull()
     return out.select(
         "doc_id",
-        F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.coalesce(F.col("group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id")), F.lit(False)).alias("kept"),
+        F.coalesce(alone | F.col("doc_id").eqNullSafe(F.col("keep_id")), F.lit(False)).alias("kept"),
         "text_sha256",
     )
 
 
-def _collided(source, recipes, repeated, least, most, key) -> DataFrame | None:
-    """Keys, among recipes that occur twice, that stand for more than one content."""
-    if repeated.isEmpty():
-        return None
-    ids = recipes.join(repeated.select("rid", "recipe"), ["rid", "recipe"], "left_semi").select("doc_id").distinct()
-    named = source.join(ids, "doc_id", "left_semi") if not _null_ids(source) else source
-    contents = named.select(F.explode(chunks(F.col("text"), least, most)).alias("chunk")).distinct()
-    several = cut(contents.groupBy(key(F.col("chunk")).alias("key")).count().where("count > 1").select("key"))
-    return None if several.isEmpty() else several
-
-
-def _null_ids(source) -> bool:
-    return not source.where("doc_id is null").isEmpty()
-
-
-def _split(source, out, collided, least, most, key) -> DataFrame:
-    """Group anew the texts with a collided key, by recipe and by the contents under such keys."""
-    dealt = source.withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256))
-    at = dealt.select("doc_id", "text_sha256", F.posexplode(chunks(F.col("text"), least, most)).alias("pos", "chunk"))
-    at = at.withColumn("key", key(F.col("chunk"))).join(collided, "key", "left_semi")
-    real = at.groupBy("doc_id", "text_sha256").agg(F.array_sort(F.collect_set(F.struct("pos", "chunk"))).alias("real"))
-    rows = out.drop("keep_id", "group_size").join(
-        real.select(F.col("doc_id").alias("_d"), F.col("text_sha256").alias("_s"), "real"),
-        F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_sha256") == F.col("_s")), "left",
-    ).select("doc_id", "text_sha256", "rid", "recipe", F.coalesce("real", F.array().cast("array<struct<pos:int,chunk:string>>")).alias("real"))
-    rows = cut(rows)
-    size = rows.groupBy("rid", "recipe", "real").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return rows.join(size, ["rid", "recipe", "real"])
+def distinct(docs: DataFrame, least: int = 1024, most: int = 16384, key=chunk_key) -> DataFrame:
+    """docs with one row of each group of equal texts: that of the largest doc_id, the last such row of its file or files."""
+    rows, row = with_row(docs)
+    source = rows.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    recipes = _recipes(source, ["row", "doc_id"], least, most, key).select("rid", "recipe", F.struct("doc_id", "row").alias("at"))
+    repeated = recipes.groupBy("rid", "recipe").agg(F.max("at").alias("stays"), F.count("*").alias("n")).where("n > 1")
+    dropped = recipes.join(repeated, ["rid", "recipe"]).where("at.row <> stays.row").select(F.col("at.row").alias(row))
+    return without(rows, row, cut(dropped)).select(*docs.columns)
