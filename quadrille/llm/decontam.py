@@ -8,15 +8,17 @@ item or costs two, o <= c + 1. Texts and items below that bound cannot align, wh
 rest are aligned by Smith-Waterman, and the score as a share of the item's best possible one decides. Items of at most
 three words, or a threshold under a half, to which the bound says nothing, are aligned wherever a word is shared.
 
-Items come in blocks of at most `block` rows (a query set against all rows), so what every task holds is bounded; the
-texts are never shuffled. Defined cases: null text counts as empty; items without words match nothing; equal items each
-get their row; a document with several copies of an item gets a row for the best, the first on ties; rows of null doc_id
-give rows of null doc_id.
+The benchmark, a stated query set against all rows, is broadcast in blocks of at most `block` items, each with its own
+index; the texts are read in one pass over all blocks and never shuffled. Defined cases: null text counts as empty; items
+without words match nothing, and rows of null item_id or null text are no items; equal items of different ids each get
+their row, several texts of one id a row for the best; a document with several copies of an item gets a row for the best,
+the first on ties; rows of null doc_id give rows of null doc_id.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -157,46 +159,59 @@ def _windows(place: np.ndarray, weight: np.ndarray, length: int, most: int) -> l
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """(doc_id, item_id, score, start_word, end_word) for each document and item that align, in blocks of items."""
-    schema = "doc_id long, item_id long, score double, start_word long, end_word long"
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+def _blocks(benchmark: DataFrame, block: int) -> Iterator[list[tuple[int, list[str]]]]:
+    """(item_id, words) of the items, at most some `block` at a time; copies of an item count once, null ids and texts not."""
     listed = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
-    parts, after = [], None
+    after = None
     while True:
-        rows = (listed if after is None else listed.where(F.col("item_id") > after)).orderBy("item_id", "text").limit(block).collect()
+        rows = (listed if after is None else listed.where((F.col("item_id") > after[0]) | (F.col("item_id") == after[0]) & (F.col("text") > after[1]))).orderBy("item_id", "text").limit(block).collect()
         if not rows:
-            break
-        if len(rows) == block:  # an item_id's rows stay in one block
-            last = rows[-1]["item_id"]
-            rows = [r for r in rows if r["item_id"] < last] or listed.where(F.col("item_id") == last).collect()
-        after = rows[-1]["item_id"]
-        parts.append(_block(source, rows, threshold, schema))
-    if not parts:
-        return docs.sparkSession.createDataFrame([], schema)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+            return
+        after = (rows[-1]["item_id"], rows[-1]["text"])
+        yield [(r["item_id"], words(r["text"])) for r in rows]
+
 
+def _named(texts: list[tuple[int, list[str]]], threshold: float) -> tuple[Block, dict[int, int]]:
+    return Block({k: w for k, (_, w) in enumerate(texts) if w}, threshold), {k: i for k, (i, _) in enumerate(texts)}
 
-def _block(source: DataFrame, rows, threshold: float, schema: str) -> DataFrame:
-    texts = [(r["item_id"], words(r["text"])) for r in rows]
-    items = {k: w for k, (_, w) in enumerate(texts) if w}
-    names = {k: i for k, (i, _) in enumerate(texts)}
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """(doc_id, item_id, score, start_word, end_word): the best alignment of each row of docs with each item that aligns."""
+    schema = "doc_id long, item_id long, score double, start_word long, end_word long"
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    blocks = list(_blocks(benchmark, block))  # the benchmark, a stated set that does not grow with the corpus
+    if not blocks:
+        return docs.sparkSession.createDataFrame([], schema)
+    shipped = docs.sparkSession.sparkContext.broadcast(blocks)
 
     def run(batches):
-        own = Block(items, threshold)
+        made = [_named(x, threshold) for x in shipped.value]
         for b in batches:
             out = []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 best: dict[int, tuple] = {}
-                for item, score, s, e in own.matches(t):
-                    i = names[item]
-                    if i not in best or score > best[i][0]:
-                        best[i] = (score, s, e)
+                for own, names in made:
+                    for item, score, s, e in own.matches(t):
+                        i = names[item]
+                        if i not in best or score > best[i][0]:
+                            best[i] = (score, s, e)
                 out += [(d, i, *x) for i, x in best.items()]
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["doc_id", "item_id", "score", "start_word", "end_word"])
 
     return source.mapInArrow(run, schema)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """The rows of docs that align with no item, decided row by row in one pass."""
+    blocks = list(_blocks(benchmark, block))
+    shipped = docs.sparkSession.sparkContext.broadcast(blocks)
+    made: list[tuple[Block, dict[int, int]]] = []
+
+    @F.arrow_udf("boolean")
+    def aligns(texts: pa.Array) -> pa.Array:
+        if not made:
+            made.extend(_named(x, threshold) for x in shipped.value)
+        return pa.array([any(own.matches(t) for own, _ in made) for t in texts.to_pylist()], pa.bool_())
+
+    return docs.where(~aligns(text_or_empty())) if blocks else docs

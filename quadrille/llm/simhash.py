@@ -1,18 +1,32 @@
 """SimHash near-duplicates: segment-popcount embedding, grid range join, exact check.
 
-Fingerprints have 64 bits in eight segments of eight. A fingerprint is embedded as its eight segment bit counts; the
-Manhattan distance of two embeddings never exceeds their Hamming distance, so it prunes before the exact check.
-The grid key holds two of four blocks (two segments each), which differ nowhere if at most two bits differ, and the
-cells of the other two blocks' bit counts, of which a probe visits every one in reach. Only distinct fingerprints are
-joined. Keys shared by more than `hot` fingerprints leave the pair join: their members are linked through the at most
-65 fingerprints that share a one-bit neighbour, which is exact and linear, so no group emits all its pairs.
-
-Defined cases: null text counts as empty; a text without words has fingerprint zero and links like any other; equal
-rows share a fingerprint; rows of null doc_id get fingerprints, and never name a component unless all its rows are null.
+Two operators share the method. A fingerprint is a set of bits in segments; its embedding is the number of bits set in
+each segment; the Manhattan distance of two embeddings never exceeds the number of bits that differ, so it prunes what
+the grid lets through, and an exact comparison decides.
+
+components(): 64-bit SimHash fingerprints that differ in at most two bits. The grid key holds two of four blocks (two
+segments each), which differ nowhere if at most two bits differ, and the cells of the other two blocks' bit counts, of
+which a probe visits every one in reach. Only distinct fingerprints are joined. Keys shared by more than `hot`
+fingerprints leave the pair join: their members are linked through the at most 65 fingerprints that share a one-bit
+neighbour, which is exact and linear, so no group emits all its pairs.
+
+similar(): texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. At that similarity 64-bit
+fingerprints differ in some ten bits, beyond any grid, so the fingerprint is the shingle set itself as a bitmap over
+hashes: two sets of n and m shingles are that similar exactly if at most (n + m) / 9 bits differ. The grid: classes of
+size (the whole popcount, a probe visits the next class), and the content of segments, whose number in a class exceeds
+the bits that may differ, so that some segment with a shingle is the same in both; where chance leaves too few segments
+filled for that, a text is dealt into segments anew until it has enough, and any partner with the same lack is met there.
+Texts of a segment meet one of them, in a few rounds with another each, then those that still are in different
+components meet. No link is lost, and only connected components are asked for, so copies do not meet in all pairs.
+
+Defined cases: null text counts as empty; A-Z are lower-cased, words are what white space parts, and texts of fewer words
+than a shingle are one shingle of them all; a text without words has fingerprint zero and the empty set, and links to its
+like; equal rows share a node; rows of null doc_id are linked too, and never name a component unless all its rows are null.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -21,7 +35,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, cut, text_or_empty
+from ..operators.graph import connected
+from ..storage import cut, scratch
+from .common import text_or_empty, with_row, without
 
 SEED = 42
 CHUNK = 1 << 15
@@ -135,3 +151,197 @@ def components(docs: DataFrame, words: int = 3) -> DataFrame:
 
 def fingerprint_hex(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
+
+
+# ---- similar texts: the shingle set as fingerprint
+
+WORDS, ROUNDS = 5, 3
+#: Similarity of at least 4/5: of n + m set bits at most one in NINTH may differ.
+NINTH = 9
+PARTS = 32
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+
+
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _FACTORS[0]
+    x = (x ^ (x >> np.uint64(29))) * _FACTORS[1]
+    return x ^ (x >> np.uint64(32))
+
+
+def shingles(text: bytes, known: _Hashes) -> np.ndarray:
+    """Hashes of the distinct shingles of WORDS words, ascending."""
+    found = text.lower().split()
+    if len(found) < WORDS:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(found))] if found else [], np.uint64)
+    h = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+    n = len(h) - WORDS + 1
+    mixed = np.zeros(n, np.uint64)
+    for i, f in enumerate(_FACTORS):
+        part = h[i : i + n] * f
+        mixed += part ^ (part >> np.uint64(29))
+    return np.unique(mixed)
+
+
+def node_of(found: np.ndarray) -> int:
+    """Name of a set: equal sets are one node."""
+    h = xxhash.xxh3_64_intdigest(found.tobytes())
+    return h - 2**64 if h >= 2**63 else h
+
+
+@lru_cache(1)
+def _bounds() -> np.ndarray:
+    """Least sizes of the classes, each a quarter above the one before."""
+    out = [4]
+    while out[-1] < 1 << 40:
+        out.append(max(out[-1] + 1, out[-1] * 5 // 4))
+    return np.array(out)
+
+
+def keys(found: np.ndarray) -> np.ndarray:
+    """Keys of the segments of a set, in every size class where a partner of similarity 4/5 may be the larger."""
+    n, bounds = len(found), _bounds()
+    if n < bounds[0]:
+        return np.zeros(0, np.uint64)  # a set of less than four shingles is similar to itself alone
+    out = []
+    first, last = (int(np.searchsorted(bounds, x, "right")) - 1 for x in (n, n * 5 // 4))
+    for c in range(first, last + 1):
+        top = int(bounds[c + 1]) - 1
+        k = (2 * top // NINTH + 1) * 17 // 16 + 2
+        differ = (n + min(top, n * 5 // 4)) // NINTH
+        turn = 0
+        while True:
+            h = _mixed(found ^ _FACTORS[2] * np.uint64(turn + 1))
+            at = (h >> np.uint64(11)) % np.uint64(k)
+            order = at.argsort(kind="stable")
+            own = at[order]
+            begin = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            total = np.add.reduceat(_mixed(h[order]), begin)
+            place = own[begin] + np.uint64((c << 48) + (turn << 40))
+            out.append(_mixed(total + _mixed(place ^ _FACTORS[3])))
+            if len(begin) > differ:  # more filled segments than bits that may differ: one is the same in any partner
+                break
+            turn += 1
+    return np.concatenate(out)
+
+
+def popcounts(found: np.ndarray) -> np.ndarray:
+    """The embedding: set bits in each of PARTS segments of the bitmap."""
+    return np.bincount((found >> np.uint64(59)).astype(np.int64), minlength=PARTS).astype(np.int32)
+
+
+def _sets_of(rows: DataFrame, row: str) -> DataFrame:
+    """(row, doc_id, node, size, counts, keys) of rows."""
+
+    def run(batches):
+        known = _Hashes()
+        for b in batches:
+            node, size, counts, own = [], [], [], []
+            for t in b.column(2).cast(pa.binary()):
+                found = shingles(t.as_py(), known)
+                node.append(node_of(found))
+                size.append(len(found))
+                counts.append(popcounts(found))
+                own.append(keys(found).view(np.int64))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, (node, size, counts, own), kinds)], names=["row", "doc_id", "node", "size", "counts", "keys"])
+
+    kind = "struct<file:long,place:long>"
+    read = rows.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    return read.mapInArrow(run, f"row {kind}, doc_id long, node long, size long, counts array<int>, keys array<long>")
+
+
+def _contents(rows: DataFrame, row: str, wanted: DataFrame) -> DataFrame:
+    """(node, found): the shingle sets of the rows that wanted(row, node) names, as bytes."""
+
+    def run(batches):
+        known = _Hashes()
+        for b in batches:
+            found = [shingles(t.as_py(), known).tobytes() for t in b.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["node", "found"])
+
+    read = rows.select(F.col(row).alias("row"), text_or_empty().alias("text"))
+    return read.join(wanted, "row").select("node", "text").mapInArrow(run, "node long, found binary")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs(a, b) of similarity 4/5 or more."""
+
+    def run(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                keep.append(NINTH * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    one = lambda c: sets.select(F.col("node").alias(c), F.col("found").alias(f"found_{c}"))
+    both = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "found_a", "found_b")
+    return both.mapInArrow(run, "a long, b long")
+
+
+
+
+def _similar(rows: DataFrame, row: str, rounds: int) -> DataFrame:
+    with scratch() as own:
+        signed = cut(_sets_of(rows, row))
+        place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row").alias("place")
+        nodes = signed.groupBy("node").agg(F.min("size").alias("size"), F.min_by("counts", "row").alias("counts"), F.min("row").alias("row"))
+        keyed = signed.select("node", F.explode("keys").alias("key"))
+        met = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
+        shared = cut(keyed.join(cut(met), "key", "left_semi").distinct())
+        labels = None
+        if not shared.isEmpty():
+            open_nodes = cut(nodes.join(shared.select("node").distinct(), "node"))
+            sets = cut(_contents(rows, row, open_nodes.select("row", "node")))
+            labels = _labels(shared, open_nodes, sets, rounds)
+        named = signed.select("row", "doc_id", "node", place)
+        named = named.withColumn("root", F.col("node")) if labels is None else named.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        first = named.groupBy("root").agg(F.min("place").alias("first"))
+        return own.keep(named.join(first, "root").select("row", "doc_id", (F.col("first.row") == F.col("row")).alias("stays"), F.col("first.doc_id").alias("component_id")))
+
+
+def _labels(shared: DataFrame, nodes: DataFrame, sets: DataFrame, rounds: int) -> DataFrame | None:
+    """(node, root) of the nodes that are linked, from shared(key, node)."""
+    size = nodes.select("node", "size", "counts")
+    one = lambda c: size.select(*(F.col(x).alias(f"{x}_{c}") for x in ("node", "size", "counts")))
+    apart = F.aggregate(F.zip_with("counts_a", "counts_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    near = NINTH * apart <= F.col("size_a") + F.col("size_b")  # holds if the bits that differ do
+    labels = edges = tried = None
+    for k in range(rounds + 1):
+        named = shared.withColumn("root", F.col("node")) if labels is None else shared.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        if labels is not None:
+            ends = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+            named = cut(named.join(ends, "key", "left_semi"))
+        right = named.select("key", F.col("node").alias("node_b"), F.col("root").alias("root_b"))
+        if k < rounds:  # one set of each key, another in each round
+            some = F.min_by(F.struct("node_b", "root_b"), F.xxhash64("node_b", F.lit(k)))
+            right = right.groupBy("key").agg(some.alias("s")).select("key", "s.*")
+        pairs = named.select("key", F.col("node").alias("node_a"), "root").join(right, "key").where("root <> root_b")
+        pairs = pairs.select(F.least("node_a", "node_b").alias("node_a"), F.greatest("node_a", "node_b").alias("node_b")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried.select(F.col("a").alias("node_a"), F.col("b").alias("node_b")), ["node_a", "node_b"], "left_anti")
+        pairs = cut(pairs.join(one("a"), "node_a").join(one("b"), "node_b").where(near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+        if pairs.isEmpty():
+            continue
+        found = cut(_verified(pairs, sets))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        if found.isEmpty():
+            continue
+        edges = found if edges is None else edges.unionByName(found)
+        labels = connected(edges)
+    return labels
+
+
+def distinct(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """docs with one row of each component of similar texts."""
+    rows, row = with_row(docs)
+    dropped = cut(_similar(rows, row, rounds).where("not stays").select(F.col("row").alias(row)))
+    return without(rows, row, dropped).select(*docs.columns)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quadrille.llm import decontam, near, secrets
+from quadrille.llm import decontam, exact_dedup, secrets, simhash
 from quadrille.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -36,11 +36,10 @@ def brute_near(texts):
     return sorted({find(d) for d in sets})
 
 
-@pytest.mark.parametrize("sample,rounds", [(32, 3), (1, 1), (1, 0)])
-def test_near_copies_are_those_of_brute_force(spark, sample, rounds):
-    rng = np.random.RandomState(8)
+def varied(rng):
+    """Groups of edited copies, short texts, a shared line, and whole tables' texts."""
     say = lambda n: [f"w{i}" for i in rng.randint(0, 500, n)]
-    texts, line = [(900, ""), (901, " \n"), (902, "two words"), (903, "Two  words")], say(12)
+    texts, line = [(900, ""), (901, " \n"), (902, "two words"), (903, "Two  words"), (904, "a b c d e f g h"), (905, "a b c d e f g h i"), (906, "a b c d e f g")], say(12)
     for base in range(5):
         first = say(int(rng.randint(30, 150)))
         for k in range(14):
@@ -48,26 +47,93 @@ def test_near_copies_are_those_of_brute_force(spark, sample, rounds):
             for _ in range(int(rng.randint(0, 5))):
                 w[rng.randint(len(w))] = f"x{rng.randint(10**6)}"
             texts.append((base * 20 + k, " ".join(w)))
-    texts += [(200 + k, " ".join(say(20) + line + say(20))) for k in range(30)]
-    texts += [(300 + d, t) for d, t in table(spark, SF, "documents").select("doc_id", "text").dropDuplicates(["text"]).limit(60).collect()]
-    rows = near.components(frame(spark, texts), sample, rounds).collect()
-    assert len(rows) == len(texts)
-    assert sorted({r["component_id"] for r in rows}) == brute_near(texts)
-
+    return texts + [(200 + k, " ".join(say(20) + line + say(20))) for k in range(30)]
 
-def test_pipeline_leaves_no_near_copies(spark):
-    docs = table(spark, SF, "documents").where("doc_id in (1, 177, 6, 145, 2, 3)")
-    assert sorted(r["doc_id"] for r in docs.select("doc_id").collect()) == [1, 2, 3, 6, 145, 177]
-    kept = docs
-    for name, stage in corpus_pipeline.STAGES[1:-2]:
-        kept = stage(spark, kept, SF)
-    expected = brute_near([(r["doc_id"], r["text"]) for r in docs.collect()])
-    assert sorted(r["doc_id"] for r in kept.collect()) == expected and len(expected) == 4
 
-
-def test_near_copies_without_rows(spark):
-    assert near.components(frame(spark, [])).collect() == []
-    assert [tuple(r) for r in near.components(frame(spark, [(None, "a"), (1, None)])).collect()] == [(1, 1)]
+@pytest.mark.parametrize("rounds", [3, 1, 0])
+def test_near_copies_are_those_of_brute_force(spark, rounds):
+    texts = varied(np.random.RandomState(8 + rounds))
+    texts += [(300 + d, t) for d, t in table(spark, SF, "documents").select("doc_id", "text").dropDuplicates(["text"]).limit(60).collect()]
+    rows = simhash.distinct(frame(spark, texts), rounds).collect()
+    assert sorted(r["doc_id"] for r in rows) == brute_near(texts)
+
+
+def test_segments_lose_no_pair():
+    """Some segment is shared by any two sets of similarity 4/5, and unlike sets share few."""
+    rng = np.random.RandomState(12)
+    unlike = 0
+    for k in range(3000):
+        n = int(rng.choice([4, 5, 6, 8, 9, 10, 13, 18, 30, 60, 200, 700]))
+        a = np.unique(rng.randint(0, 2**62, n).astype(np.uint64))
+        most = (2 * len(a)) // 9 + 1
+        drop, add = rng.randint(0, most + 1), rng.randint(0, most + 1)
+        b = np.unique(np.r_[rng.permutation(a)[drop:], rng.randint(0, 2**62, add).astype(np.uint64)])
+        shared = len(np.intersect1d(a, b))
+        met = bool(len(np.intersect1d(simhash.keys(a), simhash.keys(b))))
+        if 9 * shared >= 4 * (len(a) + len(b)) and (len(a) != shared or len(b) != shared):
+            assert met, (n, drop, add)
+        apart = np.abs(simhash.popcounts(a) - simhash.popcounts(b)).sum()
+        assert apart <= len(a) + len(b) - 2 * shared
+        c = np.unique(np.r_[a[: len(a) // 3], rng.randint(0, 2**62, len(a) - len(a) // 3).astype(np.uint64)])
+        unlike += bool(len(np.intersect1d(simhash.keys(a), simhash.keys(c)))) and n > 30
+    assert unlike < 700
+
+
+def test_near_copies_of_a_large_group(spark):
+    rng = np.random.RandomState(3)
+    base = [f"w{i}" for i in rng.randint(0, 10_000, 120)]
+    texts = []
+    for k in range(600):
+        w = list(base)
+        w[rng.randint(120)] = f"x{k}"
+        texts.append((k, " ".join(w)))
+    texts += [(1000 + k, " ".join(base[:70] + [f"y{k}_{i}" for i in range(60)])) for k in range(100)]
+    got = [r["doc_id"] for r in simhash.distinct(frame(spark, texts)).collect()]
+    assert sorted(got) == [0, *range(1000, 1100)]
+
+
+def rows_with_trouble(spark):
+    """Null and repeated doc_ids, repeated rows, null and empty texts, clashing names."""
+    long_ = " ".join(f"t{i}" for i in range(40))
+    texts = [(5, "alpha beta gamma"), (5, "alpha beta gamma"), (6, "x y z one"), (6, "unique text of six"), (9, "x y z one"), (None, "three times"), (None, "three times"), (3, "three times"), (None, None), (8, ""), (None, "null id alone"), (7, long_), (7, long_ + " tail"), (None, long_ + " other")]
+    made = spark.createDataFrame([(i, t, 1, 2, "r") for i, t in texts], "doc_id long, text string, _score int, _row int, n_chars string")
+    return texts, made
+
+
+def test_stages_drop_rows_not_ids(spark, tmp_path):
+    texts, made = rows_with_trouble(spark)
+    made.write.parquet(f"{tmp_path}/documents.parquet")
+    for docs in (made, made.repartition(4), spark.read.parquet(f"{tmp_path}/documents.parquet")):
+        kept = exact_dedup.distinct(docs)
+        assert kept.columns == made.columns
+        got = sorted((r["text"] or "", str(r["doc_id"])) for r in kept.collect())
+        best = {}
+        for i, t in texts:
+            best[t or ""] = max(best.get(t or "", -1), -1 if i is None else i)
+        assert got == sorted((t, "None" if i < 0 else str(i)) for t, i in best.items())
+        near = simhash.distinct(kept)
+        assert near.columns == made.columns
+        left = [(r["doc_id"], r["text"]) for r in near.collect()]
+        long_ = [x for x in left if x[1] and x[1].startswith("t0 ")]
+        assert len(left) == len(best) - 2 and len(long_) == 1 and long_[0][0] == 7
+    for stage in (exact_dedup.distinct, simhash.distinct):
+        assert stage(made.limit(0)).collect() == []
+
+
+def test_every_stage_on_rows_with_trouble(spark, tmp_path):
+    texts, made = rows_with_trouble(spark)
+    for name in ("labels", "benchmark"):
+        table(spark, SF, name).write.parquet(f"{tmp_path}/{name}.parquet")
+    kept = made
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == made.columns
+        none = stage(spark, made.limit(0), str(tmp_path))
+        assert none.collect() == [] and none.columns == made.columns
+    left = [r["text"] for r in kept.collect()]
+    assert "unique text of six" in left and "null id alone" in left and left.count("alpha beta gamma") == 1 and left.count("three times") == 1
+    packed = corpus_pipeline.STAGES[-1][1](spark, kept, str(tmp_path)).collect()
+    assert len(packed) == len(left)
 
 
 # ---- op10

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and the cases its docstring defines."""
 
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quadrille.llm import chat, decontam, exact_dedup, licenses, packing, pii, quality, registry, secrets, simhash, toxicity
-from quadrille.llm.common import connected, table
+from quadrille.llm.common import table
+from quadrille.operators.graph import connected
+from quadrille.storage import cut
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept int, score string, spans string, fp string"
@@ -289,13 +292,56 @@ def test_exact_groups_even_if_chunk_keys_collide(spark, key):
 # ---- toxicity and quality
 
 
-def test_decoding_restores_disguised_words(spark):
-    model = toxicity.fit(table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels"))
-    assert {toxicity.restored(w, model.lm) for w in ("i.d.i.o.t", "iiidiot", "idiot!!", "idiot###")} == {"idiot"}
+@pytest.fixture(scope="module")
+def toxic_model(spark):
+    return toxicity.fit(table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels"))
+
+
+def test_decoding_restores_disguised_words(spark, toxic_model):
+    model = toxic_model
+    dots = "i" + "." * 18 + "d" + "." * 18 + "i.o.t"
+    assert {toxicity.restored(w, model.lm) for w in ("i.d.i.o.t", "iiidiot", "idiot!!", "idiot###", dots, "idi" + "o" * 60 + "t", "iddiot")} == {"idiot"}
     assert toxicity.restored("m0r0n", model.lm) == "moron" and toxicity.restored("tr@sh", model.lm) == "trash"
-    assert "idiot" in toxicity.tokens("an i d i o t here")
+    assert "idiot" in toxicity.decode("an i d i o t", model.lm).split(" ")
     scores = [r["score"] for r in toxicity.scored(frame(spark, EDGE + [(20, "You IDIOT, you m0r0n and tr@sh")]), model).orderBy("doc_id").collect()]
     assert all(0 <= s <= 1 for s in scores) and scores[-1] == max(scores)
+    assert model.score("hello id i ot friends") == model.score("hello i d i o t friends") == model.score("hello idiot friends") == model.score("hello IDdDIOT friends")
+    assert model.score(f"hello {dots} friends") == model.score("hello idi ot friends") == model.score("hello idiot friends") > 0.3 > model.score("hello dear friends")
+
+
+def brute_decode(word, lm):
+    best = None
+    for path in itertools.product(*toxicity._lattice(word)):
+        a = b = 0
+        cost, said = 0.0, "".join(x for x, _ in path)
+        for x, price in path:
+            a, b, cost = toxicity._step(a, b, x, cost + price, lm)
+        cost += lm[(a * 28 + b) * 28]
+        if best is None or cost < best[0] - 1e-9:
+            best = (cost, {said})
+        elif cost < best[0] + 1e-9:
+            best[1].add(said)
+    return best[1]
+
+
+@settings(max_examples=150, deadline=None)
+@given(word=st.lists(st.sampled_from([*"aeidots140@!.-*", "ii", "ooo", "$$", " ", "é", "日本", "t t", "#"]), min_size=1, max_size=7).map("".join))
+def test_decoding_is_that_of_every_path(toxic_model, word):
+    word = " ".join(word.split())
+    assert toxicity.decode(word, toxic_model.lm) in brute_decode(word, toxic_model.lm)
+
+
+@settings(max_examples=300, deadline=None)
+@given(text=st.lists(st.sampled_from([*"idotmrnsuplae140@!.- ", "id", "iot", " i ", "st", "upid", "mor", "on", "ooo", " a ", "tt", "I", "D"]), max_size=14).map("".join))
+def test_scoring_skips_only_words_without_features(toxic_model, text):
+    m = toxic_model
+    words, out = text.lower().split(), set()
+    for w in words:
+        out.update(toxicity.features(toxicity.restored(w, m.lm)))
+    for run in toxicity.joints(words):
+        for w in toxicity.decode(" ".join(x for x in map(toxicity.core_of, run) if x), m.lm).split(" "):
+            out.update(toxicity.features(w))
+    assert m.found(text) == {f for f in out if f in m.weights}
 
 
 def held_out_quality(rows, labels):
@@ -426,18 +472,27 @@ def test_sql_says_the_same(spark):
 
 
 def test_pipeline_by_stages(spark):
+    """run() against a brute-force version of every stage that is not a fitted model."""
+    from .test_advice import brute_near, brute_share
+
     docs = table(spark, SF, "documents")
     columns, texts = docs.columns, {r["doc_id"]: r["text"] for r in docs.collect()}
+    items = [decontam.words(r["text"]) for r in table(spark, SF, "benchmark").collect()]
     kept = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before = {r["doc_id"]: r["text"] for r in kept.collect()}
-        kept = stage(spark, kept, SF)
+        kept = cut(stage(spark, kept, SF))
         assert kept.columns == columns
         after = {r["doc_id"]: r["text"] for r in kept.collect()}
         assert all(texts[d] == t for d, t in after.items())
         if name == "exact_dedup":
             assert sorted(after) == sorted({t: d for d, t in sorted(before.items())}.values())
         if name == "simhash":
-            assert sorted(after) == sorted(set(brute_components({d: brute_fingerprint(t) for d, t in before.items()}).values()))
+            assert sorted(after) == brute_near(before.items())
+        if name == "decontamination":
+            for d, t in before.items():
+                w = decontam.words(t)
+                near = [x for x in items if 2 * len(set(x) & set(w)) >= len(set(x)) or len(x) <= 3]
+                assert (d in after) == (not any(brute_share(x, w) >= 0.5 for x in near)), d
     rows = corpus_pipeline.run(spark, SF).collect()
     assert {r["doc_id"] for r in rows} == set(after)
