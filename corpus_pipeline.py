@@ -1,43 +1,39 @@
-"""Documents to packed training sequences, in stages: (name, function of (spark, docs, sf_dir))."""
+"""Documents to packed training sequences, in stages: (name, function of (spark, docs, sf_dir)).
+
+Every stage decides row by row: null, repeated or missing doc_ids lose no text that has no copy. All but the last return
+the columns of docs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrille.llm import decontam, exact_dedup, near, packing, simhash, toxicity
-from quadrille.llm.common import cut, table
+from quadrille.llm import decontam, exact_dedup, packing, simhash, toxicity
+from quadrille.llm.common import fresh, table
 from quadrille.session import reachable
+from quadrille.storage import cut, scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model, "_toxicity").where("_toxicity < 0.3").drop("_toxicity")
-
-
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs but for the rows of the dropped doc_ids; rows of null doc_id stay."""
-    return docs.join(dropped.where("doc_id is not null").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    score = fresh(docs, "_score")
+    return toxicity.scored(docs, model, score).where(f"{score} < 0.3").select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row of the largest doc_id stays."""
-    return _without(docs, cut(exact_dedup.groups(docs).where("not kept").select("doc_id")))
-
-
-def drop_linked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by fingerprints the one of the smallest doc_id stays."""
-    return _without(docs, cut(simhash.components(docs).where("doc_id <> component_id").select("doc_id")))
+    """Of equal texts one row stays, of the largest doc_id."""
+    return exact_dedup.distinct(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a five-word similarity of 0.8 or more the one of the smallest doc_id stays."""
-    return _without(docs, cut(near.components(docs).where("doc_id <> component_id").select("doc_id")))
+    """Of texts linked by a five-word similarity of 0.8 or more one row stays, of the least doc_id."""
+    return simhash.distinct(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
-    return _without(docs, cut(decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id")))
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,14 +41,15 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs, packing.vocabulary_path())
 
 
-STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_exact_copies), ("simhash", drop_linked), ("near_copies", drop_near_copies), ("decontamination", drop_contaminated), ("packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_exact_copies), ("simhash", drop_near_copies), ("decontamination", drop_contaminated), ("packing", pack)]
 
 ORACLE_SQL = None  # hashing, alignment and a fitted model; the tests hold run() against a brute-force version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is written and read again."""
+    """All stages over documents; each stage's result is written and read again, and its own tables then go."""
     docs = reachable(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+    for _, stage in STAGES[:-1]:
+        with scratch() as own:
+            docs = own.keep(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
