@@ -56,7 +56,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_secrets, op2_preferences, op3_packing, op4_licenses, op5_toxicity, op6_simhash, op7_quality, op8_exact_dedup, op9_pii, op10_decontamination)}
 
 _TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.TEMPLATES.items())
-_BIGRAMS = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
 _WORDS = r"list_filter(string_split(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '')"
 
 ORACLE_SQL = {
@@ -81,17 +80,16 @@ select p.pair_id, cast(p.n as integer) as prompt_turns, coalesce(x.prompt, y.pro
 from p left join s x on x.pair_id = p.pair_id and x.side = 0 left join s y on y.pair_id = p.pair_id and y.side = 1
 """,
     "op4_licenses": f"""
-with u as (select doc_id, string_split(text, chr(10)) as lines, text from documents where text is not null),
-l as (select doc_id, unnest(range(len(lines)))::integer as unit, unnest(lines) as said from u
-      union all select doc_id, -1, text from u where len(lines) > 1),
-v as (select distinct doc_id, unit, {_WORDS.format('said')} as w from l),
-g as (select doc_id, unit, {_BIGRAMS} as grams from v),
+with d as (select row_number() over () as r, doc_id, {_WORDS.format('text')} as w from documents where text is not null),
+g as (select r, doc_id, len(w) - 1 as total, unnest(range(len(w) - 1)) as pos, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as gram from d where len(w) > 1),
 tw as (select license, {_WORDS.format('notice')} as w from (values {_TEMPLATE_ROWS}) as x(license, notice)),
-tg as (select license, {_BIGRAMS} as grams from tw),
-d as (select doc_id, unit, license, round(2.0e0 * len(list_intersect(g.grams, tg.grams)) / (len(g.grams) + len(tg.grams)), 6) as dice
-      from g, tg where len(g.grams) between len(tg.grams) * 0.8e0 / 1.2e0 and len(tg.grams) * 1.2e0 / 0.8e0)
-select doc_id, unit, license, dice from
-  (select *, row_number() over (partition by doc_id, unit order by dice desc, license) as k from d where dice >= 0.8) where k = 1
+tg as (select license, len(w) as n_words, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as grams from tw),
+h as (select g.*, t.license, t.n_words as width, len(t.grams) as n_pairs from g join (select *, unnest(grams) as gram from tg) t using (gram)),
+s as (select a.r, a.doc_id, a.license, a.pos, least(any_value(a.width) - 1, any_value(a.total) - a.pos) as pairs, any_value(a.n_pairs) as n_pairs, count(*) as inside, count(distinct b.gram) as m
+      from h a join h b on b.r = a.r and b.license = a.license and b.pos >= a.pos and b.pos < a.pos + a.width - 1 group by 1, 2, 3, 4),
+x as (select *, round(2e0 * m / (n_pairs + pairs - inside + m), 6) as dice from s)
+select doc_id, license, dice, cast(pos as integer) as start_word, cast(pairs + 1 as integer) as n_words
+from (select *, row_number() over (partition by r, license order by dice desc, pos) as k from x where dice >= 0.8e0) where k = 1
 """,
     "op8_exact_dedup": """
 select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size, doc_id = max(doc_id) over g as kept, sha256(coalesce(text, '')) as text_sha256

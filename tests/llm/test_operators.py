@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -446,14 +447,58 @@ def test_preferences(spark):
     assert chat.preferences(chat.neighbours(conv.limit(0))).collect() == [] and len(got) == 3
 
 
+def brute_licences(texts, threshold=0.8):
+    """Every window of every template's length that begins at one of its pairs."""
+    out = []
+    for k, (doc, text) in enumerate(texts):
+        w = re.findall(r"[^\W_]+", (text or "").lower())
+        for name, notice in licenses.TEMPLATES.items():
+            t = licenses.words_of(notice)
+            pairs = set(zip(t, t[1:]))
+            best = None
+            for i in range(len(w) - 1):
+                if (w[i], w[i + 1]) not in pairs:
+                    continue
+                own = list(zip(w[i : i + len(t)], w[i + 1 : i + len(t)]))
+                m = len(pairs & set(own))
+                dice = round(2 * m / (len(pairs) + sum(p not in pairs for p in own) + m), 6)
+                if dice >= threshold and (best is None or dice > best[0]):
+                    best = (dice, i, len(own) + 1)
+            if best:
+                out.append((doc, name, *best))
+    return out
+
+
+def wrapped(notice, width=60, mark="# "):
+    return "\n".join(mark + x for x in textwrap.wrap(notice, width))
+
+
 def test_licences(spark):
-    texts = EDGE + [(20, "code\nReleased under the MIT License.\nmore"), (21, "This work is licensed under the GNU General Public Licence, version 3."), (22, "Released under no licence whatever it may be called"), (20, "Licensed under CC BY-NC 4.0.")]
-    got = {(r["doc_id"], r["license"]): r for r in licenses.matches(frame(spark, texts)).collect()}
-    assert set(got) == {(20, "MIT"), (20, "CC-BY-NC-4.0"), (21, "GPL-3.0")}
-    assert got[20, "MIT"]["dice"] == 1 and got[20, "MIT"]["unit"] == 1 and 0.8 <= got[21, "GPL-3.0"]["dice"] < 1
+    mit, gpl, bsd = (licenses.TEMPLATES[k] for k in ("MIT-text", "GPL-3.0-or-later-notice", "BSD-3-Clause-text"))
+    half = bsd.split()[: len(bsd.split()) // 8]
+    texts = EDGE + [
+        (20, "code\nReleased under the MIT License.\nmore"), (21, "This work is licensed under the GNU General Public Licence, version 3."), (22, "Released under no licence whatever it may be called"), (20, "Licensed under CC BY-NC 4.0."),
+        (23, "import os\n" + wrapped(gpl) + "\n\ndef f(): pass\n"), (24, "This repo has things. Released under the MIT License. See the docs."), (25, "MIT License\n\nCopyright 2020 Someone\n\n" + wrapped(mit, 70, "") + "\n"), (26, wrapped(bsd, 40, " * ") + "\nint main;"),
+        (None, " ".join(half) + " one two three"), (None, " ".join(bsd.split()[len(half) : 2 * len(half)])), (27, wrapped(licenses.TEMPLATES["ISC-text"].replace("FITNESS", "fitnes"), 33)), (28, "Released under the MIT License. " * 50), (29, "words before " * 400 + licenses.TEMPLATES["MPL-2.0"]),
+    ]
+    rows = [tuple(r) for r in licenses.matches(frame(spark, texts)).select("doc_id", "license", "dice", "start_word", "n_words").collect()]
+    assert sorted(rows, key=str) == sorted(brute_licences(texts), key=str)
+    got = {(r[0], r[1]): r[2] for r in rows}
+    assert got[20, "MIT"] == 1 and got[24, "MIT"] == 1 and got[20, "CC-BY-NC-4.0"] == 1 and 0.8 <= got[21, "GPL-3.0"] < 1 and (22, "MIT") not in got
+    assert got[23, "GPL-3.0-or-later-notice"] == got[23, "GPL-3.0-or-later"] == got[25, "MIT-text"] == got[26, "BSD-3-Clause-text"] == 1 and 0.9 < got[27, "ISC-text"] < 1
     assert licenses.matches(frame(spark, [])).collect() == []
 
 
+def test_licence_covers_hold_for_any_needed_pairs():
+    for notice in licenses.TEMPLATES.values():
+        w = licenses.words_of(notice)
+        pairs = set(zip(w, w[1:]))
+        found = licenses.covers(notice, 0.8)
+        assert found
+        for words in found:
+            assert sum(not set(p) & set(words) for p in pairs) < licenses.needed(len(pairs), 0.8)
+
+
 # ---- queries and pipeline
 
 
