@@ -32,7 +32,15 @@ QUADS = re.compile(r"[0-9]+(?:\.[0-9]+)+")
 DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 HOST = re.compile(r"(?:[^\s/?#@<>\"']+@)?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?::[0-9]{1,5})?(?:[/?#][^\s<>\"']*)?")
-IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
+IBAN = re.compile(r"[A-Z]{2}[0-9]{2}")
+# Lengths of account numbers by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28,
+    "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27,
+    "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18,
+    "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28,
+    "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 SSN = re.compile(r"([0-9]{3})[- ]([0-9]{2})[- ]([0-9]{4})(?![0-9])")
 ACCOUNT = re.compile(r"[A-Z]{0,2}[0-9]{6,17}(?![A-Za-z0-9])")
 GAP = re.compile(r"(?:\s|[:#=.]|is|no|number|nr){0,6}", re.I)
@@ -71,6 +79,22 @@ def iban_valid(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1
 
 
+def iban_end(text: str, begin: int) -> int | None:
+    """End of the valid account number that begins there: its country's number of signs, with single blanks between."""
+    m = IBAN.match(text, begin)
+    left = m and IBAN_LENGTHS.get(m[0][:2])
+    if not left:
+        return None
+    left, at = left - 4, m.end()
+    while left:
+        at += text[at : at + 1] == " "
+        c = text[at : at + 1]
+        if not (c.isascii() and (c.isdigit() or c.isupper())):
+            return None
+        left, at = left - 1, at + 1
+    return at if not text[at : at + 1].isalnum() and iban_valid(text[begin:at]) else None
+
+
 def spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by start and kind."""
     found: list[tuple[str, int, int]] = []
@@ -122,17 +146,19 @@ def spans(text: str) -> list[tuple[str, int, int]]:
         else:
             begin = GAP.match(text, last + 1).end()
             if kind == "iban":
-                m = IBAN.match(text, begin)
-                good = m and iban_valid(m[0])
+                end = iban_end(text, begin)
+                good = end is not None
             elif kind == "ssn":
                 m = SSN.match(text, begin)
+                end = m and m.end()
                 good = m and m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000"
             else:
                 m = ACCOUNT.match(text, begin)
+                end = m and m.end()
                 good = bool(m)
             if good and begin >= after[kind]:
-                found.append((kind, begin, m.end()))
-                after[kind] = m.end()
+                found.append((kind, begin, end))
+                after[kind] = end
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(set(found), key=lambda s: (s[1], order[s[0]], s[2]))
 

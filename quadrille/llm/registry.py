@@ -61,7 +61,7 @@ _WORDS = r"list_filter(string_split(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]
 ORACLE_SQL = {
     "op2_preferences": """
 with t as (select conv_id, conv_id // 2 as pair_id, conv_id % 2 as side, coalesce(role, '') as role, coalesce(text, '') as text,
-                  row_number() over (partition by conv_id order by turn, coalesce(role, ''), coalesce(text, '')) - 1 as k
+                  row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 as k
            from conversations where conv_id is not null),
 a as (select * from t where side = 0), b as (select * from t where side = 1),
 p as (select coalesce(a.pair_id, b.pair_id) as pair_id,
