@@ -7,8 +7,8 @@ each other become one lattice with their neighbours, in which each blank may sta
 finds the likeliest restored words, whatever their length. A logistic model over restored words and their beginnings, chosen
 and fitted on a bounded sample of labelled rows, scores the restored text. Only the text is an input.
 
-Scoring decodes a word only if some path of its lattice begins with three letters that a feature of the model begins with;
-any other path gives no feature, so that is exact.
+Scoring decodes a word only if some path of its lattice spells the letters of a feature of the model from the word's
+beginning; else no path gives a feature, so that is exact.
 
 Defined cases: null text counts as empty and gets the model's score of no evidence; without labelled rows of both kinds
 every score is the share of label 1 (0 without any); equal texts get equal scores; rows of null doc_id are scored.
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 import re
-from itertools import accumulate, groupby
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -176,16 +176,12 @@ def restored(word: str, lm: list[float]) -> str:
     return core if not core or core.isalpha() and not TWICE.search(core) else decode(core, lm)
 
 
-def beginnings(groups: list[tuple[str, int]], k: int, begin: int, most: int = 3) -> set[str]:
-    """The first `most` letters of any path from place `begin` on, which is in group k; all letters of shorter paths."""
-    open_, done = {""}, set()
-    while open_ and k < len(groups):
-        c, end = groups[k]
-        grown = {x + letters for x in open_ for letters, _ in _ways(c, end - begin)}
-        done |= {x[:most] for x in grown if len(x) >= most}
-        open_ = {x for x in grown if len(x) < most}
-        k, begin = k + 1, end
-    return done | open_
+def _end(said: str, at: int) -> int:
+    """Where the run of one sign at a place ends."""
+    end, c = at + 1, said[at]
+    while end < len(said) and said[end] == c:
+        end += 1
+    return end
 
 
 def spelt(words: list[str]) -> list[list[str]]:
@@ -229,43 +225,83 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, crc_of: int, rest:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
 
 
+class _Quick(dict):
+    """Three signs -> False if no path over them and what follows begins with one of starts, remembered."""
+
+    def __init__(self, starts: set[str]):
+        super().__init__()
+        self.starts, self.ones, self.twos = starts, {x[0] for x in starts}, {x[:2] for x in starts}
+
+    def __missing__(self, signs: str) -> bool:
+        a, b, c = signs[:1], signs[1:2], signs[2:3]
+        maybe = True
+        if a.isalpha():
+            maybe = a in self.ones
+            if maybe and b.isalpha() and a != b:
+                maybe = a + b in self.twos
+                if maybe and c.isalpha() and b != c:
+                    maybe = a + b + c in self.starts
+        self[signs] = maybe
+        return maybe
+
+
 class Model:
     """Weights by feature, a bias, and the language model."""
 
     def __init__(self, lm: list[float], weights: dict[str, float], bias: float, most: int = 400_000):
         self.lm, self.weights, self.bias, self.most = lm, weights, bias, most
-        self.starts = {f[1:4] for f in weights}
+        self.starts, self.spelt = {f[1:4] for f in weights}, {f[1:] for f in weights}
+        self.parts = {f[:k] for f in self.spelt for k in range(len(f))}
         self._clear()
 
     def _clear(self) -> None:
+        self.quick = _Quick(self.starts)
         self.seen: set[str] = set()
         self.hot: dict[str, tuple] = {}
 
+    def may(self, said: str, at: int = 0) -> bool:
+        """Whether some path of the lattice from place `at` on spells a feature's letters."""
+        if not self.quick[said[at : at + 3]]:
+            return False
+        open_ = {""}
+        while open_ and at < len(said):
+            end = _end(said, at)
+            ways, at = _ways(said[at], end - at), end
+            grown = set()
+            for x in open_:
+                for letters, _ in ways:
+                    y = x
+                    for c in letters:
+                        y += c
+                        if y in self.spelt:
+                            return True
+                    if y in self.parts:
+                        grown.add(y)
+            open_ = grown
+        return False
+
     def hits(self, word: str) -> tuple:
         """The model's features that a white-space word in lower case has."""
-        core = word.rstrip(TAIL)
-        if core.isalpha() and not TWICE.search(core):
-            if core[:3] not in self.starts:
-                return ()
-        elif beginnings(_groups(core_of(word)), 0, 0).isdisjoint(self.starts):
+        core = word if word[0].isalpha() else core_of(word)
+        if not core or not self.may(core):
             return ()
         return tuple(f for f in features(restored(word, self.lm)) if f in self.weights)
 
     def joined(self, run: list[str]) -> tuple:
         """The model's features of a run of short tokens and its neighbours, read as one."""
-        run = [x for x in map(core_of, run) if x]
         said = "".join(run)
-        places = list(accumulate(map(len, run[:-1]), initial=0))[:-1] if len(run) > 1 else []
-        if said.isalpha() and not TWICE.search(said):
-            some = any(said[at : at + 3] in self.starts for at in places)
-        else:
-            groups, k, some = _groups(said), 0, False
-            for at in places:
-                while groups[k][1] <= at:
-                    k += 1
-                if not beginnings(groups, k, at).isdisjoint(self.starts):
+        if not said.isalpha():
+            run = [x for x in (w if w.isalpha() else core_of(w) for w in run) if x]
+            said = "".join(run)
+        at, some, covered = 0, False, 0
+        for w in run[:-1]:
+            if at >= covered:
+                if self.may(said, at):
                     some = True
                     break
+                if said[at + 1 : at + 3] == said[at] * 2:  # places that leave three equal signs or more are alike
+                    covered = _end(said, at) - 2
+            at += len(w)
         if not some:
             return ()
         return tuple(f for w in decode(" ".join(run), self.lm).split(" ") for f in features(w) if f in self.weights)
@@ -281,10 +317,24 @@ class Model:
                 self.hot[w] = x
         self.seen |= distinct
         out = {f for w in distinct.intersection(self.hot) for f in self.hot[w]}
-        for run in joints(words):
+        for run in self.flagged(words):
             out.update(self.joined(run))
         return out
 
+    def flagged(self, words: list[str]) -> list[list[str]]:
+        """joints(words) but for those that three signs after each place in them rule out."""
+        out, quick, last, first, flag = [], self.quick, -2, 0, False
+        for i in [i for i, w in enumerate(words) if len(w) <= SHORT_TOKEN]:
+            if i != last + 1:
+                if flag:
+                    out.append(words[first : last + 2])
+                first = max(i - 1, 0)
+                flag = i > 0 and quick[words[i - 1][:3]]
+            if not flag and i + 1 < len(words):
+                flag = quick[(words[i] + words[i + 1])[:3]]
+            last = i
+        return out + [words[first : last + 2]] * flag
+
     def score(self, text: str) -> float:
         z = self.bias + sum(self.weights[f] for f in sorted(self.found(text)))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
@@ -314,8 +364,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, width: int =
     sample = cut(labelled(docs, labels, "toxic", 4, 2, rows))
 
     def run(batches):
+        known: dict[str, list] = {}
         for b in batches:
-            known: dict[str, list] = {}
+            if len(known) > 400_000:
+                known.clear()
             ids, said = [], []
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 own: set[str] = set()
