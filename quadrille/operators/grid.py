@@ -3,8 +3,8 @@
 points(frame_index, point_id, x, y, z, intensity, p0..p3, ground) in world coordinates, and
 cells(level, ix, iy, z, var, z_min, z_max, inten, n_obs, ev0..ev3, overhead, last_seen). Missing is NULL.
 
-Every operator is block-local: a cell's parents, children and fusion partners share its coarsest ancestor. With cells
-and measurements dealt out by block once (see `by_block`), joins and aggregations on (level, ix, iy) reuse that.
+Every operator is block-local: a cell's parents, children and fusion partners share its coarsest ancestor, its block.
+Fusion and level changes shuffle by cell; lookup brings points and cells together by block, once.
 """
 
 from __future__ import annotations
@@ -205,6 +205,12 @@ def prune(cells: DataFrame, lod: Lod, fusion: Fusion, sx: float, sy: float, fram
     return cells.where(keeps(lod, fusion, sx, sy, frame))
 
 
+def pruned(cells: DataFrame, lod: Lod, fusion: Fusion, sx: float, sy: float, frame: int) -> DataFrame:
+    """(kept, removed): how many cells prune() would leave and take."""
+    ok = keeps(lod, fusion, sx, sy, frame)
+    return cells.agg(F.count_if(ok).alias("kept"), F.count_if(~ok).alias("removed"))
+
+
 def keeps(lod: Lod, fusion: Fusion, sx: float, sy: float, frame: int) -> Column:
     size = geo.level_size("level", lod)
     away = geo.planar_range(geo.centre("ix", size) - float(sx), geo.centre("iy", size) - float(sy))
@@ -224,22 +230,19 @@ def view(cells: DataFrame, lod: Lod) -> DataFrame:
 def lookup(points: DataFrame, cells: DataFrame, lod: Lod, by: list[str], columns: list[str]) -> DataFrame:
     """Of the cells that hold a point, the finest: points' `by` columns, its level and the cells' columns, null if none.
 
-    Each point asks at all levels and the least level with a cell answers, in one shuffle of small rows by cell and one
-    aggregation by point with partial results.
+    A block's cells, at most (4 ** n_levels - 1) / 3, are one array; points and arrays are joined once by block, and a point
+    picks its cell within the row.
     """
-    asks = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), geo.index("x", lod.size(k)).alias("ix"), geo.index("y", lod.size(k)).alias("iy")) for k in range(lod.n_levels))))
-    asked = points.select(*by, asks.alias("k")).select(*by, "k.*")
+    bx, by_ = geo.block("level", "ix", "iy", lod)
     # cells know the key alone: rename so that clashing names of points survive
-    given = cells.select(F.col("level").alias("_l"), F.col("ix").alias("_x"), F.col("iy").alias("_y"), F.struct(*(F.col(c) for c in columns)).alias("_c"))
-    on = (F.col("level") == F.col("_l")) & (F.col("ix") == F.col("_x")) & (F.col("iy") == F.col("_y"))
-    hits = asked.join(given, on, "left").groupBy(*by).agg(F.min_by(F.struct("_l", "_c"), F.col("_l")).alias("h"))
-    return hits.select(*by, F.col("h._l").alias("level"), *(F.col(f"h._c.{c}").alias(c) for c in columns))
-
-
-def by_block(df: DataFrame, lod: Lod, partitions: int | None = None) -> DataFrame:
-    """Deal rows out by coarsest ancestor."""
-    bx, by = geo.block("level", "ix", "iy", lod)
-    return df.repartition(*([partitions] if partitions else []), bx, by)
+    held = F.struct(F.col("level").alias("l"), F.col("ix").alias("x"), F.col("iy").alias("y"), F.struct(*(F.col(c) for c in columns)).alias("c"))
+    blocks = cells.select(bx.cast("long").alias("_bx"), by_.cast("long").alias("_by"), held.alias("_h")).groupBy("_bx", "_by").agg(F.array_sort(F.collect_list("_h"), lambda a, b: a["l"] - b["l"]).alias("_cells"))
+    coarse = lod.size(lod.n_levels - 1)
+    places = F.array(*(F.struct(geo.index("x", lod.size(k)).alias("x"), geo.index("y", lod.size(k)).alias("y")) for k in range(lod.n_levels)))
+    asked = points.select(*by, geo.index("x", coarse).alias("_bx"), geo.index("y", coarse).alias("_by"), places.alias("_at"))
+    here = lambda h: (h["x"] == F.get("_at", h["l"])["x"]) & (h["y"] == F.get("_at", h["l"])["y"])
+    found = asked.join(blocks, ["_bx", "_by"], "left").select(*by, F.get(F.filter("_cells", here), F.lit(0)).alias("_f"))
+    return found.select(*by, F.col("_f.l").alias("level"), *(F.col(f"_f.c.{c}").alias(c) for c in columns))
 
 
 def memory(cells: DataFrame, lod: Lod, n_points: int, cell_bytes: int, point_bytes: int, height: float = 20.0) -> DataFrame:

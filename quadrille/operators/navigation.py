@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..config import Lod, Vehicle
 from ..functions import geo
 from ..functions.geo import number
+from ..storage import cut, scratch
+from . import grid
 from .graph import connected
 
 TILE = ["kx", "ky"]
@@ -91,17 +93,30 @@ def edges(linked: DataFrame) -> DataFrame:
     return linked.select(*TILE, "z", "passable", F.explode("links").alias("l")).select(*TILE, "z", "passable", F.col("l.kx").alias("nx"), F.col("l.ky").alias("ny"), F.col("l.z").alias("nz"), F.col("l.distance").alias("distance"))
 
 
-def crossable(linked: DataFrame, vehicle: Vehicle, max_link: float = MAX_LINK) -> DataFrame:
-    """Links between passable tiles that a vehicle can take and that are short enough to assert: (kx, ky, nx, ny)."""
+def passable_edges(linked: DataFrame) -> DataFrame:
+    """edges() between passable tiles."""
     there = linked.where("passable").select(F.col("kx").alias("nx"), F.col("ky").alias("ny"))
+    return edges(linked).where("passable").join(there, ["nx", "ny"])
+
+
+def _crossed(passable: DataFrame, vehicle: Vehicle, max_link: float) -> DataFrame:
     dz = F.abs(F.col("z") - F.col("nz"))
     ok = (dz <= number(vehicle.max_step_height)) & (F.degrees(F.atan2(dz, F.greatest("distance", number(1e-3)))) <= number(vehicle.max_slope_deg)) & (F.col("distance") <= number(max_link * vehicle.nav_cell + 1e-6))
-    return edges(linked).where("passable").where(ok).join(there, ["nx", "ny"]).select(*TILE, "nx", "ny")
+    return passable.where(ok).select(*TILE, "nx", "ny")
+
+
+def crossable(linked: DataFrame, vehicle: Vehicle, max_link: float = MAX_LINK) -> DataFrame:
+    """Links between passable tiles that a vehicle can take and that are short enough to assert: (kx, ky, nx, ny)."""
+    return _crossed(passable_edges(linked), vehicle, max_link)
 
 
 def components(linked: DataFrame, vehicle: Vehicle, max_link: float = MAX_LINK) -> DataFrame:
     """(kx, ky, component) of passable tiles; component is the least packed key in it."""
-    found = connected(crossable(linked, vehicle, max_link).select(geo.pack("kx", "ky").alias("a"), geo.pack("nx", "ny").alias("b")))
+    return _components(linked, crossable(linked, vehicle, max_link))
+
+
+def _components(linked: DataFrame, crossed: DataFrame) -> DataFrame:
+    found = connected(crossed.select(geo.pack("kx", "ky").alias("a"), geo.pack("nx", "ny").alias("b")))
     keyed = linked.where("passable").select(*TILE, geo.pack("kx", "ky").alias("node"))
     if found is None:
         return keyed.select(*TILE, F.col("node").alias("component"))
@@ -119,12 +134,13 @@ def seed_component(parts: DataFrame, nav_cell: float, sx: float, sy: float, radi
 
 def reachable(linked: DataFrame, vehicle: Vehicle, sx: float, sy: float) -> DataFrame:
     """linked with `reachable`: connected to where the vehicle is. All false without two passable neighbours."""
-    neighbours = edges(linked).where("passable").join(linked.where("passable").select(F.col("kx").alias("nx"), F.col("ky").alias("ny")), ["nx", "ny"], "left_semi")
-    if neighbours.isEmpty():
-        return linked.withColumn("reachable", F.lit(False))
-    parts = components(linked, vehicle)
-    seed = seed_component(parts, vehicle.nav_cell, sx, sy)
-    inside = parts.join(F.broadcast(seed), "component", "left_semi").select(*TILE, F.lit(True).alias("reachable"))  # one row
+    with scratch() as own:
+        passable = cut(passable_edges(linked))
+        if passable.isEmpty():
+            return linked.withColumn("reachable", F.lit(False))
+        parts = cut(_components(linked, _crossed(passable, vehicle, MAX_LINK)))
+        seed = seed_component(parts, vehicle.nav_cell, sx, sy)
+        inside = own.keep(parts.join(F.broadcast(seed), "component", "left_semi").select(*TILE, F.lit(True).alias("reachable")))  # one row
     return linked.join(inside, TILE, "left").withColumn("reachable", F.coalesce("reachable", F.lit(False)))
 
 
@@ -194,23 +210,50 @@ def search(table: pd.DataFrame, nav_cell: float, start: tuple[float, float], goa
     return pd.DataFrame({"seq": range(len(chain)), "kx": table.kx[chain].to_numpy(), "ky": table.ky[chain].to_numpy(), "x": x[chain], "y": y[chain], "z": z[chain], "cost": [best[i] for i in chain], "expanded": len(done)})
 
 
-def routes(reached: DataFrame, requests: DataFrame, vehicle: Vehicle) -> DataFrame:
+def routes(reached: DataFrame, requests: DataFrame, vehicle: Vehicle, together: int = 256) -> DataFrame:
     """(request, seq, ...) for requests(request, sx, sy, gx, gy): the cheapest route over usable tiles, no rows if none.
 
-    A search is sequential over one map of a few thousand tiles around a vehicle, so each request gets the tiles as one
-    group in one Python call, and requests run in parallel. reached may have a `request` column to tell maps apart.
+    A search is sequential over one map of a few thousand tiles around a vehicle. A map's tiles and some `together` of its
+    requests are one cogroup and one Python call; both sides may have a column `map` that tells maps apart.
     """
-    usable = reached.where("passable and reachable").select(*(["request"] if "request" in reached.columns else []), *TILE, "z", "slope_deg", "links")
-    own = usable.join(requests, "request") if "request" in usable.columns else usable.join(F.broadcast(requests))
-    nav_cell = vehicle.nav_cell
+    maps = "map" in reached.columns and "map" in requests.columns
+    hands = max(1, -(-requests.count() // together))
+    key = F.col("map").cast("string") if maps else F.lit("")
+    usable = reached.where("passable and reachable").select(*TILE, "z", "slope_deg", "links", key.alias("map"), F.explode(F.sequence(F.lit(0), F.lit(hands - 1))).alias("hand"))
+    asked = requests.select("request", *(F.col(c).cast("double").alias(c) for c in ("sx", "sy", "gx", "gy")), key.alias("map"), F.pmod(F.xxhash64("request"), F.lit(hands)).cast("int").alias("hand"))
+    nav_cell, columns = vehicle.nav_cell, ["request", *(c.split()[0] for c in ROUTE.split(", "))]
+
+    def run(tiles: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for r in wanted.itertuples():
+            out = search(tiles, nav_cell, (r.sx, r.sy), (r.gx, r.gy), vehicle)
+            out.insert(0, "request", r.request)
+            found.append(out)
+        found = [x for x in found if len(x)]
+        return pd.concat(found) if found else pd.DataFrame(columns=columns)
+
+    return usable.groupBy("map", "hand").cogroup(asked.groupBy("map", "hand")).applyInPandas(run, "request long, " + ROUTE)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        r = group.iloc[0]
-        out = search(group, nav_cell, (r.sx, r.sy), (r.gx, r.gy), vehicle)
-        out.insert(0, "request", r.request)
-        return out
 
-    return own.groupBy("request").applyInPandas(run, "request long, " + ROUTE)
+def every_nth(found: DataFrame, lines: int = 12) -> DataFrame:
+    """The rows of routes() that a report shows: every n-th tile so that about `lines` of each route are left."""
+    n = F.count("*").over(Window.partitionBy("request"))
+    return found.withColumn("_n", F.greatest(F.floor(n / lines), F.lit(1))).where(F.col("seq") % F.col("_n") == 0).drop("_n")
+
+
+def nearest_cells(cells: DataFrame, lod: Lod, reach: int = 6) -> DataFrame:
+    """(KEY, dx, dy, step, n_level, n_ix, n_iy, distance): in each of four directions the first other cell, of any level.
+
+    A cell looks from its centre at up to `reach` of its own widths; a coarse cell may be met as itself, and is looked past.
+    """
+    size = geo.level_size("level", lod)
+    steps = F.explode(F.array(*(F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy"), F.lit(k).alias("step")) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1)) for k in range(1, reach + 1))))
+    asks = cells.select(*(F.col(c).alias(f"_{c}") for c in grid.KEY), geo.centre("ix", size).alias("_cx"), geo.centre("iy", size).alias("_cy"), size.alias("_size"), steps.alias("_s"))
+    asks = asks.select("_level", "_ix", "_iy", "_size", "_s.dx", "_s.dy", "_s.step", (F.col("_cx") + F.col("_s.dx") * F.col("_s.step") * F.col("_size")).alias("x"), (F.col("_cy") + F.col("_s.dy") * F.col("_s.step") * F.col("_size")).alias("y"))
+    keys = ["_level", "_ix", "_iy", "_size", "dx", "dy", "step"]
+    met = grid.lookup(asks, cells, lod, keys, ["ix", "iy"]).where("level is not null and not (level = _level and ix = _ix and iy = _iy)")
+    first = met.groupBy("_level", "_ix", "_iy", "_size", "dx", "dy").agg(F.min(F.struct("step", "level", "ix", "iy")).alias("f"))
+    return first.select(*(F.col(f"_{c}").alias(c) for c in grid.KEY), "dx", "dy", F.col("f.step").alias("step"), F.col("f.level").alias("n_level"), F.col("f.ix").alias("n_ix"), F.col("f.iy").alias("n_iy"), (F.col("f.step") * F.col("_size")).alias("distance"))
 
 
 def route_summary(found: DataFrame) -> DataFrame:

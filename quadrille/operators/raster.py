@@ -114,14 +114,6 @@ def step_height(cells: DataFrame, wrap: int | None = None) -> DataFrame:
     return pairs.groupBy(*KEY).agg(F.coalesce(F.max(F.abs(F.col("v") - F.col("nv"))), number(0)).alias("step"))
 
 
-def smooth(cells: DataFrame, wrap: int) -> DataFrame:
-    """(KEY, v) after one sweep of the envelope on a full raster: the middle two of four neighbours, averaged."""
-    there = cells.select("frame_index", F.col("i").alias("ni"), F.col("j").alias("nj"), F.col("v").alias("nv"))
-    pairs = around(cells, ["v"], wrap).join(there, ["frame_index", "ni", "nj"])
-    four = F.sort_array(F.collect_list("nv"))
-    return pairs.groupBy(*KEY).agg(F.first("v").alias("v"), four.alias("n")).select(*KEY, F.least("v", (F.col("n")[1] + F.col("n")[2]) / 2 + HEADROOM).alias("v"))
-
-
 def dilate(cells: DataFrame, wrap: int | None = None) -> DataFrame:
     """Cells and their neighbours, once each."""
     return cells.select(*KEY).unionByName(around(cells, [], wrap).select("frame_index", F.col("ni").alias("i"), F.col("nj").alias("j"))).distinct()
@@ -153,6 +145,39 @@ def components(cells: DataFrame, max_step: float | None = None, width: int = 1 <
     return rooted.join(rooted.groupBy("root").agg(F.min("node").alias("component")), "root").select(*KEY, "component")
 
 
+def labelled(mask: np.ndarray) -> np.ndarray:
+    """Number of each cell's 4-connected component, which is its least place, by hooking and pointer jumping; -1 outside."""
+    h, w = mask.shape
+    place = np.arange(h * w).reshape(h, w)
+    right, down = mask[:, :-1] & mask[:, 1:], mask[:-1] & mask[1:]
+    a = np.concatenate([place[:, :-1][right], place[:-1][down]])
+    b = np.concatenate([place[:, 1:][right], place[1:][down]])
+    up = np.arange(h * w)
+    while True:
+        low = np.minimum(up[a], up[b])
+        before = up.copy()
+        np.minimum.at(up, before[a], low)
+        np.minimum.at(up, before[b], low)
+        while (up[up] != up).any():
+            up = up[up]
+        if (up == before).all():
+            return np.where(mask, up.reshape(h, w), -1)
+
+
+def grown_parts(cells: DataFrame, extent: float = EXTENT, cell: float = CELL) -> DataFrame:
+    """(KEY, component): components of each frame's cells grown by one, for the cells themselves; one Python call a frame's square."""
+    n = side(extent, cell)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        mask = np.zeros((n + 2, n + 2), bool)
+        i, j = frame.i.to_numpy(), frame.j.to_numpy()
+        for a, b in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)):
+            mask[i + 1 + a, j + 1 + b] = True
+        return frame.assign(component=labelled(mask[1:-1, 1:-1])[i, j])
+
+    return cells.select(*KEY).distinct().groupBy("frame_index").applyInPandas(run, "frame_index long, i int, j int, component long")
+
+
 def drivable_region(full: DataFrame, max_slope: float, max_step: float, x: float = 0.0, y: float = 0.0, extent: float = EXTENT, cell: float = CELL) -> DataFrame:
     """(KEY) of the passable component that holds (x, y), else of the largest; full is ground()."""
     held = support(full.where("observed"), extent=extent, cell=cell)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Model, Vehicle
 from ..functions.geo import number
+from ..storage import cut, scratch
 from . import features, raster
 
 BY = ["frame_index", "point_id"]
@@ -41,7 +42,24 @@ def clusters(objects: DataFrame) -> DataFrame:
 
 
 def segment(points: DataFrame, vehicle: Vehicle) -> DataFrame:
-    """points(frame_index, point_id, x, y, z, intensity, ...) in sensor coordinates with label and p0..p3."""
+    """points(frame_index, point_id, x, y, z, intensity, ...) in sensor coordinates with label and p0..p3.
+
+    Described points are written once, as objects, clusters and the result read them; a frame's components are found within
+    its square.
+    """
+    with scratch() as own:
+        at = cut(_described(points, vehicle))
+        h = F.col("height")
+        objects = at.where(~F.col("on_ground") & (h > 0.25) & (h < 4.0)).select(*BY, "i", "j", "x", "y", "height", "f_scattering")
+        named = cut(objects.join(raster.grown_parts(objects), raster.KEY))
+        dynamic = clusters(named).where("dynamic").select("frame_index", "component")
+        moving = named.join(dynamic, ["frame_index", "component"], "left_semi").where(~((F.col("f_scattering") > 0.30) & (F.col("height") > 2.3))).select(*BY, F.lit(True).alias("_moves"))
+        label = F.when((F.col("f_linearity") > 0.85) & (h > 1.2), 2).when(F.col("_moves"), 3).otherwise(F.col("_first"))
+        return own.keep(with_evidence(at.join(moving, BY, "left").withColumn("label", label).select(*points.columns, "label", "height")))
+
+
+def _described(points: DataFrame, vehicle: Vehicle) -> DataFrame:
+    """points with the features that rules ask for, the height over the ground raster and the label of ground."""
     i, j = raster.indices()
     described = features.features(points).select(*points.columns, "f_normal_z", "f_roughness", "f_scattering", "f_linearity", i.alias("i"), j.alias("j"))
     ground = raster.ground(points).select(*raster.KEY, F.col("v").alias("_v"), "observed", F.col("relief").alias("_relief"), F.col("slope_deg").alias("_slope"))
@@ -49,16 +67,7 @@ def segment(points: DataFrame, vehicle: Vehicle) -> DataFrame:
     h = F.col("height")
     at = at.withColumn("on_ground", ((h < 0.20) & (F.col("f_normal_z") > 0.50)) | (h < 0.07))
     rough = F.col("observed") & ((F.col("_relief") > vehicle.max_step_height) | (F.col("_slope") > vehicle.max_slope_deg) | (F.col("f_roughness") > vehicle.max_roughness * 1.8))
-    at = at.withColumn("_first", F.when(F.col("on_ground"), F.when(rough, 1).otherwise(0)).otherwise(2))
-    objects = at.where(~F.col("on_ground") & (h > 0.25) & (h < 4.0))
-    grown = raster.dilate(objects.select(*raster.KEY).distinct(), None).where((F.col("i") >= 0) & (F.col("j") >= 0) & (F.col("i") < raster.side()) & (F.col("j") < raster.side()))
-    parts = raster.components(grown)
-    named = objects.select(*BY, "i", "j", "x", "y", "height", "f_scattering").join(parts, raster.KEY)
-    dynamic = clusters(named).where("dynamic").select("frame_index", "component")
-    moving = named.join(dynamic, ["frame_index", "component"], "left_semi").where(~((F.col("f_scattering") > 0.30) & (F.col("height") > 2.3))).select(*BY, F.lit(True).alias("_moves"))
-    out = at.join(moving, BY, "left")
-    label = F.when((F.col("f_linearity") > 0.85) & (h > 1.2), 2).when(F.col("_moves"), 3).otherwise(F.col("_first"))
-    return with_evidence(out.withColumn("label", label).select(*points.columns, "label", "height"))
+    return at.withColumn("_first", F.when(F.col("on_ground"), F.when(rough, 1).otherwise(0)).otherwise(2))
 
 
 def with_evidence(labelled: DataFrame, sure: float = 0.88, other: float = 0.04) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -80,8 +80,8 @@ def files(spark: SparkSession, path: str, pattern: str, every: int = 1) -> DataF
     named = listed.select(F.regexp_extract("path", r"([^/]+?)(\.pcd)?\.[^./]+$", 1).alias("scan"), "path", "content")
     if every <= 1:
         return named
-    names = sorted(r["path"] for r in named.select("path").collect())[::every]  # a listing, as the driver holds anyway
-    return named.where(F.col("path").isin(names))
+    nth = F.row_number().over(Window.orderBy("path")) - 1  # over names alone: contents are not read for it
+    return named.join(named.select("path").withColumn("_n", nth).where(F.col("_n") % every == 0).select("path"), "path", "left_semi").select("scan", "path", "content")
 
 
 def read_npz(spark: SparkSession, path: str) -> DataFrame:

@@ -306,3 +306,64 @@ def test_npz_data_source(spark, tmp_path):
     reachable(spark).dataSource.register(scans.NpzSource)
     rows = spark.read.format("quadrille_npz").option("path", str(tmp_path)).load().collect()
     assert [r.label for r in rows] == [0, 1, 255] and rows[0].scan == "a"
+
+
+def test_pipeline_over_two_whole_frames(spark):
+    """Labels are only revoked, invariants hold, and the map says more than the segmenter."""
+    from quadrille.config import CELL_BYTES
+    from quadrille.plans.pipeline import MapPipeline, to_world
+
+    street, pipe = simulator.Street.make(21), MapPipeline(spark, Settings())
+    points, poses = simulator.scans(spark, range(2), 21, Sensor(), street)
+    points = cut(points.withColumnRenamed("label", "gt"))
+    for pose in [r.asDict() for r in poses.orderBy("frame_index").collect()]:
+        result = pipe.process(points.where(F.col("frame_index") == pose["frame_index"]), pose)
+        said = result.points
+        n = said.count()
+        assert n > 30_000
+        assert said.where("refined_label <> label and not (label = 0 and refined_label = 1)").isEmpty()
+        before, after = (said.agg(F.avg((F.col(c) == F.col("gt")).cast("double"))).first()[0] for c in ("label", "refined_label"))
+        assert after > 0.6 and after > before - 0.05
+        audit = metrics.audit(to_world(said, pose), result.cells, LOD, pose["ox"], pose["oy"], ["point_id"]).first()
+        assert (audit.cross_level_overlaps, audit.ring_violations) == (0, 0) and audit.points_mapped == 1 and audit.alignment_error < 1e-9
+    memory = pipe.memory(n).first()
+    assert memory.map_bytes == result.cells.count() * CELL_BYTES and memory.reduction > 10
+    assert [h["frame_index"] for h in pipe.history] == [0, 1] and result.cells.agg(F.max("last_seen")).first()[0] == 1 and result.fps > 0
+
+
+def test_components_of_a_square():
+    r = np.random.default_rng(3)
+    for share in (0.0, 0.3, 0.6, 1.0):
+        mask = r.random((17, 23)) < share
+        got = raster.labelled(mask)
+        seen = np.full(mask.shape, -1)
+        for i, j in np.argwhere(mask):
+            if seen[i, j] < 0:
+                stack, seen[i, j] = [(i, j)], i * 23 + j
+                while stack:
+                    a, b = stack.pop()
+                    for c, d in ((a + 1, b), (a - 1, b), (a, b + 1), (a, b - 1)):
+                        if 0 <= c < 17 and 0 <= d < 23 and mask[c, d] and seen[c, d] < 0:
+                            seen[c, d] = i * 23 + j
+                            stack.append((c, d))
+        assert (got == seen).all()
+
+
+def test_nearest_cells_are_those_of_probing(spark):
+    moved = cut(grid.rebalance(grid.first_state(grid.measure(grid.with_cells(scan(spark, 700), LOD), FUSION), 0, FUSION), LOD, FUSION, 6.0, 0.0, cut))
+    held = {(c.level, c.ix, c.iy) for c in moved.collect()}
+
+    def at(x, y):
+        return next(((k, math.floor(x / LOD.size(k)), math.floor(y / LOD.size(k))) for k in range(5) if (k, math.floor(x / LOD.size(k)), math.floor(y / LOD.size(k))) in held), None)
+
+    expected = {}
+    for k, ix, iy in held:
+        s = LOD.base_cell * 2.0**k
+        for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1)):
+            for step in range(1, 7):
+                hit = at((ix + 0.5) * s + dx * step * s, (iy + 0.5) * s + dy * step * s)
+                if hit and hit != (k, ix, iy):
+                    expected[k, ix, iy, dx, dy] = (step, *hit)
+                    break
+    got = {(r.level, r.ix, r.iy, r.dx, r.dy): (r.step, r.n_level, r.n_ix, r.n_iy) for r in navigation.nearest_cells(moved, LOD).collect()}
+    assert got == expected and len(got) > 50
