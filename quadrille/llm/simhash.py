@@ -32,6 +32,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -237,25 +238,105 @@ def popcounts(found: np.ndarray) -> np.ndarray:
     return np.bincount((found >> np.uint64(59)).astype(np.int64), minlength=PARTS).astype(np.int32)
 
 
-def _sets_of(rows: DataFrame, row: str) -> DataFrame:
-    """(row, doc_id, node, size, counts, keys) of rows."""
+#: Keys of a slot, about; bits of a key that a slice keeps besides its slot's; groups of keys that meet in all pairs at once.
+SLOT, KEPT, FEW = 1 << 18, 40, 8
+SIGNED = "batch long, idx int, row struct<file:long,place:long>, doc_id long, node long, size long, counts array<int>, slot int, met boolean, keys binary, owners binary"
+
+
+def _packed(key: np.ndarray) -> bytes:
+    """The low KEPT bits of each key, in a row."""
+    return key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEPT // 8].tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) * 8 // KEPT, 8), np.uint8)
+    out[:, : KEPT // 8] = np.frombuffer(raw, np.uint8).reshape(-1, KEPT // 8)
+    return out.view("<u8").ravel()
+
+
+def _signed(rows: DataFrame, row: str, bits: int) -> DataFrame:
+    """A row for each row (batch, idx, row, doc_id, node, size, counts), and slices of keys with their owners' idx by slot.
+
+    Within a batch only one owner of a key goes on to meet those of other batches; all owners of such a key are in slices
+    that are known to have `met`. So a key that very many texts share reaches its slot once a batch.
+    """
 
     def run(batches):
-        known = _Hashes()
-        for b in batches:
-            node, size, counts, own = [], [], [], []
-            for t in b.column(2).cast(pa.binary()):
+        known, task = _Hashes(), TaskContext.get().partitionId()
+        for number, b in enumerate(batches):
+            batch = (task << 24) + number
+            node, size, counts, all_keys, owners, seen = [], [], [], [], [], set()
+            for i, t in enumerate(b.column(2).cast(pa.binary())):
                 found = shingles(t.as_py(), known)
-                node.append(node_of(found))
+                name = node_of(found)
+                node.append(name)
                 size.append(len(found))
                 counts.append(popcounts(found))
-                own.append(keys(found).view(np.int64))
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, (node, size, counts, own), kinds)], names=["row", "doc_id", "node", "size", "counts", "keys"])
-
-    kind = "struct<file:long,place:long>"
+                if name not in seen:
+                    seen.add(name)
+                    own = keys(found) >> np.uint64(64 - bits - KEPT)
+                    all_keys.append(own)
+                    owners.append(np.full(len(own), i, "<u4"))
+            n = len(node)
+            empty = lambda kind: pa.nulls(n, kind)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([batch] * n, pa.int64()), pa.array(range(n), pa.int32()), b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(counts, pa.list_(pa.int32())), empty(pa.int32()), empty(pa.bool_()), empty(pa.binary()), empty(pa.binary())], names=names
+            )
+            key, owner = np.concatenate([np.zeros(0, np.uint64), *all_keys]), np.concatenate([np.zeros(0, "<u4"), *owners])
+            order = np.lexsort((owner, key))
+            key, owner = key[order], owner[order]
+            new = np.r_[True, key[1:] != key[:-1]][: len(key)]
+            shared = ~new | np.r_[~new[1:], False][: len(key)]
+            out = []
+            for met, chosen in ((False, new), (True, shared)):
+                k, o = key[chosen], owner[chosen]
+                slot = (k >> np.uint64(KEPT)).astype(np.int64)
+                begin = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]][: len(k)]).tolist()
+                out += [(int(slot[x]), met, _packed(k[x:y]), o[x:y].tobytes()) for x, y in zip(begin, [*begin[1:], len(k)])]
+            n = len(out)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([batch] * n, pa.int64()), empty(pa.int32()), empty(b.column(0).type), empty(pa.int64()), empty(pa.int64()), empty(pa.int64()), empty(pa.list_(pa.int32())), *(pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int32(), pa.bool_(), pa.binary(), pa.binary())))], names=names
+            )
+
+    names = [c.split()[0] for c in SIGNED.split(", ")]
     read = rows.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return read.mapInArrow(run, f"row {kind}, doc_id long, node long, size long, counts array<int>, keys array<long>")
+    return read.mapInArrow(run, SIGNED)
+
+
+def _shared(signed: DataFrame) -> DataFrame:
+    """(key, batch, idx) of the owners of keys that more than one batch or owner has; a slot at a time."""
+
+    def owners_of(rows: list) -> pa.RecordBatch:
+        slot = rows[0][0]
+        key, batch, idx, met = [], [], [], []
+        for _, number, known, raw, who in rows:
+            k = _unpacked(raw)
+            key.append(k)
+            batch.append(np.full(len(k), number, np.int64))
+            idx.append(np.frombuffer(who, "<u4"))
+            met.append(np.full(len(k), known))
+        key, batch, idx, met = map(np.concatenate, (key, batch, idx, met))
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        new = np.r_[True, key[1:] != key[:-1]]
+        several = (~new | np.r_[~new[1:], False] | met[order]).nonzero()[0]
+        at = order[several]
+        full = (key[several] | np.uint64(slot << KEPT)).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(full), pa.array(batch[at]), pa.array(idx[at].astype(np.int32))], names=["key", "batch", "idx"])
+
+    def run(batches):
+        held: list = []
+        for b in batches:
+            for r in zip(*(b.column(k).to_pylist() for k in range(5))):
+                if held and held[0][0] != r[0]:
+                    yield owners_of(held)
+                    held = []
+                held.append(r)
+        if held:
+            yield owners_of(held)
+
+    slices = signed.where("slot is not null").select("slot", "batch", "met", "keys", "owners")
+    return slices.repartition("slot").sortWithinPartitions("slot").mapInArrow(run, "key long, batch long, idx int").distinct()
 
 
 def _contents(rows: DataFrame, row: str, wanted: DataFrame) -> DataFrame:
@@ -290,53 +371,61 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _similar(rows: DataFrame, row: str, rounds: int) -> DataFrame:
+    """(row, doc_id, stays, component_id): of each component the row of the least doc_id stays, null ones last."""
     with scratch() as own:
-        signed = cut(_sets_of(rows, row))
-        place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row").alias("place")
-        nodes = signed.groupBy("node").agg(F.min("size").alias("size"), F.min_by("counts", "row").alias("counts"), F.min("row").alias("row"))
-        keyed = signed.select("node", F.explode("keys").alias("key"))
-        met = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
-        shared = cut(keyed.join(cut(met), "key", "left_semi").distinct())
+        bits = min(max(int(rows.count() * 256 // SLOT).bit_length(), 4), 15)
+        signed = cut(_signed(rows, row, bits))
+        listed = signed.where("idx is not null").select("batch", "idx", "row", "doc_id", "node", "size", "counts")
+        nodes = listed.groupBy("node").agg(F.min("size").alias("size"), F.min_by("counts", "row").alias("counts"), F.min("row").alias("row"))
+        shared = cut(_shared(signed).join(listed.select("batch", "idx", "node"), ["batch", "idx"]).select("key", "node").distinct())
         labels = None
         if not shared.isEmpty():
             open_nodes = cut(nodes.join(shared.select("node").distinct(), "node"))
             sets = cut(_contents(rows, row, open_nodes.select("row", "node")))
             labels = _labels(shared, open_nodes, sets, rounds)
-        named = signed.select("row", "doc_id", "node", place)
+        place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row").alias("place")
+        named = listed.select("row", "doc_id", "node", place)
         named = named.withColumn("root", F.col("node")) if labels is None else named.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
         first = named.groupBy("root").agg(F.min("place").alias("first"))
         return own.keep(named.join(first, "root").select("row", "doc_id", (F.col("first.row") == F.col("row")).alias("stays"), F.col("first.doc_id").alias("component_id")))
 
 
 def _labels(shared: DataFrame, nodes: DataFrame, sets: DataFrame, rounds: int) -> DataFrame | None:
-    """(node, root) of the nodes that are linked, from shared(key, node)."""
-    size = nodes.select("node", "size", "counts")
-    one = lambda c: size.select(*(F.col(x).alias(f"{x}_{c}") for x in ("node", "size", "counts")))
+    """(node, root) of the nodes that are linked, from shared(key, node).
+
+    In each round a key's nodes meet one of them, another each time, or all of them if they are few or rounds are over; keys
+    whose nodes are all in one component are done.
+    """
+    one = lambda c: nodes.select(*(F.col(x).alias(f"{x}_{c}") for x in ("node", "size", "counts")))
     apart = F.aggregate(F.zip_with("counts_a", "counts_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
     near = NINTH * apart <= F.col("size_a") + F.col("size_b")  # holds if the bits that differ do
     labels = edges = tried = None
     for k in range(rounds + 1):
         named = shared.withColumn("root", F.col("node")) if labels is None else shared.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        if labels is not None:
-            ends = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-            named = cut(named.join(ends, "key", "left_semi"))
-        right = named.select("key", F.col("node").alias("node_b"), F.col("root").alias("root_b"))
-        if k < rounds:  # one set of each key, another in each round
-            some = F.min_by(F.struct("node_b", "root_b"), F.xxhash64("node_b", F.lit(k)))
-            right = right.groupBy("key").agg(some.alias("s")).select("key", "s.*")
-        pairs = named.select("key", F.col("node").alias("node_a"), "root").join(right, "key").where("root <> root_b")
-        pairs = pairs.select(F.least("node_a", "node_b").alias("node_a"), F.greatest("node_a", "node_b").alias("node_b")).distinct()
+        some = F.min_by(F.struct(F.col("node").alias("node_b"), F.col("root").alias("root_b")), F.xxhash64("node", F.lit(k)))
+        ends = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), some.alias("s")).where("low < high")
+        open_ = cut(named.join(ends.select("key", "n", "s"), "key"))
+        few = F.lit(k == rounds) | (F.col("n") <= FEW)
+        left = open_.select("key", F.col("node").alias("node_a"), "root")
+        right = open_.where(few).select("key", F.col("node").alias("node_b"), F.col("root").alias("root_b"))
+        met = left.join(right, "key").where("node_a < node_b and root <> root_b").select("node_a", "node_b")
+        if k < rounds:
+            met = met.unionByName(open_.where(~few).where("root <> s.root_b").select(F.least("node", "s.node_b").alias("node_a"), F.greatest("node", "s.node_b").alias("node_b")))
+        met = met.distinct()
         if tried is not None:
-            pairs = pairs.join(tried.select(F.col("a").alias("node_a"), F.col("b").alias("node_b")), ["node_a", "node_b"], "left_anti")
-        pairs = cut(pairs.join(one("a"), "node_a").join(one("b"), "node_b").where(near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+            met = met.join(tried.select(F.col("a").alias("node_a"), F.col("b").alias("node_b")), ["node_a", "node_b"], "left_anti")
+        pairs = cut(met.join(one("a"), "node_a").join(one("b"), "node_b").where(near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
         if pairs.isEmpty():
+            if open_.where(~few).isEmpty():
+                break
             continue
         found = cut(_verified(pairs, sets))
         tried = pairs if tried is None else tried.unionByName(pairs)
-        if found.isEmpty():
-            continue
-        edges = found if edges is None else edges.unionByName(found)
-        labels = connected(edges)
+        if not found.isEmpty():
+            edges = found if edges is None else edges.unionByName(found)
+            labels = connected(edges)
+        if open_.where(~few).isEmpty():
+            break
     return labels
 
 
