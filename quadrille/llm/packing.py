@@ -48,7 +48,7 @@ class WordIds:
     token, and all texts if the vocabulary is another, go to the tokenizer whole. At most about `most` words are held.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 250_000):
         import json
         import os
 
@@ -118,7 +118,7 @@ class WordIds:
         ids = self.ids[np.repeat(self.first[at] - after + count, count) + np.arange(after[-1] if len(after) else 0)]
         return ids, np.diff(np.r_[0, after][split.offsets.to_numpy() - split.offsets[0].as_py()])
 
-    def batch(self, texts: pa.Array, group: int = 1 << 23) -> Iterator[np.ndarray]:
+    def batch(self, texts: pa.Array, group: int = 1 << 22) -> Iterator[np.ndarray]:
         """ids of each text; some `group` bytes of texts at a time, a text at least."""
         texts = texts.cast(pa.large_string())
         odd = np.ones(len(texts), bool)

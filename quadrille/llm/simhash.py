@@ -26,11 +26,13 @@ like; equal rows share a node; rows of null doc_id are linked too, and never nam
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -159,13 +161,13 @@ def fingerprint_hex(fp: str = "fp"):
 WORDS, ROUNDS = 5, 3
 #: Similarity of at least 4/5: of n + m set bits at most one in NINTH may differ.
 NINTH = 9
-PARTS = 32
+PARTS = 64
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -234,13 +236,13 @@ def keys(found: np.ndarray) -> np.ndarray:
 
 
 def popcounts(found: np.ndarray) -> np.ndarray:
-    """The embedding: set bits in each of PARTS segments of the bitmap."""
-    return np.bincount((found >> np.uint64(59)).astype(np.int64), minlength=PARTS).astype(np.int32)
+    """The embedding: set bits in each of PARTS segments of the bitmap, at most 255, which keeps distances a lower bound."""
+    return np.minimum(np.bincount((found >> np.uint64(58)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8)
 
 
 #: Keys of a slot, about; bits of a key that a slice keeps besides its slot's; groups of keys that meet in all pairs at once.
 SLOT, KEPT, FEW = 1 << 18, 40, 8
-SIGNED = "batch long, idx int, row struct<file:long,place:long>, doc_id long, node long, size long, counts array<int>, slot int, met boolean, keys binary, owners binary"
+SIGNED = "batch long, idx int, row struct<file:long,place:long>, doc_id long, node long, size long, counts binary, slot int, met boolean, keys binary, owners binary"
 
 
 def _packed(key: np.ndarray) -> bytes:
@@ -254,6 +256,17 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _parts(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of some `most` bytes of text, a row at least, so that what a part's keys take is bounded."""
+    for b in batches:
+        upto = np.cumsum(pc.binary_length(b.column(2)).to_numpy(False).astype(np.int64))
+        at = 0
+        while at < len(b):
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
 def _signed(rows: DataFrame, row: str, bits: int) -> DataFrame:
     """A row for each row (batch, idx, row, doc_id, node, size, counts), and slices of keys with their owners' idx by slot.
 
@@ -263,7 +276,7 @@ def _signed(rows: DataFrame, row: str, bits: int) -> DataFrame:
 
     def run(batches):
         known, task = _Hashes(), TaskContext.get().partitionId()
-        for number, b in enumerate(batches):
+        for number, b in enumerate(_parts(batches)):
             batch = (task << 24) + number
             node, size, counts, all_keys, owners, seen = [], [], [], [], [], set()
             for i, t in enumerate(b.column(2).cast(pa.binary())):
@@ -271,7 +284,7 @@ def _signed(rows: DataFrame, row: str, bits: int) -> DataFrame:
                 name = node_of(found)
                 node.append(name)
                 size.append(len(found))
-                counts.append(popcounts(found))
+                counts.append(popcounts(found).tobytes())
                 if name not in seen:
                     seen.add(name)
                     own = keys(found) >> np.uint64(64 - bits - KEPT)
@@ -280,7 +293,7 @@ def _signed(rows: DataFrame, row: str, bits: int) -> DataFrame:
             n = len(node)
             empty = lambda kind: pa.nulls(n, kind)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([batch] * n, pa.int64()), pa.array(range(n), pa.int32()), b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(counts, pa.list_(pa.int32())), empty(pa.int32()), empty(pa.bool_()), empty(pa.binary()), empty(pa.binary())], names=names
+                [pa.array([batch] * n, pa.int64()), pa.array(range(n), pa.int32()), b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(counts, pa.binary()), empty(pa.int32()), empty(pa.bool_()), empty(pa.binary()), empty(pa.binary())], names=names
             )
             key, owner = np.concatenate([np.zeros(0, np.uint64), *all_keys]), np.concatenate([np.zeros(0, "<u4"), *owners])
             order = np.lexsort((owner, key))
@@ -295,7 +308,7 @@ def _signed(rows: DataFrame, row: str, bits: int) -> DataFrame:
                 out += [(int(slot[x]), met, _packed(k[x:y]), o[x:y].tobytes()) for x, y in zip(begin, [*begin[1:], len(k)])]
             n = len(out)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([batch] * n, pa.int64()), empty(pa.int32()), empty(b.column(0).type), empty(pa.int64()), empty(pa.int64()), empty(pa.int64()), empty(pa.list_(pa.int32())), *(pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int32(), pa.bool_(), pa.binary(), pa.binary())))], names=names
+                [pa.array([batch] * n, pa.int64()), empty(pa.int32()), empty(b.column(0).type), empty(pa.int64()), empty(pa.int64()), empty(pa.int64()), empty(pa.binary()), *(pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int32(), pa.bool_(), pa.binary(), pa.binary())))], names=names
             )
 
     names = [c.split()[0] for c in SIGNED.split(", ")]
@@ -352,6 +365,18 @@ def _contents(rows: DataFrame, row: str, wanted: DataFrame) -> DataFrame:
     return read.join(wanted, "row").select("node", "text").mapInArrow(run, "node long, found binary")
 
 
+def _near(pairs: DataFrame) -> DataFrame:
+    """pairs(a, b, size_a, size_b, counts_a, counts_b) whose embeddings are no farther apart than their bits may be."""
+
+    def run(batches):
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(len(b), PARTS).astype(np.int16) for c in (4, 5))
+            size = b.column(2).to_numpy() + b.column(3).to_numpy()
+            yield b.select(["a", "b"]).filter(pa.array(NINTH * np.abs(x - y).sum(1, dtype=np.int64) <= size))
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs(a, b) of similarity 4/5 or more."""
 
@@ -368,8 +393,6 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-
-
 def _similar(rows: DataFrame, row: str, rounds: int) -> DataFrame:
     """(row, doc_id, stays, component_id): of each component the row of the least doc_id stays, null ones last."""
     with scratch() as own:
@@ -380,9 +403,7 @@ def _similar(rows: DataFrame, row: str, rounds: int) -> DataFrame:
         shared = cut(_shared(signed).join(listed.select("batch", "idx", "node"), ["batch", "idx"]).select("key", "node").distinct())
         labels = None
         if not shared.isEmpty():
-            open_nodes = cut(nodes.join(shared.select("node").distinct(), "node"))
-            sets = cut(_contents(rows, row, open_nodes.select("row", "node")))
-            labels = _labels(shared, open_nodes, sets, rounds)
+            labels = _labels(shared, cut(nodes.join(shared.select("node").distinct(), "node")), lambda wanted: _contents(rows, row, wanted), rounds)
         place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row").alias("place")
         named = listed.select("row", "doc_id", "node", place)
         named = named.withColumn("root", F.col("node")) if labels is None else named.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -390,16 +411,14 @@ def _similar(rows: DataFrame, row: str, rounds: int) -> DataFrame:
         return own.keep(named.join(first, "root").select("row", "doc_id", (F.col("first.row") == F.col("row")).alias("stays"), F.col("first.doc_id").alias("component_id")))
 
 
-def _labels(shared: DataFrame, nodes: DataFrame, sets: DataFrame, rounds: int) -> DataFrame | None:
-    """(node, root) of the nodes that are linked, from shared(key, node).
+def _labels(shared: DataFrame, nodes: DataFrame, contents: Callable[[DataFrame], DataFrame], rounds: int) -> DataFrame | None:
+    """(node, root) of the nodes that are linked, from shared(key, node); contents gives the sets of (row, node).
 
     In each round a key's nodes meet one of them, another each time, or all of them if they are few or rounds are over; keys
     whose nodes are all in one component are done.
     """
     one = lambda c: nodes.select(*(F.col(x).alias(f"{x}_{c}") for x in ("node", "size", "counts")))
-    apart = F.aggregate(F.zip_with("counts_a", "counts_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    near = NINTH * apart <= F.col("size_a") + F.col("size_b")  # holds if the bits that differ do
-    labels = edges = tried = None
+    labels = edges = tried = sets = None
     for k in range(rounds + 1):
         named = shared.withColumn("root", F.col("node")) if labels is None else shared.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
         some = F.min_by(F.struct(F.col("node").alias("node_b"), F.col("root").alias("root_b")), F.xxhash64("node", F.lit(k)))
@@ -414,11 +433,17 @@ def _labels(shared: DataFrame, nodes: DataFrame, sets: DataFrame, rounds: int) -
         met = met.distinct()
         if tried is not None:
             met = met.join(tried.select(F.col("a").alias("node_a"), F.col("b").alias("node_b")), ["node_a", "node_b"], "left_anti")
-        pairs = cut(met.join(one("a"), "node_a").join(one("b"), "node_b").where(near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+        placed = met.join(one("a"), "node_a").join(one("b"), "node_b")
+        pairs = cut(_near(placed.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "size_a", "size_b", "counts_a", "counts_b")))
         if pairs.isEmpty():
             if open_.where(~few).isEmpty():
                 break
             continue
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        if sets is not None:
+            wanted = wanted.join(sets.select("node"), "node", "left_anti")
+        more = cut(contents(nodes.join(wanted, "node").select("row", "node")))
+        sets = more if sets is None else sets.unionByName(more)
         found = cut(_verified(pairs, sets))
         tried = pairs if tried is None else tried.unionByName(pairs)
         if not found.isEmpty():

@@ -248,7 +248,7 @@ class _Quick(dict):
 class Model:
     """Weights by feature, a bias, and the language model."""
 
-    def __init__(self, lm: list[float], weights: dict[str, float], bias: float, most: int = 400_000):
+    def __init__(self, lm: list[float], weights: dict[str, float], bias: float, most: int = 200_000):
         self.lm, self.weights, self.bias, self.most = lm, weights, bias, most
         self.starts, self.spelt = {f[1:4] for f in weights}, {f[1:] for f in weights}
         self.parts = {f[:k] for f in self.spelt for k in range(len(f))}
@@ -366,7 +366,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, width: int =
     def run(batches):
         known: dict[str, list] = {}
         for b in batches:
-            if len(known) > 400_000:
+            if len(known) > 50_000:
                 known.clear()
             ids, said = [], []
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):

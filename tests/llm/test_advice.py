@@ -72,7 +72,7 @@ def test_segments_lose_no_pair():
         met = bool(len(np.intersect1d(simhash.keys(a), simhash.keys(b))))
         if 9 * shared >= 4 * (len(a) + len(b)) and (len(a) != shared or len(b) != shared):
             assert met, (n, drop, add)
-        apart = np.abs(simhash.popcounts(a) - simhash.popcounts(b)).sum()
+        apart = np.abs(simhash.popcounts(a).astype(int) - simhash.popcounts(b)).sum()
         assert apart <= len(a) + len(b) - 2 * shared
         c = np.unique(np.r_[a[: len(a) // 3], rng.randint(0, 2**62, len(a) - len(a) // 3).astype(np.uint64)])
         unlike += bool(len(np.intersect1d(simhash.keys(a), simhash.keys(c)))) and n > 30
