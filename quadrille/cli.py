@@ -9,15 +9,17 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .config import Lod, Model, Settings
+from . import telemetry
+from .config import Lod, Model, Sensor, Settings
 from .operators import metrics, navigation
 from .plans.pipeline import MapPipeline
 from .sources import scans, simulator
+from .storage import cut
 
 
 def settings(args: argparse.Namespace) -> Settings:
     rings = tuple(float(r) for r in args.rings.split(",")) if args.rings else Lod().ring_radii
-    return Settings(lod=Lod(base_cell=args.base_cell, n_levels=len(rings), ring_radii=rings), model=Model(backend=args.backend), seed=args.seed)
+    return Settings(lod=Lod(base_cell=args.base_cell, n_levels=len(rings), ring_radii=rings), model=Model(backend=args.backend), sensor=Sensor(azimuth_steps=args.azimuth_steps), seed=args.seed)
 
 
 def session() -> SparkSession:
@@ -68,12 +70,21 @@ def bench(args: argparse.Namespace) -> int:
 
 
 def plan(args: argparse.Namespace) -> int:
+    """A route over the last frame's map: its summary and some dozen of its tiles."""
     s, spark = settings(args), session()
     *_, (pose, result, _, _) = drive(spark, s, args.frames)
-    goal = spark.createDataFrame([(0, pose["ox"], pose["oy"], pose["ox"] + args.ahead, pose["oy"] + args.lateral)], "request long, sx double, sy double, gx double, gy double")
-    rows = navigation.route_summary(navigation.routes(result.tiles, goal, s.vehicle)).collect()
-    print(rows[0].asDict() if rows else "no route")
-    return 0 if rows else 1
+    gx, gy = pose["ox"] + args.ahead, pose["oy"] + args.lateral
+    goal = spark.createDataFrame([(0, pose["ox"], pose["oy"], gx, gy)], "request long, sx double, sy double, gx double, gy double")
+    found = cut(navigation.routes(result.tiles, goal, s.vehicle))
+    rows = navigation.route_summary(found).collect()
+    if not rows:
+        print(f"no route to ({gx:.1f}, {gy:.1f}): no passable terrain connects it with the vehicle")
+        return 1
+    r = rows[0]
+    print(f"route: {r['tiles']} tiles, {r['length']:.1f} m long, {r['climb']:.2f} m climbed, {found.first()['expanded']} tiles looked at")
+    for t in navigation.every_nth(found).orderBy("seq").collect():
+        print(f"  {t['x'] - pose['ox']:8.1f} {t['y'] - pose['oy']:8.1f}  z={t['z']:.2f}")
+    return 0
 
 
 def export(args: argparse.Namespace) -> int:
@@ -84,23 +95,49 @@ def export(args: argparse.Namespace) -> int:
     return 0
 
 
-def serve(args: argparse.Namespace) -> int:
-    """An exported payload and the settings over HTTP."""
-    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+PAGE = "<!doctype html><title>quadrille</title><h1>quadrille</h1><pre id=d></pre><script>const data=/*DATA*/;document.getElementById('d').textContent=Object.keys(data)+' '+(data.frames||[]).length</script>"
 
-    with open(args.data, "rb") as f:
-        data = f.read()
-    pages = {"/healthz": b'{"ok": true}', "/api/data": data, "/api/config": settings(args).to_json().encode()}
+
+def pages(data: str, benchmark: str | None, config: str) -> dict:
+    """Path -> (kind, function that makes the body)."""
+    plain = lambda text: lambda: text.encode()
+    return {
+        "/": ("text/html", plain(scans.artifact(PAGE, json.loads(data)))),
+        "/healthz": ("application/json", plain('{"ok": true}')),
+        "/api/data": ("application/json", plain(data)),
+        "/api/benchmark": ("application/json", plain(benchmark or "{}")),
+        "/api/config": ("application/json", plain(config)),
+        "/api/telemetry": ("application/json", lambda: json.dumps(telemetry.system()).encode()),
+    }
+
+
+def server(found: dict, port: int):
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
     class Handler(BaseHTTPRequestHandler):
         def do_GET(self):  # noqa: N802
-            body = pages.get(self.path)
+            kind, body = found.get(self.path.split("?")[0], ("application/json", None))
             self.send_response(200 if body else 404)
-            self.send_header("Content-Type", "application/json")
+            self.send_header("Content-Type", kind)
             self.end_headers()
-            self.wfile.write(body or b"{}")
+            self.wfile.write(body() if body else b"{}")
+
+        def log_message(self, *_):
+            pass
+
+    return ThreadingHTTPServer(("127.0.0.1", port), Handler)
 
-    ThreadingHTTPServer(("127.0.0.1", args.port), Handler).serve_forever()
+
+def serve(args: argparse.Namespace) -> int:
+    """An exported payload, a bench report, the settings and the host's figures over HTTP."""
+    texts = []
+    for name in (args.data, args.report):
+        if name:
+            with open(name, encoding="utf-8") as f:
+                texts.append(f.read())
+        else:
+            texts.append(None)
+    server(pages(*texts, settings(args).to_json()), args.port).serve_forever()
     return 0
 
 
@@ -115,6 +152,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--base-cell", type=float, default=0.05)
         c.add_argument("--rings", default="")
         c.add_argument("--frames", type=int, default=frames)
+        c.add_argument("--azimuth-steps", type=int, default=Sensor().azimuth_steps)
         if name == "bench":
             c.add_argument("--warmup", type=int, default=2)
             c.add_argument("--json")
@@ -125,6 +163,7 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--out", default="payload.json")
         if name == "serve":
             c.add_argument("--data", required=True)
+            c.add_argument("--report")
             c.add_argument("--port", type=int, default=8000)
     return top
 

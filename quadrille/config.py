@@ -75,7 +75,7 @@ class Vehicle:
 
 @dataclass(frozen=True)
 class Model:
-    """Which segmenter runs; sampling zones of the foveated selection."""
+    """Which segmenter runs; sampling zones of the foveated selection. Fixed values."""
 
     backend: str = "auto"
     architecture: str = "geometric"

@@ -126,11 +126,11 @@ def best_class(*evidence) -> tuple[Column, Column]:
 def rotation(w, x, y, z) -> list[list[Column]]:
     """Rotation matrix of a unit quaternion."""
     w, x, y, z = map(col, (w, x, y, z))
-    twice = lambda a, b: 2 * (a * b)
-    diagonal = [1 - (twice(y, y) + twice(z, z)), 1 - (twice(x, x) + twice(z, z)), 1 - (twice(x, x) + twice(y, y))]
-    skew = {(0, 1): twice(x, y) - twice(z, w), (0, 2): twice(x, z) + twice(y, w), (1, 2): twice(y, z) - twice(x, w)}
-    turned = {(1, 0): twice(x, y) + twice(z, w), (2, 0): twice(x, z) - twice(y, w), (2, 1): twice(y, z) + twice(x, w)}
-    return [[diagonal[i] if i == j else (skew | turned)[i, j] for j in range(3)] for i in range(3)]
+    return [
+        [1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)],
+        [2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)],
+        [2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)],
+    ]
 
 
 def starts_with_any(c, prefixes) -> Column:

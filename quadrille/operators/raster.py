@@ -145,11 +145,16 @@ def components(cells: DataFrame, max_step: float | None = None, width: int = 1 <
     return rooted.join(rooted.groupBy("root").agg(F.min("node").alias("component")), "root").select(*KEY, "component")
 
 
-def labelled(mask: np.ndarray) -> np.ndarray:
-    """Number of each cell's 4-connected component, which is its least place, by hooking and pointer jumping; -1 outside."""
+def labelled(mask: np.ndarray, v: np.ndarray | None = None, max_step: float | None = None) -> np.ndarray:
+    """Number of each cell's 4-connected component, which is its least place, by hooking and pointer jumping; -1 outside.
+
+    Neighbours whose v differs by more than max_step, if given, are not connected.
+    """
     h, w = mask.shape
     place = np.arange(h * w).reshape(h, w)
     right, down = mask[:, :-1] & mask[:, 1:], mask[:-1] & mask[1:]
+    if max_step is not None:
+        right, down = right & (np.abs(np.diff(v, axis=1)) <= max_step), down & (np.abs(np.diff(v, axis=0)) <= max_step)
     a = np.concatenate([place[:, :-1][right], place[:-1][down]])
     b = np.concatenate([place[:, 1:][right], place[1:][down]])
     up = np.arange(h * w)
@@ -179,11 +184,22 @@ def grown_parts(cells: DataFrame, extent: float = EXTENT, cell: float = CELL) ->
 
 
 def drivable_region(full: DataFrame, max_slope: float, max_step: float, x: float = 0.0, y: float = 0.0, extent: float = EXTENT, cell: float = CELL) -> DataFrame:
-    """(KEY) of the passable component that holds (x, y), else of the largest; full is ground()."""
+    """(KEY) of the passable component that holds (x, y), else of the largest, the first on ties; full is ground().
+
+    Components are found within a frame's square, in one Python call each.
+    """
     held = support(full.where("observed"), extent=extent, cell=cell)
-    passable = full.where((F.col("slope_deg") <= max_slope) & (F.col("relief") <= max_step)).join(held, KEY, "left_semi")
-    parts = components(passable.select(*KEY, "v"), max_step)
-    i, j = indices(F.lit(float(x)), F.lit(float(y)), extent, cell)
-    sized = parts.groupBy("frame_index", "component").agg(F.count("*").alias("n"), F.max(((F.col("i") == i) & (F.col("j") == j)).cast("int")).alias("seed"))
-    best = sized.groupBy("frame_index").agg(F.max_by("component", F.struct("seed", "n", -F.col("component"))).alias("component"))
-    return parts.join(best, ["frame_index", "component"], "left_semi").select(*KEY)
+    passable = full.where((F.col("slope_deg") <= max_slope) & (F.col("relief") <= max_step)).join(held, KEY, "left_semi").select(*KEY, "v")
+    n = side(extent, cell)
+    at = tuple(min(max(int((c + extent) / cell), 0), n - 1) for c in (y, x))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        mask, v = np.zeros((n, n), bool), np.zeros((n, n))
+        i, j = frame.i.to_numpy(), frame.j.to_numpy()
+        mask[i, j], v[i, j] = True, frame.v
+        part = labelled(mask, v, max_step)
+        ids, sizes = np.unique(part[mask], return_counts=True)
+        best = part[at] if mask[at] else ids[sizes.argmax()]
+        return frame.loc[part[i, j] == best, KEY]
+
+    return passable.groupBy("frame_index").applyInPandas(run, "frame_index long, i int, j int")

@@ -64,3 +64,18 @@ def label_points(points: DataFrame, boxes: DataFrame, by: list[str], on: str = "
     box = boxes.withColumnRenamed(on, "_on")
     hits = points.join(box, (F.col(on) == F.col("_on")) & inside, "left")
     return hits.groupBy(*by).agg(F.coalesce(F.max_by("cls", "ord"), F.lit(UNKNOWN)).alias("label"))
+
+
+def inspection(tables: dict[str, DataFrame], sizes: DataFrame, channel: str = "LIDAR_TOP") -> DataFrame:
+    """One row on a collection: keyframes, annotations, scans checked and their points, annotated samples, scenes.
+
+    sizes(scan, n) has the number of points of each scan that was read.
+    """
+    found = placed_scans(tables, channel, key_frames=False)
+    said = tables["sample_annotation"].groupBy("sample_token").agg(F.count("*").alias("boxes"))
+    scene = tables["sample"].select(F.col("token").alias("sample_token"), "scene_token")
+    joined = found.join(said, "sample_token", "left").join(scene, "sample_token", "left")
+    one = joined.agg(F.count("*").alias("lidar_keyframes"), F.countDistinct(F.when(F.col("boxes") > 0, F.col("sample_token"))).alias("annotated_samples"), F.countDistinct("scene_token").alias("sample_scenes"))
+    two = tables["sample_annotation"].agg(F.count("*").alias("sample_annotations"))
+    three = sizes.agg(F.count("*").alias("scans_checked"), F.coalesce(F.min("n"), F.lit(0)).alias("points_min"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("points_mean"), F.coalesce(F.max("n"), F.lit(0)).alias("points_max"))
+    return one.crossJoin(two).crossJoin(three).withColumn("point_level_labels", F.lit(False))  # one row each

@@ -206,7 +206,7 @@ def payload(points: DataFrame, columns: tuple[str, ...] = ("x", "y", "z"), by: s
     low = lambda v: F.lpad(F.hex(F.pmod(v.cast("int"), F.lit(65536))), 4, "0")
     little = lambda v: F.concat(F.substring(low(v), 3, 2), F.substring(low(v), 1, 2))
     ordered = points.select(by, F.struct("point_id", *(centimetres(c).alias(c) for c in columns)).alias("p")).groupBy(by).agg(F.array_sort(F.collect_list("p")).alias("p"))
-    text = lambda c: F.base64(F.unhex(F.array_join(F.transform("p", lambda p: little(p[c])), ""))).alias(c)
+    text = lambda c: F.translate(F.base64(F.unhex(F.array_join(F.transform("p", lambda p: little(p[c])), ""))), "\r\n", "").alias(c)
     return ordered.select(by, F.size("p").alias("n"), *map(text, columns))
 
 
