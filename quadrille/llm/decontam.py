@@ -9,7 +9,7 @@ rest are aligned by Smith-Waterman, and the score as a share of the item's best
 three words, or a threshold under a half, to which the bound says nothing, are aligned wherever a word is shared.
 
 The benchmark, a stated query set against all rows, is broadcast in blocks of at most `block` items, each with its own
-index; the texts are read in one pass over all blocks and never shuffled. Defined cases: null text counts as empty; items
+index; the texts are read once for every `most` blocks (100,000 items) and never shuffled. Defined cases: null text counts as empty; items
 without words match nothing, and rows of null item_id or null text are no items; equal items of different ids each get
 their row, several texts of one id a row for the best; a document with several copies of an item gets a row for the best,
 the first on ties; rows of null doc_id give rows of null doc_id.
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from .common import text_or_empty
 
 WORD = re.compile(r"[^\W_]+")
-BLOCK = 5_000
+#: Items of a block, and blocks of one pass over the texts.
+BLOCK, TOGETHER = 5_000, 20
 #: Alignment by words: equal, different, gap.
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
@@ -171,18 +173,31 @@ def _blocks(benchmark: DataFrame, block: int) -> Iterator[list[tuple[int, list[s
         yield [(r["item_id"], words(r["text"])) for r in rows]
 
 
+def _passes(benchmark: DataFrame, block: int, most: int) -> list[list[list[tuple[int, list[str]]]]]:
+    """Blocks for each pass over the texts, some `most` of them; an item_id's texts stay in one pass."""
+    out: list[list] = []
+    for x in _blocks(benchmark, block):
+        if out and (len(out[-1]) < most or out[-1][-1][-1][0] == x[0][0]):
+            out[-1].append(x)
+        else:
+            out.append([x])
+    return out
+
+
 def _named(texts: list[tuple[int, list[str]]], threshold: float) -> tuple[Block, dict[int, int]]:
     return Block({k: w for k, (_, w) in enumerate(texts) if w}, threshold), {k: i for k, (i, _) in enumerate(texts)}
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, most: int = TOGETHER) -> DataFrame:
     """(doc_id, item_id, score, start_word, end_word): the best alignment of each row of docs with each item that aligns."""
     schema = "doc_id long, item_id long, score double, start_word long, end_word long"
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    blocks = list(_blocks(benchmark, block))  # the benchmark, a stated set that does not grow with the corpus
-    if not blocks:
-        return docs.sparkSession.createDataFrame([], schema)
-    shipped = docs.sparkSession.sparkContext.broadcast(blocks)
+    parts = [_found(source, blocks, threshold, schema) for blocks in _passes(benchmark, block, most)]
+    return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)
+
+
+def _found(source: DataFrame, blocks: list, threshold: float, schema: str) -> DataFrame:
+    shipped = source.sparkSession.sparkContext.broadcast(blocks)  # at most block * most items
 
     def run(batches):
         made = [_named(x, threshold) for x in shipped.value]
@@ -202,10 +217,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     return source.mapInArrow(run, schema)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """The rows of docs that align with no item, decided row by row in one pass."""
-    blocks = list(_blocks(benchmark, block))
-    shipped = docs.sparkSession.sparkContext.broadcast(blocks)
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, most: int = TOGETHER) -> DataFrame:
+    """The rows of docs that align with no item, decided row by row, without a shuffle."""
+    for blocks in _passes(benchmark, block, most):
+        docs = docs.where(~_aligns(docs.sparkSession.sparkContext.broadcast(blocks), threshold)(text_or_empty()))
+    return docs
+
+
+def _aligns(shipped, threshold: float):
     made: list[tuple[Block, dict[int, int]]] = []
 
     @F.arrow_udf("boolean")
@@ -214,4 +233,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, b
             made.extend(_named(x, threshold) for x in shipped.value)
         return pa.array([any(own.matches(t) for own, _ in made) for t in texts.to_pylist()], pa.bool_())
 
-    return docs.where(~aligns(text_or_empty())) if blocks else docs
+    return aligns

@@ -454,8 +454,9 @@ def test_edited_copies_are_found_and_others_left(spark):
     del edited[10]
     texts = EDGE + [(100, " ".join(say(80) + items[0] + say(80))), (101, " ".join(say(9) + edited + say(40))), (102, " ".join(say(300))), (103, " ".join(items[2] + ["and"] + items[2] + items[3]))]
     bench = spark.createDataFrame([(i, " ".join(x).upper()) for i, x in items.items()] + [(9, None), (10, ""), (11, "solo")], "item_id long, text string")
-    for block in (2, 100):
-        got = {(r["doc_id"], r["item_id"]): r for r in decontam.contaminated(frame(spark, texts), bench, block=block).collect()}
+    for block, most in ((2, 20), (1, 2), (100, 1)):
+        got = {(r["doc_id"], r["item_id"]): r for r in decontam.contaminated(frame(spark, texts), bench, block=block, most=most).collect()}
+        assert {r["doc_id"] for r in decontam.clean(frame(spark, texts), bench, block=block, most=most).collect()} == {i for i, _ in texts} - {100, 101, 103}
         assert set(got) == {(100, 0), (101, 1), (103, 2), (103, 3)}
         assert got[100, 0]["score"] == 1 and (got[100, 0]["start_word"], got[100, 0]["end_word"]) == (80, 110) and got[101, 1]["score"] > 0.7
     assert decontam.contaminated(frame(spark, []), bench).collect() == []
