@@ -26,16 +26,26 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def _scan(df: DataFrame) -> bool:
+    """Whether df is one relation, at most filtered and projected, so that each row is one row of it."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.getClass().getSimpleName() in ("Filter", "Project", "SubqueryAlias"):
+        node = node.children().head()
+    return node.getClass().getSimpleName() == "LogicalRelation"
+
+
 def with_row(df: DataFrame) -> tuple[DataFrame, str]:
     """(df with a column that names each row, that column): doc_ids may be null or repeat, rows do not.
 
     Rows read from files are named by file and place, which need no other pass; other rows are written once with a number.
     """
     name = fresh(df, "_row")
-    try:
-        return df.withColumn(name, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))), name
-    except AnalysisException:
-        return cut(df.withColumn(name, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("place")))), name
+    if _scan(df):
+        try:
+            return df.withColumn(name, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))), name
+        except AnalysisException:  # a source without these
+            pass
+    return cut(df.withColumn(name, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("place")))), name
 
 
 def without(df: DataFrame, row: str, dropped: DataFrame) -> DataFrame:

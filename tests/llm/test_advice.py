@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quadrille.llm import decontam, exact_dedup, secrets, simhash
-from quadrille.llm.common import table
+from quadrille.llm.common import table, with_row
 
 SF = "/root/testdata/sf0.001"
 
@@ -120,6 +120,16 @@ def test_stages_drop_rows_not_ids(spark, tmp_path):
         assert stage(made.limit(0)).collect() == []
 
 
+def test_rows_are_told_apart_after_joins_and_explosions(spark, tmp_path):
+    frame(spark, [(1, "a b"), (2, "c d")]).write.parquet(f"{tmp_path}/d")
+    read = spark.read.parquet(f"{tmp_path}/d")
+    twice = read.crossJoin(spark.range(2).withColumnRenamed("id", "k"))
+    for docs, n in ((read, 2), (read.where("doc_id > 1"), 1), (twice, 4), (read.select("doc_id", F.explode(F.split("text", " ")).alias("text")), 4), (read.unionByName(read), 4)):
+        rows, row = with_row(docs)
+        assert rows.select(row).distinct().count() == rows.count() == n
+    assert sorted(r["text"] for r in exact_dedup.distinct(twice).collect()) == ["a b", "c d"]
+
+
 def test_every_stage_on_rows_with_trouble(spark, tmp_path):
     texts, made = rows_with_trouble(spark)
     for name in ("labels", "benchmark"):
