@@ -16,7 +16,8 @@ hashes: two sets of n and m shingles are that similar exactly if at most (n + m)
 size (the whole popcount, a probe visits the next class), and the content of segments, whose number in a class exceeds
 the bits that may differ, so that some segment with a shingle is the same in both; where chance leaves too few segments
 filled for that, a text is dealt into segments anew until it has enough, and any partner with the same lack is met there.
-Texts of a segment meet one of them, in a few rounds with another each, then those that still are in different
+How many segments a partner must share is known, so texts that
+share fewer with all others are left out. Texts of a segment meet one of them, in a few rounds with another each, then those that still are in different
 components meet. No link is lost, and only connected components are asked for, so copies do not meet in all pairs.
 
 Defined cases: null text counts as empty; A-Z are lower-cased, words are what white space parts, and texts of fewer words
@@ -208,12 +209,16 @@ def _bounds() -> np.ndarray:
     return np.array(out)
 
 
-def keys(found: np.ndarray) -> np.ndarray:
-    """Keys of the segments of a set, in every size class where a partner of similarity 4/5 may be the larger."""
+def keys(found: np.ndarray) -> tuple[np.ndarray, int]:
+    """(keys, need): keys of the segments of a set, in every size class where a partner of similarity 4/5 may be the larger.
+
+    Any partner shares at least `need` of them: of the filled segments of the class where they meet, at most as many differ
+    as bits do.
+    """
     n, bounds = len(found), _bounds()
     if n < bounds[0]:
-        return np.zeros(0, np.uint64)  # a set of less than four shingles is similar to itself alone
-    out = []
+        return np.zeros(0, np.uint64), 1  # a set of less than four shingles is similar to itself alone
+    out, need = [], n
     first, last = (int(np.searchsorted(bounds, x, "right")) - 1 for x in (n, n * 5 // 4))
     for c in range(first, last + 1):
         top = int(bounds[c + 1]) - 1
@@ -229,10 +234,12 @@ def keys(found: np.ndarray) -> np.ndarray:
             total = np.add.reduceat(_mixed(h[order]), begin)
             place = own[begin] + np.uint64((c << 48) + (turn << 40))
             out.append(_mixed(total + _mixed(place ^ _FACTORS[3])))
+            if not turn:
+                need = min(need, max(1, len(begin) - differ))
             if len(begin) > differ:  # more filled segments than bits that may differ: one is the same in any partner
                 break
             turn += 1
-    return np.concatenate(out)
+    return np.concatenate(out), need
 
 
 def popcounts(found: np.ndarray) -> np.ndarray:
@@ -242,7 +249,7 @@ def popcounts(found: np.ndarray) -> np.ndarray:
 
 #: Keys of a slot, about; bits of a key that a slice keeps besides its slot's; groups of keys that meet in all pairs at once.
 SLOT, KEPT, FEW = 1 << 18, 40, 8
-SIGNED = "batch long, idx int, row struct<file:long,place:long>, doc_id long, node long, size long, counts binary, slot int, met boolean, keys binary, owners binary"
+SIGNED = "batch long, idx int, row struct<file:long,place:long>, doc_id long, node long, size long, need int, counts binary, slot int, met boolean, keys binary, owners binary"
 
 
 def _packed(key: np.ndarray) -> bytes:
@@ -278,22 +285,24 @@ def _signed(rows: DataFrame, row: str, bits: int) -> DataFrame:
         known, task = _Hashes(), TaskContext.get().partitionId()
         for number, b in enumerate(_parts(batches)):
             batch = (task << 24) + number
-            node, size, counts, all_keys, owners, seen = [], [], [], [], [], set()
+            node, size, needs, counts, all_keys, owners, seen = [], [], [], [], [], [], set()
             for i, t in enumerate(b.column(2).cast(pa.binary())):
                 found = shingles(t.as_py(), known)
                 name = node_of(found)
                 node.append(name)
                 size.append(len(found))
                 counts.append(popcounts(found).tobytes())
+                own, need = keys(found)
+                needs.append(need)
                 if name not in seen:
                     seen.add(name)
-                    own = keys(found) >> np.uint64(64 - bits - KEPT)
+                    own = own >> np.uint64(64 - bits - KEPT)
                     all_keys.append(own)
                     owners.append(np.full(len(own), i, "<u4"))
             n = len(node)
             empty = lambda kind: pa.nulls(n, kind)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([batch] * n, pa.int64()), pa.array(range(n), pa.int32()), b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(counts, pa.binary()), empty(pa.int32()), empty(pa.bool_()), empty(pa.binary()), empty(pa.binary())], names=names
+                [pa.array([batch] * n, pa.int64()), pa.array(range(n), pa.int32()), b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(needs, pa.int32()), pa.array(counts, pa.binary()), empty(pa.int32()), empty(pa.bool_()), empty(pa.binary()), empty(pa.binary())], names=names
             )
             key, owner = np.concatenate([np.zeros(0, np.uint64), *all_keys]), np.concatenate([np.zeros(0, "<u4"), *owners])
             order = np.lexsort((owner, key))
@@ -308,7 +317,7 @@ def _signed(rows: DataFrame, row: str, bits: int) -> DataFrame:
                 out += [(int(slot[x]), met, _packed(k[x:y]), o[x:y].tobytes()) for x, y in zip(begin, [*begin[1:], len(k)])]
             n = len(out)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([batch] * n, pa.int64()), empty(pa.int32()), empty(b.column(0).type), empty(pa.int64()), empty(pa.int64()), empty(pa.int64()), empty(pa.binary()), *(pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int32(), pa.bool_(), pa.binary(), pa.binary())))], names=names
+                [pa.array([batch] * n, pa.int64()), empty(pa.int32()), empty(b.column(0).type), empty(pa.int64()), empty(pa.int64()), empty(pa.int64()), empty(pa.int32()), empty(pa.binary()), *(pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int32(), pa.bool_(), pa.binary(), pa.binary())))], names=names
             )
 
     names = [c.split()[0] for c in SIGNED.split(", ")]
@@ -393,17 +402,27 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _enough(shared: DataFrame) -> DataFrame:
+    """shared(key, node, need) but for nodes that share fewer keys than any partner would, and keys of one node."""
+    enough = shared.groupBy("node").agg(F.count("*").alias("n"), F.max("need").alias("m")).where("n >= m").select("node")
+    left = shared.join(enough, "node", "left_semi")
+    several = left.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
+    return left.join(several, "key", "left_semi")
+
+
 def _similar(rows: DataFrame, row: str, rounds: int) -> DataFrame:
     """(row, doc_id, stays, component_id): of each component the row of the least doc_id stays, null ones last."""
     with scratch() as own:
         bits = min(max(int(rows.count() * 256 // SLOT).bit_length(), 4), 15)
         signed = cut(_signed(rows, row, bits))
-        listed = signed.where("idx is not null").select("batch", "idx", "row", "doc_id", "node", "size", "counts")
-        nodes = listed.groupBy("node").agg(F.min("size").alias("size"), F.min_by("counts", "row").alias("counts"), F.min("row").alias("row"))
-        shared = cut(_shared(signed).join(listed.select("batch", "idx", "node"), ["batch", "idx"]).select("key", "node").distinct())
+        listed = signed.where("idx is not null").select("batch", "idx", "row", "doc_id", "node", "size", "need", "counts")
+        nodes = listed.groupBy("node").agg(F.min("size").alias("size"), F.min("need").alias("need"), F.min_by("counts", "row").alias("counts"), F.min("row").alias("row"))
+        shared = cut(_shared(signed).join(listed.select("batch", "idx", "node", "need"), ["batch", "idx"]).select("key", "node", "need").distinct())
+        for _ in range(2):  # texts that share a passage alone go, then keys that this leaves to one text
+            shared = cut(_enough(shared))
         labels = None
         if not shared.isEmpty():
-            labels = _labels(shared, cut(nodes.join(shared.select("node").distinct(), "node")), lambda wanted: _contents(rows, row, wanted), rounds)
+            labels = _labels(shared.select("key", "node"), cut(nodes.join(shared.select("node").distinct(), "node")), lambda wanted: _contents(rows, row, wanted), rounds)
         place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row").alias("place")
         named = listed.select("row", "doc_id", "node", place)
         named = named.withColumn("root", F.col("node")) if labels is None else named.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
