@@ -10,15 +10,15 @@ which a probe visits every one in reach. Only distinct fingerprints are joined.
 fingerprints leave the pair join: their members are linked through the at most 65 fingerprints that share a one-bit
 neighbour, which is exact and linear, so no group emits all its pairs.
 
-similar(): texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. At that similarity 64-bit
-fingerprints differ in some ten bits, beyond any grid, so the fingerprint is the shingle set itself as a bitmap over
-hashes: two sets of n and m shingles are that similar exactly if at most (n + m) / 9 bits differ. The grid: classes of
-size (the whole popcount, a probe visits the next class), and the content of segments, whose number in a class exceeds
-the bits that may differ, so that some segment with a shingle is the same in both; where chance leaves too few segments
-filled for that, a text is dealt into segments anew until it has enough, and any partner with the same lack is met there.
-How many segments a partner must share is known, so texts that
-share fewer with all others are left out. Texts of a segment meet one of them, in a few rounds with another each, then those that still are in different
-components meet. No link is lost, and only connected components are asked for, so copies do not meet in all pairs.
+distinct(): texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. At that similarity 64-bit
+fingerprints differ in some ten bits, beyond any grid, so the fingerprint is the shingle set itself as a bitmap over hashes:
+two sets of n and m shingles are that similar exactly if at most (n + m) / 9 bits differ. The grid: classes of size (the
+whole popcount, a probe visits the next class), and the content of segments, whose number in a class exceeds the bits that
+may differ, so that some segment with a shingle is the same in both; where chance leaves too few segments filled for that, a
+text is dealt into segments anew until it has enough, and any partner with the same lack is met there. How many segments a
+partner must share is known, so texts that share fewer with all others are left out. Texts of a segment meet the one that
+shares most, then, in a few rounds, the best of those outside its component. No link is lost, and only connected components
+are asked for, so copies do not meet in all pairs.
 
 Defined cases: null text counts as empty; A-Z are lower-cased, words are what white space parts, and texts of fewer words
 than a shingle are one shingle of them all; a text without words has fingerprint zero and the empty set, and links to its
@@ -430,33 +430,55 @@ def _similar(rows: DataFrame, row: str, rounds: int) -> DataFrame:
         return own.keep(named.join(first, "root").select("row", "doc_id", (F.col("first.row") == F.col("row")).alias("stays"), F.col("first.doc_id").alias("component_id")))
 
 
+def _ranked(shared: DataFrame) -> DataFrame:
+    """(key, node, n, score) of shared(key, node): n nodes have the key; a node's score is the sum of n over its keys.
+
+    The text that copies were made from has the segments that most of them kept, so it scores highest.
+    """
+    counted = shared.join(shared.groupBy("key").agg(F.count("*").alias("n")), "key").select("key", "node", "n")
+    return counted.join(counted.groupBy("node").agg(F.sum("n").alias("score")), "node").select("key", "node", "n", "score")
+
+
 def _labels(shared: DataFrame, nodes: DataFrame, contents: Callable[[DataFrame], DataFrame], rounds: int) -> DataFrame | None:
     """(node, root) of the nodes that are linked, from shared(key, node); contents gives the sets of (row, node).
 
-    In each round a key's nodes meet one of them, another each time, or all of them if they are few or rounds are over; keys
-    whose nodes are all in one component are done.
+    At first the nodes of a key meet the one of the highest score, its hub, or all of them if they are few. Then, round by
+    round, the best of those that are not in the hub's component meets the key's nodes; who has met all of a key is done there.
+    When rounds are over, all who are neither done nor in the hub's component meet them: no pair of a key is left out that a
+    component does not hold already.
     """
     one = lambda c: nodes.select(*(F.col(x).alias(f"{x}_{c}") for x in ("node", "size", "counts")))
-    labels = edges = tried = sets = None
+    ranked = cut(_ranked(shared))
+    many = ranked.where(F.col("n") > FEW)
+    small = ranked.where(F.col("n") <= FEW)
+    best = lambda rows: rows.groupBy("key").agg(F.max_by(F.struct(F.col("node").alias("node_b"), F.col("root").alias("root_b")), F.struct("score", "node")).alias("hub"))
+    either = lambda a, b: (F.least(a, b).alias("node_a"), F.greatest(a, b).alias("node_b"))
+    labels = edges = tried = sets = done = None
     for k in range(rounds + 1):
-        named = shared.withColumn("root", F.col("node")) if labels is None else shared.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        some = F.min_by(F.struct(F.col("node").alias("node_b"), F.col("root").alias("root_b")), F.xxhash64("node", F.lit(k)))
-        ends = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), some.alias("s")).where("low < high")
-        open_ = cut(named.join(ends.select("key", "n", "s"), "key"))
-        few = F.lit(k == rounds) | (F.col("n") <= FEW)
-        left = open_.select("key", F.col("node").alias("node_a"), "root")
-        right = open_.where(few).select("key", F.col("node").alias("node_b"), F.col("root").alias("root_b"))
-        met = left.join(right, "key").where("node_a < node_b and root <> root_b").select("node_a", "node_b")
-        if k < rounds:
-            met = met.unionByName(open_.where(~few).where("root <> s.root_b").select(F.least("node", "s.node_b").alias("node_a"), F.greatest("node", "s.node_b").alias("node_b")))
-        met = met.distinct()
+        named = many.withColumn("root", F.col("node")) if labels is None else many.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        if k == 0:
+            right = small.select("key", F.col("node").alias("node_b"))
+            met = small.join(right, "key").where("node < node_b").select(*either("node", "node_b"))
+            reps = best(named)
+            done = cut(reps.select("key", F.col("hub.node_b").alias("node")))
+        else:
+            named = cut(named.join(best(named).select("key", F.col("hub.root_b").alias("hub_root")), "key"))
+            others = named.where("root <> hub_root").join(done, ["key", "node"], "left_anti")
+            if others.isEmpty():
+                break
+            if k < rounds:
+                reps = best(others)
+                done = cut(done.unionByName(reps.select("key", F.col("hub.node_b").alias("node"))))
+            else:
+                reps = others.select("key", F.struct(F.col("node").alias("node_b"), F.col("root").alias("root_b")).alias("hub"))
+            met = None
+        star = named.select("key", "node", "root").join(reps, "key").where("root <> hub.root_b").select(*either("node", "hub.node_b"))
+        met = (star if met is None else met.unionByName(star)).where("node_a <> node_b").distinct()
         if tried is not None:
             met = met.join(tried.select(F.col("a").alias("node_a"), F.col("b").alias("node_b")), ["node_a", "node_b"], "left_anti")
         placed = met.join(one("a"), "node_a").join(one("b"), "node_b")
         pairs = cut(_near(placed.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "size_a", "size_b", "counts_a", "counts_b")))
         if pairs.isEmpty():
-            if open_.where(~few).isEmpty():
-                break
             continue
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         if sets is not None:
@@ -468,8 +490,6 @@ def _labels(shared: DataFrame, nodes: DataFrame, contents: Callable[[DataFrame],
         if not found.isEmpty():
             edges = found if edges is None else edges.unionByName(found)
             labels = connected(edges)
-        if open_.where(~few).isEmpty():
-            break
     return labels
 
 
