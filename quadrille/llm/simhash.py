@@ -17,8 +17,8 @@ whole popcount, a probe visits the next class), and the content of segments, who
 may differ, so that some segment with a shingle is the same in both; where chance leaves too few segments filled for that, a
 text is dealt into segments anew until it has enough, and any partner with the same lack is met there. How many segments a
 partner must share is known, so texts that share fewer with all others are left out. Texts of a segment meet the one that
-shares most, then, in a few rounds, the best of those outside its component. No link is lost, and only connected components
-are asked for, so copies do not meet in all pairs.
+shares most; those outside its component are then compared, by their embeddings and in blocks, with the others that share a
+segment with it. No link is lost, and only connected components are asked for, so copies do not meet in all pairs.
 
 Defined cases: null text counts as empty; A-Z are lower-cased, words are what white space parts, and texts of fewer words
 than a shingle are one shingle of them all; a text without words has fingerprint zero and the empty set, and links to its
@@ -32,6 +32,7 @@ from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -159,7 +160,8 @@ def fingerprint_hex(fp: str = "fp"):
 
 # ---- similar texts: the shingle set as fingerprint
 
-WORDS, ROUNDS = 5, 3
+#: Words of a shingle; nodes of a block that are compared with those of another at once.
+WORDS, BLOCK = 5, 1024
 #: Similarity of at least 4/5: of n + m set bits at most one in NINTH may differ.
 NINTH = 9
 PARTS = 64
@@ -410,7 +412,7 @@ def _enough(shared: DataFrame) -> DataFrame:
     return left.join(several, "key", "left_semi")
 
 
-def _similar(rows: DataFrame, row: str, rounds: int) -> DataFrame:
+def _similar(rows: DataFrame, row: str, block: int) -> DataFrame:
     """(row, doc_id, stays, component_id): of each component the row of the least doc_id stays, null ones last."""
     with scratch() as own:
         bits = min(max(int(rows.count() * 256 // SLOT).bit_length(), 4), 15)
@@ -422,7 +424,7 @@ def _similar(rows: DataFrame, row: str, rounds: int) -> DataFrame:
             shared = cut(_enough(shared))
         labels = None
         if not shared.isEmpty():
-            labels = _labels(shared.select("key", "node"), cut(nodes.join(shared.select("node").distinct(), "node")), lambda wanted: _contents(rows, row, wanted), rounds)
+            labels = _labels(shared.select("key", "node"), cut(nodes.join(shared.select("node").distinct(), "node")), lambda wanted: _contents(rows, row, wanted), block)
         place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row").alias("place")
         named = listed.select("row", "doc_id", "node", place)
         named = named.withColumn("root", F.col("node")) if labels is None else named.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -439,62 +441,69 @@ def _ranked(shared: DataFrame) -> DataFrame:
     return counted.join(counted.groupBy("node").agg(F.sum("n").alias("score")), "node").select("key", "node", "n", "score")
 
 
-def _labels(shared: DataFrame, nodes: DataFrame, contents: Callable[[DataFrame], DataFrame], rounds: int) -> DataFrame | None:
+def _labels(shared: DataFrame, nodes: DataFrame, contents: Callable[[DataFrame], DataFrame], block: int) -> DataFrame | None:
     """(node, root) of the nodes that are linked, from shared(key, node); contents gives the sets of (row, node).
 
-    At first the nodes of a key meet the one of the highest score, its hub, or all of them if they are few. Then, round by
-    round, the best of those that are not in the hub's component meets the key's nodes; who has met all of a key is done there.
-    When rounds are over, all who are neither done nor in the hub's component meet them: no pair of a key is left out that a
-    component does not hold already.
+    At first the nodes of a key meet the one of the highest score, its hub, or all of them if they are few. Then those that
+    are not in their hub's component are compared with all that share a key with the hub, in blocks: any pair of a key that
+    no component holds has such a node. Only pairs within the Manhattan bound leave a block.
     """
-    one = lambda c: nodes.select(*(F.col(x).alias(f"{x}_{c}") for x in ("node", "size", "counts")))
     ranked = cut(_ranked(shared))
-    many = ranked.where(F.col("n") > FEW)
-    small = ranked.where(F.col("n") <= FEW)
-    best = lambda rows: rows.groupBy("key").agg(F.max_by(F.struct(F.col("node").alias("node_b"), F.col("root").alias("root_b")), F.struct("score", "node")).alias("hub"))
+    many, small = ranked.where(F.col("n") > FEW), ranked.where(F.col("n") <= FEW)
+    hubs = cut(many.groupBy("key").agg(F.max_by("node", F.struct("score", "node")).alias("hub")))
     either = lambda a, b: (F.least(a, b).alias("node_a"), F.greatest(a, b).alias("node_b"))
-    labels = edges = tried = sets = done = None
-    for k in range(rounds + 1):
-        named = many.withColumn("root", F.col("node")) if labels is None else many.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        if k == 0:
-            right = small.select("key", F.col("node").alias("node_b"))
-            met = small.join(right, "key").where("node < node_b").select(*either("node", "node_b"))
-            reps = best(named)
-            done = cut(reps.select("key", F.col("hub.node_b").alias("node")))
-        else:
-            named = cut(named.join(best(named).select("key", F.col("hub.root_b").alias("hub_root")), "key"))
-            others = named.where("root <> hub_root").join(done, ["key", "node"], "left_anti")
-            if others.isEmpty():
-                break
-            if k < rounds:
-                reps = best(others)
-                done = cut(done.unionByName(reps.select("key", F.col("hub.node_b").alias("node"))))
-            else:
-                reps = others.select("key", F.struct(F.col("node").alias("node_b"), F.col("root").alias("root_b")).alias("hub"))
-            met = None
-        star = named.select("key", "node", "root").join(reps, "key").where("root <> hub.root_b").select(*either("node", "hub.node_b"))
-        met = (star if met is None else met.unionByName(star)).where("node_a <> node_b").distinct()
-        if tried is not None:
-            met = met.join(tried.select(F.col("a").alias("node_a"), F.col("b").alias("node_b")), ["node_a", "node_b"], "left_anti")
-        placed = met.join(one("a"), "node_a").join(one("b"), "node_b")
-        pairs = cut(_near(placed.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "size_a", "size_b", "counts_a", "counts_b")))
-        if pairs.isEmpty():
-            continue
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        if sets is not None:
-            wanted = wanted.join(sets.select("node"), "node", "left_anti")
-        more = cut(contents(nodes.join(wanted, "node").select("row", "node")))
-        sets = more if sets is None else sets.unionByName(more)
-        found = cut(_verified(pairs, sets))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if not found.isEmpty():
-            edges = found if edges is None else edges.unionByName(found)
-            labels = connected(edges)
-    return labels
-
-
-def distinct(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    met = small.join(small.select("key", F.col("node").alias("other")), "key").where("node < other").select(*either("node", "other"))
+    members = cut(many.select("key", "node").join(hubs, "key").select("hub", "node").distinct())
+    met = met.unionByName(members.where("node <> hub").select(*either("node", "hub"))).distinct()
+    one = lambda c: nodes.select(*(F.col(x).alias(f"{x}_{c}") for x in ("node", "size", "counts")))
+    placed = met.join(one("a"), "node_a").join(one("b"), "node_b")
+    tried = cut(_near(placed.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "size_a", "size_b", "counts_a", "counts_b")))
+    named = lambda ids: nodes.join(ids, "node").select("row", "node")
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = cut(contents(named(ends(tried))))
+    edges = cut(_verified(tried, sets))
+    labels = connected(edges)
+    if members.isEmpty():
+        return labels
+    apart = cut(_apart(members, labels, nodes, block).join(tried, ["a", "b"], "left_anti"))
+    if apart.isEmpty():
+        return labels
+    more = cut(contents(named(ends(apart).join(sets.select("node"), "node", "left_anti"))))
+    return connected(edges.unionByName(_verified(apart, sets.unionByName(more))))
+
+
+def _apart(members: DataFrame, labels: DataFrame | None, nodes: DataFrame, block: int) -> DataFrame:
+    """(a, b) within the Manhattan bound, of members(hub, node) of one hub in different components, one of them not in the hub's."""
+    rooted = members if labels is None else members.join(labels, "node", "left")
+    root = F.col("node") if labels is None else F.coalesce("root", "node")
+    rooted = cut(rooted.select("hub", "node", root.alias("root")))
+    own = rooted.where("node = hub").select("hub", F.col("root").alias("hub_root"))
+    sized = rooted.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    full = rooted.join(own.join(sized, "hub"), "hub").join(nodes.select("node", "size", "counts"), "node")
+    full = full.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    columns = ["hub", "node", "root", "size", "counts"]
+    left = full.where("root <> hub_root").select(*columns, F.col("own").alias("i"), every.alias("j"))
+    right = full.select(*(F.col(c).alias(f"{c}_y") for c in columns), every.alias("i_y"), F.col("own").alias("j_y"))
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = [np.zeros((0, 2), np.int64)]
+        y = y.rename(columns=lambda c: c.removesuffix("_y"))
+        if len(x) and len(y):
+            cx, cy = (np.frombuffer(b"".join(t.counts), np.uint8).reshape(len(t), PARTS).astype(np.int16) for t in (x, y))
+            nx, ny, rx, ry, sx, sy = (t[c].to_numpy() for c in ("node", "root", "size") for t in (x, y))
+            for k in range(0, len(x), 64):
+                p = slice(k, k + 64)
+                far = np.abs(cx[p, None, :] - cy[None]).sum(2, dtype=np.int64)
+                a, b = np.nonzero((NINTH * far <= sx[p, None] + sy[None]) & (rx[p, None] != ry[None]))
+                out.append(np.sort(np.column_stack([nx[p][a], ny[b]]), 1))
+        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+
+    return left.groupBy("hub", "i", "j").cogroup(right.groupBy("hub_y", "i_y", "j_y")).applyInPandas(run, "a long, b long").distinct()
+
+
+def distinct(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """docs with one row of each component of similar texts."""
     rows, row = with_row(docs)
-    dropped = cut(_similar(rows, row, rounds).where("not stays").select(F.col("row").alias(row)))
+    dropped = cut(_similar(rows, row, block).where("not stays").select(F.col("row").alias(row)))
     return without(rows, row, dropped).select(*docs.columns)

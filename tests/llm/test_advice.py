@@ -50,11 +50,11 @@ def varied(rng):
     return texts + [(200 + k, " ".join(say(20) + line + say(20))) for k in range(30)]
 
 
-@pytest.mark.parametrize("rounds", [3, 1, 0])
-def test_near_copies_are_those_of_brute_force(spark, rounds):
-    texts = varied(np.random.RandomState(8 + rounds))
+@pytest.mark.parametrize("block", [1024, 3])
+def test_near_copies_are_those_of_brute_force(spark, block):
+    texts = varied(np.random.RandomState(8 + block))
     texts += [(300 + d, t) for d, t in table(spark, SF, "documents").select("doc_id", "text").dropDuplicates(["text"]).limit(60).collect()]
-    rows = simhash.distinct(frame(spark, texts), rounds).collect()
+    rows = simhash.distinct(frame(spark, texts), block).collect()
     assert sorted(r["doc_id"] for r in rows) == brute_near(texts)
 
 
@@ -93,6 +93,18 @@ def test_near_copies_of_a_large_group(spark):
     assert sorted(got) == [0, *range(1000, 1100)]
 
 
+def test_near_copies_of_copies(spark):
+    """A cloud of copies of copies, some within reach of each other and not of what most share with."""
+    rng = np.random.RandomState(14)
+    base, texts = [f"w{i}" for i in rng.randint(0, 10_000, 90)], []
+    for k in range(150):
+        w = list(texts[rng.randint(len(texts))][1].split()) if texts and k % 3 else list(base)
+        for _ in range(int(rng.randint(0, 4))):
+            w[rng.randint(90)] = f"x{rng.randint(10**6)}"
+        texts.append((k, " ".join(w)))
+    assert sorted(r["doc_id"] for r in simhash.distinct(frame(spark, texts), 16).collect()) == brute_near(texts)
+
+
 def rows_with_trouble(spark):
     """Null and repeated doc_ids, repeated rows, null and empty texts, clashing names."""
     long_ = " ".join(f"t{i}" for i in range(40))
