@@ -17,8 +17,10 @@ whole popcount, a probe visits the next class), and the content of segments, who
 may differ, so that some segment with a shingle is the same in both; where chance leaves too few segments filled for that, a
 text is dealt into segments anew until it has enough, and any partner with the same lack is met there. How many segments a
 partner must share is known, so texts that share fewer with all others are left out. Texts of a segment meet the one that
-shares most; those outside its component are then compared, by their embeddings and in blocks, with the others that share a
-segment with it. No link is lost, and only connected components are asked for, so copies do not meet in all pairs.
+shares most; those outside its component are then compared in blocks with the others that share a segment with it: by their
+embeddings, then by the parities of finer segments, which differ in no more places than the bits do. A block gives a spanning
+forest of the components that these bounds leave together, not all their pairs. No link is lost, and only connected
+components are asked for, so copies do not meet in all pairs.
 
 Defined cases: null text counts as empty; A-Z are lower-cased, words are what white space parts, and texts of fewer words
 than a shingle are one shingle of them all; a text without words has fingerprint zero and the empty set, and links to its
@@ -249,9 +251,55 @@ def popcounts(found: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((found >> np.uint64(58)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8)
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """Of each segment of a finer bitmap of 4 to 8 segments a shingle, whether it has an odd number of set bits, as bytes.
+
+    A bit in which two sets differ turns one parity, so no more parities differ than bits. Half as many segments are the
+    exclusive or of two halves.
+    """
+    n = max(64, 1 << (4 * len(found)).bit_length())
+    odd = np.bincount((found & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
+def _odd(x: list[bytes], y: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many parities x[a] and y[b] differ, in the number of segments of the lesser."""
+    out = np.zeros(len(a), np.int64)
+    least = np.minimum(np.array([len(v) for v in x], np.int64)[a], np.array([len(v) for v in y], np.int64)[b])
+    for size in np.unique(least).tolist():
+        at, step = np.flatnonzero(least == size), max(1, (8 << 20) // size)
+        sides = []
+        for of, chosen in ((x, a[at]), (y, b[at])):
+            used, place = np.unique(chosen, return_inverse=True)
+            sides.append((np.stack([np.bitwise_xor.reduce(np.frombuffer(of[k], np.uint64).reshape(-1, size // 8), 0) for k in used.tolist()]), place))
+        (of_x, i), (of_y, j) = sides
+        for k in range(0, len(at), step):
+            out[at[k : k + step]] = np.bitwise_count(of_x[i[k : k + step]] ^ of_y[j[k : k + step]]).sum(1, dtype=np.int64)
+    return out
+
+
+def _forest(a: np.ndarray, b: np.ndarray, order: np.ndarray) -> list[int]:
+    """Places of edges (a, b), taken in that order, that make a spanning forest."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    out = []
+    for k, x, y in zip(order.tolist(), a[order].tolist(), b[order].tolist()):
+        x, y = root(x), root(y)
+        if x != y:
+            up[x] = y
+            out.append(k)
+    return out
+
+
 #: Keys of a slot, about; bits of a key that a slice keeps besides its slot's; groups of keys that meet in all pairs at once.
 SLOT, KEPT, FEW = 1 << 18, 40, 8
-SIGNED = "batch long, idx int, row struct<file:long,place:long>, doc_id long, node long, size long, need int, counts binary, slot int, met boolean, keys binary, owners binary"
+SIGNED = "batch long, idx int, row struct<file:long,place:long>, doc_id long, node long, size long, need int, counts binary, odd binary, slot int, met boolean, keys binary, owners binary"
 
 
 def _packed(key: np.ndarray) -> bytes:
@@ -277,7 +325,7 @@ def _parts(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[p
 
 
 def _signed(rows: DataFrame, row: str, bits: int) -> DataFrame:
-    """A row for each row (batch, idx, row, doc_id, node, size, counts), and slices of keys with their owners' idx by slot.
+    """A row for each row (batch, idx, row, doc_id, node, size, need, counts, odd), and slices of keys with their owners' idx by slot.
 
     Within a batch only one owner of a key goes on to meet those of other batches; all owners of such a key are in slices
     that are known to have `met`. So a key that very many texts share reaches its slot once a batch.
@@ -287,13 +335,14 @@ def _signed(rows: DataFrame, row: str, bits: int) -> DataFrame:
         known, task = _Hashes(), TaskContext.get().partitionId()
         for number, b in enumerate(_parts(batches)):
             batch = (task << 24) + number
-            node, size, needs, counts, all_keys, owners, seen = [], [], [], [], [], [], set()
+            node, size, needs, counts, odd, all_keys, owners, seen = [], [], [], [], [], [], [], set()
             for i, t in enumerate(b.column(2).cast(pa.binary())):
                 found = shingles(t.as_py(), known)
                 name = node_of(found)
                 node.append(name)
                 size.append(len(found))
                 counts.append(popcounts(found).tobytes())
+                odd.append(parities(found).tobytes())
                 own, need = keys(found)
                 needs.append(need)
                 if name not in seen:
@@ -304,7 +353,7 @@ def _signed(rows: DataFrame, row: str, bits: int) -> DataFrame:
             n = len(node)
             empty = lambda kind: pa.nulls(n, kind)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([batch] * n, pa.int64()), pa.array(range(n), pa.int32()), b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(needs, pa.int32()), pa.array(counts, pa.binary()), empty(pa.int32()), empty(pa.bool_()), empty(pa.binary()), empty(pa.binary())], names=names
+                [pa.array([batch] * n, pa.int64()), pa.array(range(n), pa.int32()), b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(needs, pa.int32()), pa.array(counts, pa.binary()), pa.array(odd, pa.binary()), empty(pa.int32()), empty(pa.bool_()), empty(pa.binary()), empty(pa.binary())], names=names
             )
             key, owner = np.concatenate([np.zeros(0, np.uint64), *all_keys]), np.concatenate([np.zeros(0, "<u4"), *owners])
             order = np.lexsort((owner, key))
@@ -319,7 +368,7 @@ def _signed(rows: DataFrame, row: str, bits: int) -> DataFrame:
                 out += [(int(slot[x]), met, _packed(k[x:y]), o[x:y].tobytes()) for x, y in zip(begin, [*begin[1:], len(k)])]
             n = len(out)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([batch] * n, pa.int64()), empty(pa.int32()), empty(b.column(0).type), empty(pa.int64()), empty(pa.int64()), empty(pa.int64()), empty(pa.int32()), empty(pa.binary()), *(pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int32(), pa.bool_(), pa.binary(), pa.binary())))], names=names
+                [pa.array([batch] * n, pa.int64()), empty(pa.int32()), empty(b.column(0).type), empty(pa.int64()), empty(pa.int64()), empty(pa.int64()), empty(pa.int32()), empty(pa.binary()), empty(pa.binary()), *(pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int32(), pa.bool_(), pa.binary(), pa.binary())))], names=names
             )
 
     names = [c.split()[0] for c in SIGNED.split(", ")]
@@ -377,13 +426,16 @@ def _contents(rows: DataFrame, row: str, wanted: DataFrame) -> DataFrame:
 
 
 def _near(pairs: DataFrame) -> DataFrame:
-    """pairs(a, b, size_a, size_b, counts_a, counts_b) whose embeddings are no farther apart than their bits may be."""
+    """pairs(a, b, size_a, size_b, counts_a, counts_b, odd_a, odd_b) whose embeddings and parities are no farther apart than bits may be."""
 
     def run(batches):
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(len(b), PARTS).astype(np.int16) for c in (4, 5))
             size = b.column(2).to_numpy() + b.column(3).to_numpy()
-            yield b.select(["a", "b"]).filter(pa.array(NINTH * np.abs(x - y).sum(1, dtype=np.int64) <= size))
+            left = np.flatnonzero(NINTH * np.abs(x - y).sum(1, dtype=np.int64) <= size)
+            x, y = (b.column(c).take(pa.array(left)).to_pylist() for c in (6, 7))
+            every = np.arange(len(left))
+            yield b.select(["a", "b"]).take(pa.array(left[NINTH * _odd(x, y, every, every) <= size[left]]))
 
     return pairs.mapInArrow(run, "a long, b long")
 
@@ -417,14 +469,14 @@ def _similar(rows: DataFrame, row: str, block: int) -> DataFrame:
     with scratch() as own:
         bits = min(max(int(rows.count() * 256 // SLOT).bit_length(), 4), 15)
         signed = cut(_signed(rows, row, bits))
-        listed = signed.where("idx is not null").select("batch", "idx", "row", "doc_id", "node", "size", "need", "counts")
-        nodes = listed.groupBy("node").agg(F.min("size").alias("size"), F.min("need").alias("need"), F.min_by("counts", "row").alias("counts"), F.min("row").alias("row"))
+        listed = signed.where("idx is not null").select("batch", "idx", "row", "doc_id", "node", "size", "need", "counts", "odd")
+        described = lambda wanted: listed.join(wanted, "node").groupBy("node").agg(F.min("size").alias("size"), F.min("need").alias("need"), F.min_by(F.struct("counts", "odd"), "row").alias("of"), F.min("row").alias("row")).select("node", "size", "need", "of.*", "row")
         shared = cut(_shared(signed).join(listed.select("batch", "idx", "node", "need"), ["batch", "idx"]).select("key", "node", "need").distinct())
         for _ in range(2):  # texts that share a passage alone go, then keys that this leaves to one text
             shared = cut(_enough(shared))
         labels = None
         if not shared.isEmpty():
-            labels = _labels(shared.select("key", "node"), cut(nodes.join(shared.select("node").distinct(), "node")), lambda wanted: _contents(rows, row, wanted), block)
+            labels = _labels(shared.select("key", "node"), cut(described(cut(shared.select("node").distinct()))), lambda wanted: _contents(rows, row, wanted), block)
         place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row").alias("place")
         named = listed.select("row", "doc_id", "node", place)
         named = named.withColumn("root", F.col("node")) if labels is None else named.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -446,7 +498,8 @@ def _labels(shared: DataFrame, nodes: DataFrame, contents: Callable[[DataFrame],
 
     At first the nodes of a key meet the one of the highest score, its hub, or all of them if they are few. Then those that
     are not in their hub's component are compared with all that share a key with the hub, in blocks: any pair of a key that
-    no component holds has such a node. Only pairs within the Manhattan bound leave a block.
+    no component holds has such a node. Only pairs within both bounds leave a block, at first those of a forest: if all of
+    them are links, whatever else the bounds let through is within a component; if not, the pairs between components follow.
     """
     ranked = cut(_ranked(shared))
     many, small = ranked.where(F.col("n") > FEW), ranked.where(F.col("n") <= FEW)
@@ -455,49 +508,66 @@ def _labels(shared: DataFrame, nodes: DataFrame, contents: Callable[[DataFrame],
     met = small.join(small.select("key", F.col("node").alias("other")), "key").where("node < other").select(*either("node", "other"))
     members = cut(many.select("key", "node").join(hubs, "key").select("hub", "node").distinct())
     met = met.unionByName(members.where("node <> hub").select(*either("node", "hub"))).distinct()
-    one = lambda c: nodes.select(*(F.col(x).alias(f"{x}_{c}") for x in ("node", "size", "counts")))
+    one = lambda c: nodes.select(*(F.col(x).alias(f"{x}_{c}") for x in ("node", "size", "counts", "odd")))
     placed = met.join(one("a"), "node_a").join(one("b"), "node_b")
-    tried = cut(_near(placed.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "size_a", "size_b", "counts_a", "counts_b")))
+    tried = cut(_near(placed.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "size_a", "size_b", "counts_a", "counts_b", "odd_a", "odd_b")))
     named = lambda ids: nodes.join(ids, "node").select("row", "node")
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = cut(contents(named(ends(tried))))
-    edges = cut(_verified(tried, sets))
+    edges = cut(_verified(tried, cut(contents(named(ends(tried))))))
     labels = connected(edges)
     if members.isEmpty():
         return labels
-    apart = cut(_apart(members, labels, nodes, block).join(tried, ["a", "b"], "left_anti"))
-    if apart.isEmpty():
-        return labels
-    more = cut(contents(named(ends(apart).join(sets.select("node"), "node", "left_anti"))))
-    return connected(edges.unionByName(_verified(apart, sets.unionByName(more))))
-
-
-def _apart(members: DataFrame, labels: DataFrame | None, nodes: DataFrame, block: int) -> DataFrame:
-    """(a, b) within the Manhattan bound, of members(hub, node) of one hub in different components, one of them not in the hub's."""
+    for whole in (False, True):
+        found = cut(_apart(members, labels, nodes, block, whole))
+        apart = cut(found.join(tried, ["a", "b"], "left_anti"))
+        linked = 0
+        if not apart.isEmpty():
+            more = cut(_verified(apart, cut(contents(named(ends(apart))))))
+            linked = more.count()
+        if linked:
+            edges = edges.unionByName(more)
+            labels = connected(edges)
+        if linked == found.count():
+            break
+        tried = tried.unionByName(apart)
+    return labels
+
+
+def _apart(members: DataFrame, labels: DataFrame | None, nodes: DataFrame, block: int, whole: bool) -> DataFrame:
+    """(a, b) within the bounds, of members(hub, node) of one hub in different components, one of them not in the hub's.
+
+    Of two blocks all such pairs if `whole`, else those of a spanning forest of components, the nearest first.
+    """
     rooted = members if labels is None else members.join(labels, "node", "left")
     root = F.col("node") if labels is None else F.coalesce("root", "node")
     rooted = cut(rooted.select("hub", "node", root.alias("root")))
     own = rooted.where("node = hub").select("hub", F.col("root").alias("hub_root"))
     sized = rooted.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    full = rooted.join(own.join(sized, "hub"), "hub").join(nodes.select("node", "size", "counts"), "node")
+    full = rooted.join(own.join(sized, "hub"), "hub").join(nodes.select("node", "size", "counts", "odd"), "node")
     full = full.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    columns = ["hub", "node", "root", "size", "counts"]
+    columns = ["hub", "node", "root", "size", "counts", "odd"]
     left = full.where("root <> hub_root").select(*columns, F.col("own").alias("i"), every.alias("j"))
-    right = full.select(*(F.col(c).alias(f"{c}_y") for c in columns), every.alias("i_y"), F.col("own").alias("j_y"))
+    right = full.where("node <> hub").select(*(F.col(c).alias(f"{c}_y") for c in columns), every.alias("i_y"), F.col("own").alias("j_y"))
 
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        out = [np.zeros((0, 2), np.int64)]
-        y = y.rename(columns=lambda c: c.removesuffix("_y"))
-        if len(x) and len(y):
-            cx, cy = (np.frombuffer(b"".join(t.counts), np.uint8).reshape(len(t), PARTS).astype(np.int16) for t in (x, y))
-            nx, ny, rx, ry, sx, sy = (t[c].to_numpy() for c in ("node", "root", "size") for t in (x, y))
-            for k in range(0, len(x), 64):
-                p = slice(k, k + 64)
-                far = np.abs(cx[p, None, :] - cy[None]).sum(2, dtype=np.int64)
-                a, b = np.nonzero((NINTH * far <= sx[p, None] + sy[None]) & (rx[p, None] != ry[None]))
-                out.append(np.sort(np.column_stack([nx[p][a], ny[b]]), 1))
-        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+        if x.empty or y.empty:
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        nx, ny, rx, ry, sx, sy = (t[c].to_numpy() for c in ("node", "root", "size") for t in (x, y.rename(columns=lambda c: c.removesuffix("_y"))))
+        cx, cy = (np.frombuffer(b"".join(c), np.uint8).reshape(len(c), PARTS).astype(np.int16) for c in (x.counts, y.counts_y))
+        at = []
+        for k in range(0, len(x), 64):
+            p = slice(k, k + 64)
+            far = np.abs(cx[p, None, :] - cy[None]).sum(2, dtype=np.int64)
+            a, b = np.nonzero((NINTH * far <= sx[p, None] + sy[None]) & (rx[p, None] != ry[None]))
+            at.append((a + k, b))
+        a, b = map(np.concatenate, zip(*at))
+        over = NINTH * _odd(x.odd.tolist(), y.odd_y.tolist(), a, b) - (sx[a] + sy[b])
+        a, b, over = (v[over <= 0] for v in (a, b, over))
+        if not whole:
+            chosen = _forest(rx[a], ry[b], np.argsort(over, kind="stable"))
+            a, b = a[chosen], b[chosen]
+        return pd.DataFrame(np.sort(np.column_stack([nx[a], ny[b]]), 1), columns=["a", "b"])
 
     return left.groupBy("hub", "i", "j").cogroup(right.groupBy("hub_y", "i_y", "j_y")).applyInPandas(run, "a long, b long").distinct()
 
