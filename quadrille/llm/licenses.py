@@ -8,8 +8,9 @@ of the template counts once however often it comes, and a foreign one each time.
 
 Size bounds prune: a coefficient of t takes m >= t / (2 - t) * b, so texts and windows with fewer of a template's pairs, read
 off the sorted places of its pairs, meet it not at all; and since any such m pairs include one with a word of a short list
-(a cover), texts that lack all words of some cover of every template are not even taken apart. The templates' few thousand bigrams, a fixed table, are
-broadcast; only hits are shuffled.
+(a cover), texts that lack all words of some cover of every template are left out. A text is taken apart once for that, and
+what its words have in common with all covers is what each cover is held against. The templates' few thousand bigrams, a
+fixed table, are broadcast; only hits are shuffled.
 
 Defined cases: null text matches nothing; texts of fewer than two words have no bigrams; a row gives one line for each
 template it matches, its best window, the first on ties; rows are told apart, whether doc_ids are null or repeat.
@@ -117,10 +118,12 @@ def matches(docs: DataFrame, threshold: float = 0.8, named: dict[str, str] | Non
     """
     named = named or TEMPLATES
     rows, row = with_row(docs.where("text is not null"))
-    low = F.lower("text")
-    has = lambda listed: reduce(or_, (F.contains(low, F.lit(w)) for w in listed))
-    some = reduce(or_, (reduce(and_, map(has, covers(notice, threshold))) for notice in named.values()))
-    said = rows.where(some).select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.split(normalised(F.col("text")), " ").alias("words"))
+    words = F.split(normalised(F.col("text")), " ")
+    wanted = [covers(notice, threshold) for notice in named.values()]
+    told = F.array_intersect(words, F.lit(sorted({w for lists in wanted for listed in lists for w in listed})))
+    # a lambda's argument is computed once a row, an expression in a filter as often as it stands there
+    some = lambda own: reduce(or_, (reduce(and_, (F.arrays_overlap(own, F.lit(listed)) for listed in lists)) for lists in wanted))
+    said = rows.where(F.exists(F.array(told), some)).select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), words.alias("words"))
     n = F.size("words")
     pairs = F.zip_with(F.slice("words", 1, F.greatest(n - 1, F.lit(0))), F.slice("words", 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
     placed = said.select("row", "doc_id", (n - 1).alias("total"), F.posexplode(pairs).alias("pos", "gram"))
@@ -128,10 +131,11 @@ def matches(docs: DataFrame, threshold: float = 0.8, named: dict[str, str] | Non
     found = hits.groupBy("row", "doc_id", "total", "license", "n_words", "n_pairs", "need").agg(F.array_sort(F.collect_list(F.struct("pos", "gram"))).alias("hits")).where(F.size("hits") >= F.col("need"))
     # window from hit i on: its pairs are hits i.. up to place pos + n_words - 2, no more than n_words - 1 of them
     size, width = F.size("hits"), F.col("n_words") - 1
-    starts = F.filter(F.sequence(F.lit(1), size - F.col("need") + 1), lambda i: F.element_at("hits", (i + F.col("need") - 1).cast("int"))["pos"] - F.element_at("hits", i)["pos"] < width)
+    place = lambda i: F.get("hits", (i - 1).cast("int"))["pos"]  # noqa: E731  null beyond the hits: a caller's filter may be tried before the one on their number
+    starts = F.filter(F.sequence(F.lit(1), size - F.col("need") + 1), lambda i: place(i + F.col("need") - 1) - place(i) < width)
 
     def judged(i: Column) -> Column:
-        start = F.element_at("hits", i)["pos"]
+        start = place(i)
         inside = F.filter(F.slice("hits", i, width), lambda h: h["pos"] - start < width)
         m = F.size(F.array_distinct(F.transform(inside, lambda h: h["gram"])))
         a = F.least(width, F.col("total") - start)
