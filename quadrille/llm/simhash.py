@@ -422,7 +422,8 @@ def _contents(rows: DataFrame, row: str, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["node", "found"])
 
     read = rows.select(F.col(row).alias("row"), text_or_empty().alias("text"))
-    return read.join(wanted, "row").select("node", "text").mapInArrow(run, "node long, found binary")
+    # written, so that its size is known before the texts are dealt out: they stay where they are while it is small
+    return read.join(cut(wanted), "row").select("node", "text").mapInArrow(run, "node long, found binary")
 
 
 def _near(pairs: DataFrame) -> DataFrame:
