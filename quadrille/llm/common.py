@@ -1,7 +1,11 @@
-"""Shared helpers: reading tables, null texts, and the identity of rows."""
+"""Shared helpers: reading tables, null texts, the identity of rows, and the memory of Python workers."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,3 +55,13 @@ def with_row(df: DataFrame) -> tuple[DataFrame, str]:
 def without(df: DataFrame, row: str, dropped: DataFrame) -> DataFrame:
     """df, which has the column `row`, but for the rows that dropped(row) names; the column goes too."""
     return df.join(dropped.select(row), row, "left_anti").drop(row)
+
+
+def release() -> None:
+    """Give the machine back what this Python worker has freed: it outlives its tasks, and the next one's need comes on top."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # a C library without it
+        pass

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import release, text_or_empty
 
 WORD = re.compile(r"[^\W_]+")
 #: Items of a block, and blocks of one pass over the texts.
@@ -230,7 +230,8 @@ def _aligns(shipped, threshold: float):
     @F.arrow_udf("boolean")
     def aligns(texts: pa.Array) -> pa.Array:
         if not made:
+            release()
             made.extend(_named(x, threshold) for x in shipped.value)
-        return pa.array([any(own.matches(t) for own, _ in made) for t in texts.to_pylist()], pa.bool_())
+        return pa.array([any(own.matches(t.as_py()) for own, _ in made) for t in texts], pa.bool_())
 
     return aligns

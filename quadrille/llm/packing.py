@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import cut
-from .common import text_or_empty
+from .common import release, text_or_empty
 
 #: Fixed name of the vocabulary file.
 VOCABULARY = "word_bpe_49k.json"
@@ -45,10 +45,11 @@ class WordIds:
     Below U+0250 the vocabulary's normaliser is the lower case of each letter, and its splitter never looks across white
     space; so a batch of texts is lowered and split in Arrow, each distinct part is encoded once (many at a time, parted
     by the mark that a word's last id carries), and ids are gathered by part. Other texts, texts that may hold a special
-    token, and all texts if the vocabulary is another, go to the tokenizer whole. At most about `most` words are held.
+    token, and all texts if the vocabulary is another, go to the tokenizer whole. At most about `most` words are held, and
+    the splits of some half a megabyte of texts.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 120_000):
         import json
         import os
 
@@ -65,15 +66,14 @@ class WordIds:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.most = most
         if self.known_rules:
-            self.plain = Tokenizer.from_file(path)  # the same model for parts, which are lowered and split already
-            self.plain.normalizer = None
+            self.plain = Tokenizer(self.tokenizer.model)  # the same model, held once, for parts, which are lowered and split already
             self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             vocabulary = said["model"]["vocab"]
             self.last = np.zeros(max(vocabulary.values()) + 1, bool)
             self.last[[i for k, i in vocabulary.items() if k.endswith(suffix)]] = True
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.known = {"": 0}
         self.first, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.ids, self.used = np.zeros(1 << 14, np.uint32), 0
@@ -102,12 +102,13 @@ class WordIds:
 
     def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts in a row, and how many each has."""
-        split = pc.utf8_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), APART, r" \0 "))
+        # trimmed, as Arrow's split reads on past white space at the end of a text, into whatever bytes follow it
+        split = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), APART, r" \0 ")))
         coded = split.flatten().dictionary_encode()
         n = len(coded.dictionary)  # no word holds a blank, so one string carries them all
         words = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), coded.dictionary.cast(pa.string())), " ")[0].as_py().split(" ") if n else []
         if len(self.known) > self.most:
-            self._clear()
+            self.clear()
         number = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, n)
         new = np.flatnonzero(number < 0)
         number[new] = len(self.known) + np.arange(len(new))
@@ -118,7 +119,7 @@ class WordIds:
         ids = self.ids[np.repeat(self.first[at] - after + count, count) + np.arange(after[-1] if len(after) else 0)]
         return ids, np.diff(np.r_[0, after][split.offsets.to_numpy() - split.offsets[0].as_py()])
 
-    def batch(self, texts: pa.Array, group: int = 1 << 22) -> Iterator[np.ndarray]:
+    def batch(self, texts: pa.Array, group: int = 1 << 19) -> Iterator[np.ndarray]:
         """ids of each text; some `group` bytes of texts at a time, a text at least."""
         texts = texts.cast(pa.large_string())
         odd = np.ones(len(texts), bool)
@@ -162,6 +163,7 @@ def pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0) -> Dat
     """(doc_id, piece, start, length, ids_crc32, task, nth): nth counts the pieces of that length in that task."""
 
     def run(batches):
+        release()
         ids = shared_ids(path)
         task = TaskContext.get().partitionId()
         seen = np.zeros(size + 1, np.int64)
@@ -184,6 +186,8 @@ def pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0) -> Dat
                 [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array([task] * len(doc), pa.int32()), pa.array(nth, pa.int64())],
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"],
             )
+        ids.clear()  # the vocabulary stays with the worker, the task's words and batches do not
+        release()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, schema)

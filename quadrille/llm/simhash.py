@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected
 from ..storage import cut, scratch
-from .common import text_or_empty, with_row, without
+from .common import release, text_or_empty, with_row, without
 
 SEED = 42
 CHUNK = 1 << 15
@@ -313,10 +313,10 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _parts(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches in parts of some `most` bytes of text, a row at least, so that what a part's keys take is bounded."""
+def _parts(batches: Iterator[pa.RecordBatch], text: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of some `most` bytes of column `text`, a row at least, so that what is made of a part is bounded."""
     for b in batches:
-        upto = np.cumsum(pc.binary_length(b.column(2)).to_numpy(False).astype(np.int64))
+        upto = np.cumsum(pc.binary_length(b.column(text)).to_numpy(False).astype(np.int64))
         at = 0
         while at < len(b):
             end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
@@ -332,8 +332,9 @@ def _signed(rows: DataFrame, row: str, bits: int) -> DataFrame:
     """
 
     def run(batches):
+        release()
         known, task = _Hashes(), TaskContext.get().partitionId()
-        for number, b in enumerate(_parts(batches)):
+        for number, b in enumerate(_parts(batches, 2)):
             batch = (task << 24) + number
             node, size, needs, counts, odd, all_keys, owners, seen = [], [], [], [], [], [], [], set()
             for i, t in enumerate(b.column(2).cast(pa.binary())):
@@ -416,8 +417,9 @@ def _contents(rows: DataFrame, row: str, wanted: DataFrame) -> DataFrame:
     """(node, found): the shingle sets of the rows that wanted(row, node) names, as bytes."""
 
     def run(batches):
+        release()
         known = _Hashes()
-        for b in batches:
+        for b in _parts(batches, 1):
             found = [shingles(t.as_py(), known).tobytes() for t in b.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["node", "found"])
 
